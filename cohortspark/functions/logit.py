@@ -103,6 +103,9 @@ def adjusted(
     Levels of one outcome are set aside first; rows that some combination of levels predicts
     exactly are found by their linear predictor still growing after the other rows settled, and
     are set aside too. A level aliased with others, or set aside, has no odds ratio.
+
+    ``fitted`` is the preterm births the fit gives each level, the rows predicted exactly included
+    as they are: with every term categorical it equals the observed births of the level.
     """
     terms = [exposure, *covariates]
     table = table.sort_values(terms, key=lambda s: s.astype(str), kind="stable")
@@ -110,8 +113,9 @@ def adjusted(
     total = table["births"].sum()
     empty = pd.DataFrame(
         {"level": sorted(set(table[exposure]) - {reference})},
-    ).assign(odds_ratio=np.nan, lower_limit=np.nan, upper_limit=np.nan)
+    ).assign(odds_ratio=np.nan, lower_limit=np.nan, upper_limit=np.nan, fitted=np.nan)
     kept = table[one_outcome_rows(table, terms)]
+    exact = pd.Series(dtype=float)
     while True:
         aside = int(total - kept["births"].sum())
         if reference not in set(kept[exposure]):
@@ -124,13 +128,31 @@ def adjusted(
         growing = single & ((np.abs(change) > 0.5) | (np.abs(eta) >= 30))
         if not growing.any():
             break
+        gone = kept[growing].groupby(exposure)["preterm"].sum()
+        exact = exact.add(gone, fill_value=0)
         kept = kept[~growing]
     converged = bool(np.abs(change).max() < 1e-3)
     known = identified(x)
     error = np.sqrt(np.clip(np.diag(covariance), 0, None))
     result = empty.set_index("level")
+    means = pd.Series(births / (1 + np.exp(-eta)), index=kept.index)
+    fitted = means.groupby(kept[exposure]).sum().add(exact, fill_value=0)
+    limits = ["odds_ratio", "lower_limit", "upper_limit"]
     for level, column in columns.items():
         if known[column] and converged:
             low, high = beta[column] - Z * error[column], beta[column] + Z * error[column]
-            result.loc[level] = [np.exp(beta[column]), np.exp(low), np.exp(high)]
+            result.loc[level, limits] = [np.exp(beta[column]), np.exp(low), np.exp(high)]
+    result["fitted"] = fitted.reindex(result.index)
     return result.reset_index().assign(set_aside=aside, converged=converged)
+
+
+def fit_group(keys: tuple[str, ...], references: dict[str, str], covariates: tuple[str, ...]):
+    """The function a grouped map applies to each model: keys in, one row per level out."""
+
+    def fit(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        names = dict(zip(keys, key))
+        fitted = adjusted(table, references[names["measure"]], covariates=covariates)
+        columns = ["level", "odds_ratio", "lower_limit", "upper_limit", "fitted"]
+        return fitted.assign(**names)[[*keys, *columns, "set_aside", "converged"]]
+
+    return fit

@@ -29,6 +29,8 @@ def struct(**parts: str) -> str:
 
 
 def array(items: Iterable[str]) -> str:
+    """An array to explode. Entries that do not apply are NULL and are filtered after the explode:
+    compacting the array would make the optimizer evaluate it a second time in a filter below."""
     return f"array({', '.join(items)})"
 
 

@@ -367,8 +367,8 @@ def attrition_problems(attrition: DataFrame, cohort_rows: DataFrame) -> DataFram
         (f"{whole_steps} AND step = last AND remaining <> n", "'the cohort holds other rows'"),
     ]
     found = numbered.selectExpr(
-        *keys, "step", f"explode(array_compact({array(cases(r) for r in rules)})) AS problem"
-    )
+        *keys, "step", f"explode({array(cases(r) for r in rules)}) AS problem"
+    ).filter("problem IS NOT NULL")
     alone = cohort_rows.join(attrition.select(*keys).distinct(), keys, "left_anti").selectExpr(
         *keys, "CAST(NULL AS int) AS step", "'the cohort has no attrition' AS problem"
     )
@@ -491,8 +491,8 @@ def code_map_problems(code_map: DataFrame, vocabularies: DataFrame) -> DataFrame
         "vocabulary_id AS source_vocabulary_id", "target_domain_id", "true AS declared"
     )
     rows = code_map.join(declared, "source_vocabulary_id", "left").selectExpr(
-        *key, f"explode(array_compact({array(cases(r) for r in rules)})) AS problem"
-    )
+        *key, f"explode({array(cases(r) for r in rules)}) AS problem"
+    ).filter("problem IS NOT NULL")
     empty = vocabularies.join(
         code_map.selectExpr("source_vocabulary_id AS vocabulary_id"), "vocabulary_id", "left_anti"
     ).selectExpr(
@@ -549,8 +549,8 @@ def concept_problems(expected: DataFrame, concept: DataFrame) -> DataFrame:
         ("found AND concept_code IS NOT NULL AND NOT (l_code <=> concept_code)", "'code'"),
     ]
     return expected.join(loaded, "concept_id", "left").selectExpr(
-        "used_by", "concept_id", f"explode(array_compact({array(cases(r) for r in rules)})) AS problem"
-    )
+        "used_by", "concept_id", f"explode({array(cases(r) for r in rules)}) AS problem"
+    ).filter("problem IS NOT NULL")
 
 
 def lookup_problems(needed: DataFrame, code_map: DataFrame) -> DataFrame:

@@ -19,11 +19,13 @@ from cohortspark.catalogue import (
     SENSITIVITY_CUTOFFS,
     UNKNOWN_GROUP,
     Calendar,
+    Ids,
 )
 from cohortspark.functions.casting import banded, grouped_code
 from cohortspark.functions.exposure import definition_measures, level_order, measure_structs
 from cohortspark.functions.text import array, quoted, struct
-from cohortspark.operators.funnel import DEFINITIONS, memberships
+from cohortspark.operators.cdm import Cdm
+from cohortspark.operators.funnel import DEFINITIONS
 
 COVARIATES = ("age_group", "education", "state", "year")
 CELL_KEYS = ("weeks", "trimester", "visits", *COVARIATES, "insurance")
@@ -38,45 +40,47 @@ FIT_KEYS = (
 )
 
 
-def _members(with_exits: DataFrame, definitions: Sequence[int]) -> DataFrame:
-    return (
-        with_exits.filter("loaded")
-        .withColumn("definitions", F.expr(memberships(definitions)))
-        .filter("size(definitions) > 0")
-    )
-
+def _counted(
+    with_exits: DataFrame, definitions: Sequence[int], keys: Mapping[str, str]
+) -> DataFrame:
+    """Births per definition and keys, from one aggregation of the records.
 
-def _spread(grouped: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """Counts per set of definitions to counts per definition."""
-    keys = list(keys)
+    Subjects are counted once per set of definitions they belong to, a bit mask, so no subject is
+    copied per definition and the shuffle moves counts. A record of no definition has NULL keys, so
+    all of them are one counted row per task and are dropped after the sum, not by a filter that
+    would evaluate every cast a second time below the aggregation.
+    """
+    bits = {d: 1 << i for i, d in enumerate(definitions)}
+    mask = " + ".join(f"if(exit_{d} IS NULL, {bit}, 0)" for d, bit in bits.items())
+    values = [f"{text} AS {name}" for name, text in keys.items()]
+    kept = [f"CASE WHEN mask > 0 THEN {name} END AS {name}" for name in keys]
+    grouped = (
+        with_exits.selectExpr(f"if(loaded, {mask}, 0) AS mask", *values)
+        .selectExpr("mask", *kept)
+        .groupBy("mask", *keys)
+        .agg(F.expr("count(*) AS births"))
+    )
+    spread = array(f"if((mask & {bit}) > 0, {d}, NULL)" for d, bit in bits.items())
     return (
-        grouped.selectExpr("explode(definitions) AS definition", *keys, "births")
+        grouped.selectExpr(f"explode({spread}) AS definition", *keys, "births")
+        .filter("definition IS NOT NULL")
         .groupBy("definition", *keys)
         .agg(F.expr("sum(births) AS births"))
     )
 
 
+_COMBINATION = {
+    "weeks": "try_cast(weeks AS int)",
+    "trimester": "trimester",
+    "visits": "try_cast(visits AS int)",
+}
+
+
 def combinations(
     with_exits: DataFrame, definitions: Sequence[int] = (ANALYSIS, *LANDMARKS)
 ) -> DataFrame:
-    """Births per definition, weeks, trimester and visits.
-
-    Subjects are counted once per set of definitions they belong to, so the shuffle moves counts
-    and no subject is copied per definition.
-    """
-    keys = ["weeks", "trimester", "visits"]
-    grouped = (
-        _members(with_exits, definitions)
-        .selectExpr(
-            "definitions",
-            "try_cast(weeks AS int) AS weeks",
-            "trimester",
-            "try_cast(visits AS int) AS visits",
-        )
-        .groupBy("definitions", *keys)
-        .agg(F.expr("count(*) AS births"))
-    )
-    return _spread(grouped, keys)
+    """Births per definition, weeks, trimester and visits."""
+    return _counted(with_exits, definitions, _COMBINATION)
 
 
 def aggregated_counts(
@@ -84,24 +88,16 @@ def aggregated_counts(
     definitions: Sequence[int] = tuple(d for d in DEFINITIONS if d >= ANALYSIS),
     groups: Mapping[str, str] = INSURANCE_GROUPS,
 ) -> DataFrame:
-    """Births per definition and model cell, counted once per set of definitions."""
-    grouped = (
-        _members(with_exits, definitions)
-        .selectExpr(
-            "definitions",
-            "try_cast(weeks AS int) AS weeks",
-            "trimester",
-            "try_cast(visits AS int) AS visits",
-            f"{banded('age', AGE_BANDS)} AS age_group",
-            "education_concept_id AS education",
-            "state",
-            "year(delivery_date) AS year",
-            f"{grouped_code('insurance_code', groups, UNKNOWN_GROUP)} AS insurance",
-        )
-        .groupBy("definitions", *CELL_KEYS)
-        .agg(F.expr("count(*) AS births"))
-    )
-    return _spread(grouped, CELL_KEYS)
+    """Births per definition and model cell: combinations with covariates and insurance group."""
+    keys = {
+        **_COMBINATION,
+        "age_group": banded("age", AGE_BANDS),
+        "education": "education_concept_id",
+        "state": "state",
+        "year": "year(delivery_date)",
+        "insurance": grouped_code("insurance_code", groups, UNKNOWN_GROUP),
+    }
+    return _counted(with_exits, definitions, keys)
 
 
 def summed(cells: DataFrame) -> DataFrame:
@@ -224,8 +220,9 @@ def rated(
     keys = [*FIT_KEYS, "level", *kept]
     return (
         cells.selectExpr(
-            "definition", "births", *kept, f"inline(array_compact({array(entries)}))"
+            "definition", "births", *kept, f"inline({array(entries)})"
         )
+        .filter("cutoff IS NOT NULL")
         .selectExpr(
             "definition", "period", "cutoff", "stratum_variable", "stratum_value",
             "rating.measure", "rating.variant", "rating.level", *kept, "births", "preterm",
@@ -258,3 +255,54 @@ def step_changes(attrition: DataFrame) -> DataFrame:
             "previous_remaining": F.lag("remaining").over(order),
         }
     )
+
+
+def table_rows(cdm: Cdm, records: DataFrame, ids: Ids) -> DataFrame:
+    """Rows of each person-keyed table per year of the record files, zero included.
+
+    The year of a row follows from its person id, so no table is joined to the records; the
+    records only add the years that have no row anywhere.
+    """
+    keyed = {
+        "person": "person_id",
+        "observation_period": "person_id",
+        "measurement": "person_id",
+        "observation": "person_id",
+        "fact_relationship": "fact_id_1",
+    }
+    year = (
+        f"CAST({ids.first_year} + (id % {ids.newborn_offset}) div {ids.rows_per_year} AS int) "
+        "AS source_year"
+    )
+    rows = records.selectExpr("source_year", "CAST(NULL AS string) AS cdm_table", "0L AS id")
+    for name, column in keyed.items():
+        rows = rows.unionByName(
+            getattr(cdm, name)
+            .selectExpr(f"{quoted(name)} AS cdm_table", f"{column} AS id")
+            .selectExpr(year, "cdm_table", "id")
+        )
+    counts = {(name, "rows"): f"cdm_table = {quoted(name)}" for name in keyed}
+    counts["person", "rows:mother"] = f"cdm_table = 'person' AND id < {ids.newborn_offset}"
+    counts["person", "rows:newborn"] = f"cdm_table = 'person' AND id >= {ids.newborn_offset}"
+    wide = rows.groupBy("source_year").agg(
+        *[F.expr(f"count_if({test}) AS n{i}") for i, test in enumerate(counts.values())]
+    )
+    long = array(
+        struct(cdm_table=quoted(table), rule=quoted(rule), row_count=f"n{i}")
+        for i, (table, rule) in enumerate(counts)
+    )
+    return wide.selectExpr("source_year", f"inline({long})")
+
+
+def whole_load_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of the tables that are not of one year, under a NULL year."""
+    result = None
+    for name, table in tables.items():
+        counted = table.agg(F.expr("count(*) AS row_count")).selectExpr(
+            "CAST(NULL AS int) AS source_year",
+            f"{quoted(name)} AS cdm_table",
+            "'rows' AS rule",
+            "row_count",
+        )
+        result = counted if result is None else result.unionByName(counted)
+    return result

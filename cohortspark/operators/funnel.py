@@ -221,19 +221,23 @@ def exit_rows(
 
 
 def memberships(defined=DEFINITIONS) -> str:
-    """The definitions a subject belongs to, as an array."""
-    return f"array_compact({array(cases((f'exit_{d} IS NULL', str(d))) for d in defined)})"
+    """Each definition a subject belongs to, and NULL for each other one, as an array."""
+    return array(cases((f"exit_{d} IS NULL", str(d))) for d in defined)
 
 
 def cohort(
     with_exits: DataFrame, defined: Mapping[int, Sequence[Step]] = DEFINITIONS
 ) -> DataFrame:
     """One row per definition and subject that fails no step, on its delivery day."""
-    return with_exits.filter("loaded").selectExpr(
-        f"explode({memberships(defined)}) AS cohort_definition_id",
-        "subject_id",
-        "delivery_date AS cohort_start_date",
-        "delivery_date AS cohort_end_date",
+    return (
+        with_exits.filter("loaded")
+        .selectExpr(
+            f"explode({memberships(defined)}) AS cohort_definition_id",
+            "subject_id",
+            "delivery_date AS cohort_start_date",
+            "delivery_date AS cohort_end_date",
+        )
+        .filter("cohort_definition_id IS NOT NULL")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,9 @@ from cohortspark.functions.exposure import reference_level, reference_of
 from cohortspark.operators.counts import COVARIATES, FIT_KEYS
 from cohortspark.session import checkpointed
 
+# Executors need no copy of this package: the fit travels with its tasks.
+cloudpickle.register_pickle_by_value(logit)
+
 #: A model with more distinct cells than this is fitted across the cluster instead of in one task.
 GROUPED_ROWS = 200_000
 
@@ -21,19 +24,12 @@ _RESULT = ", ".join(
     [
         "definition int, period string, cutoff int, measure string, variant string",
         "stratum_variable string, stratum_value string, level string",
-        "odds_ratio double, lower_limit double, upper_limit double",
+        "odds_ratio double, lower_limit double, upper_limit double, fitted double",
         "set_aside bigint, converged boolean",
     ]
 )
 
 
-def _fit_group(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-    names = dict(zip(FIT_KEYS, key))
-    fitted = logit.adjusted(table, reference_level(names["measure"]), covariates=COVARIATES)
-    columns = [*FIT_KEYS, "level", "odds_ratio", "lower_limit", "upper_limit"]
-    return fitted.assign(**names)[[*columns, "set_aside", "converged"]]
-
-
 def fit_groups(tables: DataFrame) -> DataFrame:
     """Every model of a long table of models, one task per model.
 
@@ -41,10 +37,11 @@ def fit_groups(tables: DataFrame) -> DataFrame:
     ``fit_all`` sends models above the bound to the distributed fit.
     """
     columns = [*FIT_KEYS, "level", *COVARIATES, "births", "preterm"]
-    fitted = (
-        tables.select(*columns).groupBy(*FIT_KEYS).applyInPandas(_fit_group, schema=_RESULT)
-    )
-    clean = [f"nullif({c}, double('NaN')) AS {c}" for c in ("odds_ratio", "lower_limit", "upper_limit")]
+    references = {m: reference_level(m) for m in ("a", "a_count", "b", "c", "d")}
+    fit = logit.fit_group(FIT_KEYS, references, COVARIATES)
+    fitted = tables.select(*columns).groupBy(*FIT_KEYS).applyInPandas(fit, schema=_RESULT)
+    numbers = ("odds_ratio", "lower_limit", "upper_limit", "fitted")
+    clean = [f"nullif({c}, double('NaN')) AS {c}" for c in numbers]
     return fitted.selectExpr(*FIT_KEYS, "level", *clean, "set_aside", "converged")
 
 
@@ -159,7 +156,7 @@ def fit_distributed(table: DataFrame, names: dict) -> DataFrame:
             base = min(births, key=lambda v: (-births[v], str(v)), default=None)
         values[term] = [*sorted((v for v in births if v != base), key=str), base]
         if term == "level" and reference not in births:
-            rows = [(*(names[k] for k in FIT_KEYS), v, None, None, None, aside, True)
+            rows = [(*(names[k] for k in FIT_KEYS), v, None, None, None, None, aside, True)
                     for v in levels if v != reference]
             return spark.createDataFrame(rows, _RESULT)
     used = [t for t in terms if len(values[t]) > 1]
@@ -185,6 +182,11 @@ def fit_distributed(table: DataFrame, names: dict) -> DataFrame:
     )
     model = Pipeline(stages=[encoder, assembler, regression]).fit(frame).stages[-1]
     errors = model.summary.coefficientStandardErrors
+    scored = model.transform(assembler.transform(encoder.fit(frame).transform(frame)))
+    fitted = {
+        r[0]: r[1]
+        for r in scored.groupBy("level").agg(F.expr("sum(prediction * births)")).collect()
+    }
     rows = []
     exposure = values["level"][:-1]
     for level in levels:
@@ -197,7 +199,7 @@ def fit_distributed(table: DataFrame, names: dict) -> DataFrame:
             ratio = tuple(float(np.exp(v)) for v in limits)
         else:
             ratio = (None, None, None)
-        rows.append((*(names[k] for k in FIT_KEYS), level, *ratio, aside, True))
+        rows.append((*(names[k] for k in FIT_KEYS), level, *ratio, fitted.get(level), aside, True))
     return spark.createDataFrame(rows, _RESULT)
 
 
@@ -218,10 +220,3 @@ def estimate_rows(counts: DataFrame, crude: DataFrame, fitted: DataFrame) -> Dat
         *keys, "reference", "births", "preterm_births", "'adjusted' AS model", *limits
     )
     return plain.unionByName(with_covariates).withColumn("source", F.lit("observed"))
-
-
-def score_check(tables: DataFrame, measure_levels: DataFrame) -> DataFrame:
-    """Observed preterm births per level of each fitted model, which its fitted ones must equal."""
-    return tables.groupBy(*FIT_KEYS, "level").agg(
-        F.sum("births").alias("births"), F.sum("preterm").alias("preterm")
-    )

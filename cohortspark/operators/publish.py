@@ -105,7 +105,7 @@ def violations(df: DataFrame, table: OutputTable) -> DataFrame:
             rules.append(
                 cases((test, f"named_struct('column', {quoted(name)}, 'problem', {message})"))
             )
-    found = df.selectExpr(f"inline(array_compact({array(rules)}))")
+    found = df.selectExpr(f"inline({array(rules)})").filter("problem IS NOT NULL")
     return found.groupBy("column", "problem").agg(F.expr("count(*) AS rows"))
 
 

@@ -163,8 +163,8 @@ def unloadable(records: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
             problems.append((f"length({f.source}) > {f.max_length}", quoted(message)))
     found = array(cases((test, message)) for test, message in problems)
     return records.selectExpr(
-        "source_year", "source_row", f"explode(array_compact({found})) AS problem"
-    )
+        "source_year", "source_row", f"explode({found}) AS problem"
+    ).filter("problem IS NOT NULL")
 
 
 def first_with_total(rows: DataFrame, order: list[str], first: int = 10) -> DataFrame:
@@ -184,4 +184,6 @@ def uncountable(records: DataFrame, fields: tuple[str, ...] = ("weeks", "visits"
         )
         for name in fields
     )
-    return records.selectExpr("source_year", "source_row", f"inline(array_compact({found}))")
+    return records.selectExpr("source_year", "source_row", f"inline({found})").filter(
+        "field IS NOT NULL"
+    )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_TABLES = {
+#: The seven vocabulary tables, as DDL schemas.
+SCHEMAS = {
     "concept": "concept_id int, concept_name string, domain_id string, vocabulary_id string, "
     "concept_class_id string, standard_concept string, concept_code string, "
     "valid_start_date date, valid_end_date date, invalid_reason string",
@@ -22,7 +22,6 @@ _TABLES = {
     "concept_ancestor": "ancestor_concept_id int, descendant_concept_id int, "
     "min_levels_of_separation int, max_levels_of_separation int",
 }
-SCHEMAS = {name: T.StructType.fromDDL(text) for name, text in _TABLES.items()}
 
 TSV_OPTIONS = {
     "sep": "\t",
@@ -35,7 +34,7 @@ TSV_OPTIONS = {
 }
 
 
-def read_vocabulary(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_vocabulary(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A vocabulary table: the header must match, a quote is a plain character, empty is NULL."""
     return spark.read.schema(schema).options(**TSV_OPTIONS).csv(path)
 
