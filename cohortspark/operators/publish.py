@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 from cohortspark.functions.text import array, cases, quoted
 from cohortspark.operators.checks import LoadRefused, bag_difference
 from cohortspark.session import run_path
-
-_CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "lineSep": "\n"}
+from cohortspark.sources.records import CSV_WRITE
 
 
 @dataclass(frozen=True)
@@ -127,7 +126,7 @@ def publish(df: DataFrame, table: OutputTable, path: str) -> DataFrame:
     if found:
         raise LoadRefused("; ".join(f"{r.column}: {r.problem} ({r.rows})" for r in found))
     rows.repartition(1).sortWithinPartitions(*table.key).write.mode("overwrite").options(
-        **_CSV, nullValue="", emptyValue=""
+        **CSV_WRITE, nullValue="", emptyValue=""
     ).csv(path)
     return read_published(df.sparkSession, table, path)
 

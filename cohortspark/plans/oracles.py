@@ -950,7 +950,7 @@ LEFT JOIN kept AS k USING ({FIT}, level)
 LEFT JOIN kept AS r ON r.definition = c.definition AND r.period = c.period AND r.cutoff = c.cutoff
   AND r.measure = c.measure AND r.variant = c.variant AND r.stratum_variable = c.stratum_variable
   AND r.stratum_value = c.stratum_value AND r.level = {_ref}
-WHERE c.level <> {_ref}""",
+WHERE c.level <> {_ref} AND c.stratum_variable = ''""",
 )
 
 # ---------------------------------------------------------------------------------------------

@@ -25,6 +25,17 @@ CSV_OPTIONS = {
     "emptyValue": "",
 }
 
+#: The same dialect for writing; by default the writer would trim the blanks of a cell.
+CSV_WRITE = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "encoding": "UTF-8",
+    "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 class SourceRefused(ValueError):
     """A source file that cannot be staged as it is."""

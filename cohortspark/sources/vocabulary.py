@@ -57,14 +57,17 @@ def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     return read_records(spark, path, columns)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name, bytes and sha256 of every file under a path; one task reads one file at a time."""
+def file_digests(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
+    """Name, bytes and sha256 of every file under a path; one task reads one file at a time.
+
+    The name is the last ``depth`` parts of the path, so that files of several folders differ.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
         .selectExpr(
-            "element_at(split(path, '/'), -1) AS name",
+            f"array_join(slice(split(path, '/'), -{depth}, {depth}), '/') AS name",
             "length AS bytes",
             "sha2(content, 256) AS sha256",
         )
