@@ -68,7 +68,8 @@ def read_records(
     """A record file as text, every column NULL where the cell is empty.
 
     ``multiline`` reads each file in one task, as a quoted line break requires. A source known to
-    have none can be read without it, split across tasks.
+    have none can be read without it, split across tasks. Spark reads any line break inside a cell
+    as a line feed.
     """
     return (
         spark.read.schema(text_schema(columns))
