@@ -72,7 +72,7 @@ def field_rule(field: Field, codes: Mapping[str, int]) -> str:
             blank,
             coded,
             (f"NOT {digits(text)}", "'not_integer'"),
-            (f"try_cast({text} AS {NUMBER}) IS NULL", "'too_long'"),
+            (f"length({text}) > 38 AND try_cast({text} AS {NUMBER}) IS NULL", "'too_long'"),
             otherwise="'value'",
         )
     raise ValueError(f"unknown field kind {field.kind!r}")
