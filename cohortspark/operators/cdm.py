@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortspark.catalogue import CONCEPT_IDS
 from cohortspark.functions.text import array, quoted, struct
 from cohortspark.operators.ids import rank_by_id, rank_distinct
+from cohortspark.session import small_side
 
 RESIDENCE = ["resideextranjero", "entidadresidencia"]
 
@@ -62,11 +63,11 @@ def persons(
 ) -> DataFrame:
     """Two persons per loaded record: the mother, with her residence, and the newborn.
 
-    The location is found by its raw pair, NULLs included. One pair may hold most records; the
-    location side is small, and where it is not, the adaptive join splits the hot pair.
+    The location is found by its raw pair, NULLs included. One pair may hold most records: the
+    locations are broadcast once counted as few, and beyond that the adaptive join splits the pair.
     """
-    found = location.selectExpr(
-        "country_source_value AS _country", "_state_source", "location_id"
+    found = small_side(
+        location.selectExpr("country_source_value AS _country", "_state_source", "location_id")
     )
     loaded = records.filter("loaded").join(
         found,

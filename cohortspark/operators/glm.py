@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import logit
 from cohortspark.functions.exposure import reference_level, reference_of
+from cohortspark.functions.text import array, quoted, struct
 from cohortspark.operators.counts import COVARIATES, FIT_KEYS
-from cohortspark.session import checkpointed
+from cohortspark.session import checkpointed, small_side
 
 # Executors need no copy of this package: the fit travels with its tasks.
 cloudpickle.register_pickle_by_value(logit)
@@ -71,43 +72,36 @@ def fit_all(tables: DataFrame, grouped_rows: int = GROUPED_ROWS) -> DataFrame:
     return result
 
 
-def _single_outcome(table: DataFrame, term: str) -> DataFrame:
-    """The values of a term whose births are all preterm or all term."""
+def single_outcome_values(tables: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """The values of each term of each model whose births are all preterm or all term."""
+    values = array(struct(term=quoted(t), value=f"string({t})") for t in terms)
     return (
-        table.groupBy(term)
-        .agg(F.sum("births").alias("b"), F.sum("preterm").alias("p"))
+        tables.selectExpr(*FIT_KEYS, "births", "preterm", f"inline({values})")
+        .groupBy(*FIT_KEYS, "term", "value")
+        .agg(F.expr("sum(births) AS b"), F.expr("sum(preterm) AS p"))
         .filter("p = 0 OR p = b")
-        .select(term)
     )
 
 
-def drop_one_outcome(table: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """One model's rows without the values of one outcome, repeated until none is left.
+def drop_one_outcome(tables: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """The models without the values of one outcome, repeated until no model holds one.
 
-    Each round drops at least one value, so there are no more rounds than values. A round reads
-    the terms' value counts only; those lists are as short as the categories.
+    Each round drops at least one value, so there are no more rounds than values. A round sums the
+    values of all models in one shuffle; the found values are few and written, as are the rows left.
     """
     while True:
-        found = {term: _single_outcome(table, term) for term in terms}
-        if all(values.isEmpty() for values in found.values()):
-            return table
-        for term, values in found.items():
-            table = table.join(values, term, "left_anti")
-        table = checkpointed(table)
-
-
-def one_outcome_rounds(tables: DataFrame, terms: Sequence[str], rounds: int) -> DataFrame:
-    """A fixed number of rounds for many models at once, by windows over each model's values."""
-    for _ in range(rounds):
-        single = F.lit(False)
-        columns = {}
-        for i, term in enumerate(terms):
-            group = Window.partitionBy(*FIT_KEYS, term)
-            columns[f"_b{i}"] = F.sum("births").over(group)
-            columns[f"_p{i}"] = F.sum("preterm").over(group)
-            single = single | F.expr(f"_p{i} = 0 OR _p{i} = _b{i}")
-        tables = tables.withColumns(columns).filter(~single).drop(*columns)
-    return tables
+        found = checkpointed(single_outcome_values(tables, terms).select(*FIT_KEYS, "term", "value"))
+        if found.isEmpty():
+            return tables
+        found = small_side(found)
+        for term in terms:
+            gone = found.filter(F.col("term") == term).drop("term")
+            tables = (
+                tables.withColumn("value", F.col(term).cast("string"))
+                .join(gone, [*FIT_KEYS, "value"], "left_anti")
+                .drop("value")
+            )
+        tables = checkpointed(tables)
 
 
 def reference_values(tables: DataFrame, term: str) -> DataFrame:

@@ -11,10 +11,14 @@ from pyspark.sql import types as T
 
 from cohortspark.functions.text import array, cases, quoted
 from cohortspark.operators.checks import LoadRefused, bag_difference
-from cohortspark.session import run_path
+from cohortspark.session import at_most, run_path
 from cohortspark.sources.records import CSV_WRITE
 
 
+#: The most rows one sorted file is written for.
+ONE_FILE_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class OutputTable:
     """A published table: its columns with types, the nullable ones, and its key."""
@@ -118,14 +122,19 @@ def conform(df: DataFrame, table: OutputTable) -> DataFrame:
 def publish(df: DataFrame, table: OutputTable, path: str) -> DataFrame:
     """Write a table as one CSV sorted by its key, and give back what reads from it.
 
-    Published tables are summaries of thousands of rows, so one sorted file is right for them. A
-    table with a cell that would not read back is refused before anything is written.
+    Published tables are summaries of thousands of rows, so one sorted file is right for them; a
+    table of more rows is sorted across files instead. A table with a cell that would not read back
+    is refused before anything is written.
     """
     rows = conform(df, table)
     found = violations(rows, table).collect()
     if found:
         raise LoadRefused("; ".join(f"{r.column}: {r.problem} ({r.rows})" for r in found))
-    rows.repartition(1).sortWithinPartitions(*table.key).write.mode("overwrite").options(
+    one_file = at_most(rows, ONE_FILE_ROWS)
+    ordered = (
+        rows.repartition(1).sortWithinPartitions(*table.key) if one_file else rows.orderBy(*table.key)
+    )
+    ordered.write.mode("overwrite").options(
         **CSV_WRITE, nullValue="", emptyValue=""
     ).csv(path)
     return read_published(df.sparkSession, table, path)

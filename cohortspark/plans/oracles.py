@@ -937,7 +937,7 @@ _kept = (
     f"SELECT {FIT}, level, CAST(sum(births) AS BIGINT) AS births, CAST(sum(preterm) AS BIGINT) "
     f"AS preterm FROM round_{{}} GROUP BY {FIT}, level"
 )
-oracle("one_outcome_kept", (*GRID, _rounds(4)), _kept.format(4))
+oracle("one_outcome_kept", (*GRID, _rounds(8)), _kept.format(8))
 _ref = s.REFERENCE.replace("measure", "c.measure")
 oracle(
     "glm_score_check",

@@ -602,9 +602,9 @@ def covariate_references(spark, sf_dir):
 
 @query
 def one_outcome_kept(spark, sf_dir):
-    """Births each model keeps after four rounds of setting levels of one outcome aside."""
-    models = counts.model_tables(t.cells(spark, sf_dir), t.GRID)
-    kept = glm.one_outcome_rounds(models, ("level", *counts.COVARIATES), rounds=4)
+    """Births each model keeps once no value of any term has births of one outcome alone."""
+    models = written(counts.model_tables(t.cells(spark, sf_dir), t.GRID), "models")
+    kept = glm.drop_one_outcome(models, ("level", *counts.COVARIATES))
     return kept.groupBy(*counts.FIT_KEYS, "level").agg(
         F.expr("sum(births) AS births"), F.expr("sum(preterm) AS preterm")
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Runtime settings of every job here. Wide casts generate methods the JVM never compiles when they
@@ -72,3 +73,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether a table has no more than ``rows`` rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A lookup side hinted for broadcast only after its rows were counted, and plain beyond that.
+
+    Used where the size is not known before planning (a written checkpoint), so that the large
+    side is not shuffled first. The count stops one row beyond the bound.
+    """
+    return F.broadcast(df) if at_most(df, rows) else df

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.session import checkpointed, small_side
+
 SOURCE_ROW = "source_row"
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 
@@ -109,19 +111,22 @@ def stage_file(
 
 
 def with_ordinals(copy: DataFrame) -> DataFrame:
-    """The 1-based position of each record in its file, from its block and its number in it."""
+    """The 1-based position of each record in its file, from its block and its number in it.
+
+    The blocks are one row per block read; few enough are broadcast, so the records do not move.
+    """
     before = (
         Window.partitionBy("_file")
         .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = (
+    blocks = checkpointed(
         copy.groupBy("_file", "_block")
         .agg(F.expr("count(*) AS _rows"), F.expr("min(_id) AS _first"))
         .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .drop("_rows")
     )
-    return copy.join(blocks, ["_file", "_block"]).withColumn(
+    return copy.join(small_side(blocks), ["_file", "_block"]).withColumn(
         SOURCE_ROW, F.expr("_start + _id - _first + 1")
     )
 

@@ -57,20 +57,47 @@ def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     return read_records(spark, path, columns)
 
 
-def file_digests(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
+def file_digests(
+    spark: SparkSession, path: str, depth: int = 1, whole_bytes: int = 256 << 20
+) -> DataFrame:
     """Name, bytes and sha256 of every file under a path; one task reads one file at a time.
 
-    The name is the last ``depth`` parts of the path, so that files of several folders differ.
+    The name is the last ``depth`` parts of the path, so that files of several folders differ. A
+    file up to ``whole_bytes`` is read whole by the scan; a larger one is read in pieces.
     """
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .selectExpr(
-            f"array_join(slice(split(path, '/'), -{depth}, {depth}), '/') AS name",
-            "length AS bytes",
-            "sha2(content, 256) AS sha256",
-        )
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    )
+    small = files.filter(F.col("length") <= whole_bytes).selectExpr(
+        "path", "length", "sha2(content, 256) AS sha256"
+    )
+
+    def in_pieces(batches):
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for uri in batch["path"]:
+                system, name = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while piece := stream.read(8 << 20):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield batch.assign(sha256=found)
+
+    large = (
+        files.filter(F.col("length") > whole_bytes)
+        .select("path", "length")
+        .repartition("path")
+        .mapInPandas(in_pieces, "path string, length bigint, sha256 string")
+    )
+    return small.unionByName(large).selectExpr(
+        f"array_join(slice(split(path, '/'), -{depth}, {depth}), '/') AS name",
+        "length AS bytes",
+        "sha256",
     )
 
 

@@ -140,3 +140,39 @@ def test_attrition_invariants(spark):
     assert problems([*good[:3], (1, 2023, 3, 6, 3)]) == ["the cohort holds other rows"]
     other = [(2, *row[1:]) for row in good]
     assert "the cohort has no attrition" in problems(other)
+
+
+def test_digests_whole_and_in_pieces(spark, tmp_path):
+    import hashlib
+
+    for name, size in (("a.bin", 10), ("b.bin", 5000)):
+        (tmp_path / name).write_bytes(bytes(i % 251 for i in range(size)))
+    rows = vocabulary.file_digests(spark, str(tmp_path), whole_bytes=100).collect()
+    assert {r.name: (r.bytes, r.sha256) for r in rows} == {
+        p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest())
+        for p in tmp_path.glob("*.bin")
+    }
+
+
+def test_code_map_file(spark, tmp_path):
+    header = (
+        "source_code,source_concept_id,source_vocabulary_id,source_code_description,"
+        "target_concept_id,target_vocabulary_id,valid_start_date,valid_end_date,invalid_reason\n"
+    )
+    rows = "00,0,V,none,0,None,2020-01-01,2023-12-31,\n1,0,V,one,7,X,2020-01-01,2019-12-31,\n"
+    found = vocabulary.read_code_map(spark, _write(tmp_path / "m.csv", header + rows))
+    declared = spark.createDataFrame([("V", "D")], "vocabulary_id string, target_domain_id string")
+    assert [r.source_code for r in found.orderBy("source_code").collect()] == ["00", "1"]
+    problems = checks.code_map_problems(found, declared).collect()
+    assert [(r.source_code, r.problem) for r in problems] == [
+        ("1", "validity ends before it starts")
+    ]
+
+
+def test_large_tables_are_published_in_order_across_files(spark, monkeypatch):
+    monkeypatch.setattr(publish, "ONE_FILE_ROWS", 10)
+    shape = publish.OutputTable("t", "k bigint, v double", ("k",))
+    frame = spark.range(0, 2000).selectExpr("1999 - id AS k", "id / 7 AS v")
+    path = run_path(spark, "many.csv")
+    read = publish.publish(frame, shape, path)
+    assert publish.roundtrip_differences(frame, shape, read).count() == 0
