@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,9 +121,36 @@ def observation_periods(
     )
 
 
+#: What the two event tables read from a record.
+EVENT_INPUTS = [
+    "person_id",
+    "newborn_person_id",
+    "delivery_date",
+    "weeks",
+    "plurality",
+    "plurality_at_least",
+    "age",
+    "weight",
+    "visits",
+    "trimester_concept_id",
+    "education_concept_id",
+    "insurance_concept_id",
+    "edadgestacional",
+    "productoembarazo",
+    "edad",
+    "peso",
+    "totalconsultas",
+    "trimestreprimerconsulta",
+    "escolaridad",
+    "afiliacion",
+]
+
+
 def ranked_records(records: DataFrame, bucket_rows: int = 1 << 20) -> DataFrame:
     """The loaded records with their position in person order, which the event ids build on."""
-    return rank_by_id(records.filter("loaded"), "person_id", "_rank", bucket_rows)
+    return rank_by_id(
+        records.filter("loaded").select(*EVENT_INPUTS), "person_id", "_rank", bucket_rows
+    )
 
 
 def measurements(
@@ -223,10 +250,15 @@ def build(
     records: DataFrame,
     concepts: Mapping[str, int] = CONCEPT_IDS,
     bucket_rows: int = 1 << 20,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> Cdm:
-    """All person and event tables of a load."""
-    location = locations(records)
-    ranked = ranked_records(records, bucket_rows)
+    """All person and event tables of a load.
+
+    ``keep`` is applied to the two intermediate tables that feed others, the locations and the
+    ranked records: a load writes them, so the ranks are computed once for both event tables.
+    """
+    location = keep(locations(records), "location_keys")
+    ranked = keep(ranked_records(records, bucket_rows), "ranked")
     return Cdm(
         person=persons(records, location, concepts),
         observation_period=observation_periods(records, concepts),

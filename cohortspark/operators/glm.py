@@ -127,7 +127,7 @@ def fit_distributed(table: DataFrame, names: dict) -> DataFrame:
     its reference last, the value the encoder leaves out.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     spark = table.sparkSession

@@ -107,6 +107,14 @@ oracle(
     "ORDER BY source_year, source_row, problem LIMIT 10",
 )
 
+oracle(
+    "uncountable_numbers",
+    (s.REGISTRY,),
+    """SELECT source_year, source_row, 'visits' AS field, '99999' || source_row AS "number"
+FROM registry WHERE source_row % 127 = 9
+  AND try_cast('99999' || source_row AS INTEGER) IS NULL""",
+)
+
 # ---------------------------------------------------------------------------------------------
 # Person and event tables
 
@@ -450,6 +458,17 @@ d_fact_relationship AS (
 ),
 d_location AS (SELECT * FROM location WHERE location_id % 7 <> 3)"""
 
+oracle(
+    "written_concepts",
+    BUILT,
+    "SELECT DISTINCT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS cdm_table, {column} AS concept_id FROM {name}"
+        for name, columns in _WRITTEN.items()
+        for column in columns
+    )
+    + ") AS w WHERE concept_id IS NOT NULL",
+)
 oracle(
     "postload_checks",
     (*BUILT, CONCEPTS, ROLES, _per_person("")),

@@ -36,6 +36,10 @@ def _rounded(*names: str, digits: int = 6) -> list[str]:
     return [f"round({name}, {digits}) AS {name}" for name in names]
 
 
+def _replaced(df: DataFrame, **changes: str) -> DataFrame:
+    return df.selectExpr(*[f"{changes[c]} AS {c}" if c in changes else c for c in df.columns])
+
+
 # ---------------------------------------------------------------------------------------------
 # Records: casts, rules, problems
 
@@ -96,6 +100,17 @@ def unloadable_rows(spark, sf_dir):
     return typed.unloadable(t.damaged_records(spark, sf_dir), PROXY_SETTINGS)
 
 
+@query
+def uncountable_numbers(spark, sf_dir):
+    """Visit counts that are numbers, but too large for the count columns."""
+    edited = _replaced(
+        t.staged(spark, sf_dir),
+        totalconsultas="if(source_row % 127 = 9, concat('99999', source_row), totalconsultas)",
+    )
+    found = typed.uncountable(typed.typed_records(edited, PROXY_SETTINGS))
+    return found.withColumnRenamed("value", "number")
+
+
 # ---------------------------------------------------------------------------------------------
 # Person and event tables
 
@@ -199,6 +214,13 @@ def _vocabularies(spark) -> DataFrame:
     return spark.createDataFrame([(v,) for v in VOCABULARY_TARGETS], "vocabulary_id string")
 
 
+@query
+def written_concepts(spark, sf_dir):
+    """The distinct concept ids each event table holds."""
+    rows, built = t.written_load(spark, sf_dir)
+    return checks.distinct_concepts(vars(built)).filter("concept_id IS NOT NULL")
+
+
 @query
 def postload_checks(spark, sf_dir):
     rows, built = t.written_load(spark, sf_dir)
@@ -209,10 +231,6 @@ def postload_checks(spark, sf_dir):
     )
 
 
-def _replaced(df: DataFrame, **changes: str) -> DataFrame:
-    return df.selectExpr(*[f"{changes[c]} AS {c}" if c in changes else c for c in df.columns])
-
-
 def _doubled(df: DataFrame, test: str) -> DataFrame:
     return df.unionByName(df.filter(test))
 

@@ -55,7 +55,7 @@ def analysis_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, cdm.Cdm]:
     """The typed records and the event tables of a load, each computed once and written."""
     typed = written(records(spark, sf_dir), "records")
-    built = cdm.build(typed)
+    built = cdm.build(typed, keep=written)
     return typed, built.map(lambda name, df: written(df, name))
 
 

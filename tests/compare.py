@@ -48,9 +48,8 @@ def differences(spark, connection, name: str, query, sql: str, sf_dir: str) -> s
     for left, right in zip(a, b):
         for x, y in zip(left, right):
             same = x == y and isinstance(x, bool) == isinstance(y, bool)
-            if not same and not (
-                isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-7, abs_tol=2e-6)
-            ):
+            numbers = isinstance(x, float) and isinstance(y, float)
+            if not same and not (numbers and math.isclose(x, y, rel_tol=1e-7, abs_tol=2e-6)):
                 return f"{left} against {right} ({sorted(df.columns)})"
     return None
 

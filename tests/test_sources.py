@@ -35,6 +35,13 @@ def test_column_names():
             records.staged_columns(header)
 
 
+def test_schema_problems(spark):
+    frame = spark.createDataFrame([("a", 1)], "a string, b int")
+    assert records.schema_problems(frame.select("a"), ["a"]) == []
+    assert len(records.schema_problems(frame, ["a", "b"])) == 1
+    assert len(records.schema_problems(frame.select("a"), ["a", "b"])) == 1
+
+
 def test_ordinals_across_blocks(spark, tmp_path):
     """A file read in many blocks keeps the position of each record."""
     _write(tmp_path / "one.csv", "N,T\n" + "".join(f"{i},x{i}\n" for i in range(1, 5001)))
