@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,6 +20,25 @@ def new_folder(spark, name: str) -> str:
     return run_path(spark, name)
 
 
+def shipped(spark) -> None:
+    """Sends this package's code to the Python workers of the session, once; they may not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_cohortspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    uri = f"{new_folder(spark, 'code')}/{package.name}.zip"
+    store, path = opened(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    context.addPyFile(uri)
+    context._cohortspark_shipped = True
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The store of a path or URI, and the path in it."""
     if "://" not in uri and not uri.startswith("file:"):

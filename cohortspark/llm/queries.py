@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortspark.llm import token_files
+from cohortspark.llm import quality_classifier, quality_rules, token_files
 from cohortspark.session import tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,27 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, token_files.write_tokens(docs, tokenizer_file()))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, from labels of the rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.filter(~quality_classifier.held_out(F.col("doc_id")))
+    scored = quality_classifier.scores(docs, quality_classifier.fit(docs, learned))
+    return scored.select(
+        "doc_id",
+        quality_classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.quality_rows(docs, quality_rules.fit(docs, labels))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op10_quality_rules": op10_quality_rules,
 }

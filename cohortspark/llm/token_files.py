@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.files import attempt_name, memory_mapped, new_folder, opened
+from cohortspark.llm.files import attempt_name, memory_mapped, new_folder, opened, shipped
 
 #: Words an encoder learns before it forgets those of the generation before.
 CACHE_WORDS = 500_000
@@ -183,6 +183,7 @@ def write_tokens(
     ``literal_specials`` a special token's string in a text is ordinary text.
     """
     spark = docs.sparkSession
+    shipped(spark)
     folder = folder or new_folder(spark, "tokens")
     order = [F.col("doc_id").asc_nulls_first()]
     rows = docs.select("doc_id", "text")
@@ -233,6 +234,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     ``start`` counts the ids of all documents before; ``n_tokens`` holds the end id too; ``ids_crc32`` is
     the checksum of the document's ids as little-endian unsigned 32-bit integers.
     """
+    shipped(spark)
     manifest = spark.read.parquet(f"{folder}/manifest")
     return manifest.repartition(max(1, manifest.count())).mapInArrow(
         _read_shards(pa.int64()), "doc_id long, start long, n_tokens long, ids_crc32 long"
