@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import quality_classifier, quality_rules, token_files
+from cohortspark.llm import quality_classifier, quality_rules, token_files, url_filter
 from cohortspark.session import tuned
 
+#: Fixed values of the query on urls: its rules, and the host labels that put a host on the list.
+URL_RULES = (
+    url_filter.Rule("allow", "com/"),
+    url_filter.Rule("block", "example.com/en/"),
+    url_filter.Rule("allow", "www.example.com/en/"),
+    url_filter.Rule("block", "net/es/"),
+    url_filter.Rule("block", "net/fr/"),
+)
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -42,6 +52,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's rule and verdict."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, URL_RULES, url_filter.hosts_with_labels(pages, LISTED_LABELS))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -51,5 +67,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_url_filter": op5_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
