@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import quality_classifier, quality_rules, token_files, url_filter
+from cohortspark.llm import mixture, quality_classifier, quality_rules, token_files, url_filter
 from cohortspark.session import tuned
 
 #: Fixed values of the query on urls: its rules, and the host labels that put a host on the list.
@@ -58,6 +58,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, URL_RULES, url_filter.hosts_with_labels(pages, LISTED_LABELS))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of the mix."""
+    return mixture.taken_words(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -68,5 +73,6 @@ QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filter": op5_url_filter,
+    "op7_source_mix": op7_source_mix,
     "op10_quality_rules": op10_quality_rules,
 }
