@@ -2,6 +2,40 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH texts AS (
+    SELECT doc_id, row_number() OVER () AS r,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), items AS (
+    SELECT item_id, least(13, len(words)) AS size, words FROM (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM benchmark)
+    WHERE len(words) > 0
+), windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS win
+    FROM items, unnest(range(1, len(words) - size + 2)) AS t(i)
+), sizes AS (SELECT DISTINCT size FROM windows), wins AS (SELECT DISTINCT size, win FROM windows
+), places AS (
+    SELECT r, i, size, array_to_string(words[i:i + size - 1], ' ') AS win
+    FROM texts, sizes, unnest(range(1, len(words) - size + 2)) AS t(i)
+), found AS (SELECT r, i, size, win FROM places JOIN wins USING (size, win)
+), hit AS (
+    SELECT r, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, size)) AS t(k) GROUP BY r
+), named AS (
+    SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (
+        SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name
+        FROM found JOIN windows USING (size, win) WHERE item_id IS NOT NULL)
+    GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM texts LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
 OP5 = """
 WITH parts AS (
     SELECT page_id,
@@ -31,5 +65,6 @@ FROM ruled
 """
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": OP2,
     "op5_url_filter": OP5,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import mixture, quality_classifier, quality_rules, token_files, url_filter
+from cohortspark.llm import decontaminate, mixture, quality_classifier, quality_rules, token_files, url_filter
 from cohortspark.session import tuned
 
 #: Fixed values of the query on urls: its rules, and the host labels that put a host on the list.
@@ -39,6 +39,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, token_files.write_tokens(docs, tokenizer_file()))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, hit words and benchmark items."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.scanned(docs, benchmark, keep=["doc_id"]))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, from labels of the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -71,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
+    "op2_decontamination": op2_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filter": op5_url_filter,
     "op7_source_mix": op7_source_mix,
