@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontaminate, mixture, quality_classifier, quality_rules, token_files, url_filter
+from cohortspark.llm import (
+    decontaminate,
+    mixture,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_files,
+    url_filter,
+)
 from cohortspark.session import tuned
 
 #: Fixed values of the query on urls: its rules, and the host labels that put a host on the list.
@@ -64,6 +72,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, URL_RULES, url_filter.hosts_with_labels(pages, LISTED_LABELS))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component it belongs to."""
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of the mix."""
     return mixture.taken_words(table(spark, sf_dir, "documents"))
@@ -80,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filter": op5_url_filter,
+    "op6_simhash": op6_simhash,
     "op7_source_mix": op7_source_mix,
     "op10_quality_rules": op10_quality_rules,
 }
