@@ -13,6 +13,7 @@ from cohortspark.llm import (
     quality_classifier,
     quality_rules,
     simhash,
+    substring_dedup,
     token_files,
     url_filter,
 )
@@ -85,6 +86,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes, what goes of them, and a digest of what stays."""
+    return substring_dedup.removed_spans(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -98,5 +104,6 @@ QUERIES: dict[str, Query] = {
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
     "op7_source_mix": op7_source_mix,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
