@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cohortspark.llm.licenses import LOWER, RULES, SENTENCE_END, SENTENCES, UPPER
+
 OP2 = r"""
 WITH texts AS (
     SELECT doc_id, row_number() OVER () AS r,
@@ -64,7 +66,78 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+OP9 = """
+WITH rows AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+        sha1(coalesce(html, '')) AS hex
+    FROM pages
+), classes AS (
+    SELECT hex, max(page_id) AS largest FROM rows GROUP BY hex
+), bits AS (
+    SELECT hex, array_to_string(list_transform(string_split(hex, ''),
+        lambda c: lpad(bin(strpos('123456789abcdef', c)), 4, '0')), '') AS bits
+    FROM classes
+), names AS (
+    SELECT hex, array_to_string(list_transform(range(0, 32), lambda i:
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(0, 5), lambda k:
+            CAST(bits[5 * i + k + 1] AS INTEGER) * (1 << CAST(4 - k AS INTEGER))))::INTEGER]), '')
+        AS payload_digest
+    FROM bits
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM rows JOIN classes USING (hex) JOIN names USING (hex)
+"""
+
+
+def _op3() -> str:
+    """The licence scan: a step of SQL for each rule."""
+
+    def fits(known: str) -> str:
+        return f"starts_with(s, '{known[:-1]}')" if known.endswith("*") else f"s = '{known}'"
+
+    cases = " ".join(f"WHEN {fits(known)} THEN '{name}'" for name, known in SENTENCES)
+    steps = []
+    for n, (name, ids) in enumerate(RULES):
+        chain = "".join(f",{i}," for i in ids)
+        steps.append(
+            f"step{n} AS (SELECT *, replace(l{n}, '{chain}', '/') AS l{n + 1}, "
+            f"contains(l{n}, '{chain}') AS f{n} FROM {'ids' if n == 0 else f'step{n - 1}'})"
+        )
+    distinct = list(dict.fromkeys(name for name, _ in RULES))
+    held = ", ".join(
+        "CASE WHEN "
+        + " OR ".join(f"f{n}" for n, (other, _) in enumerate(RULES) if other == name)
+        + f" THEN '{name}' END"
+        for name in distinct
+    )
+    return f"""
+WITH sentences AS (
+    SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '{SENTENCE_END}'), lambda s:
+        trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))) AS all_of
+    FROM documents
+), named AS (
+    SELECT doc_id, list_filter(list_transform(all_of, lambda s: CASE {cases} END), lambda x: x IS NOT NULL) AS ids
+    FROM sentences
+), ids AS (
+    SELECT *, CASE WHEN len(ids) > 0 THEN ',' || array_to_string(list_transform(ids, lambda x: x || ','), ',')
+        ELSE '' END AS l0
+    FROM named
+), {", ".join(steps)}
+SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+    coalesce(concat_ws(',', {held}), '') AS licenses,
+    coalesce(array_to_string(list_filter(string_split_regex(l{len(RULES)}, '[,/]+'), lambda x: x <> ''), ','), '')
+        AS unused
+FROM step{len(RULES) - 1}
+"""
+
+
+OP3 = _op3()
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2,
+    "op3_license_scan": OP3,
     "op5_url_filter": OP5,
+    "op9_warc": OP9,
 }

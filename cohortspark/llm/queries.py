@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm import (
     decontaminate,
+    licenses,
     mixture,
     quality_classifier,
     quality_rules,
@@ -16,6 +17,7 @@ from cohortspark.llm import (
     substring_dedup,
     token_files,
     url_filter,
+    warc,
 )
 from cohortspark.session import tuned
 
@@ -54,6 +56,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scanned(docs, benchmark, keep=["doc_id"]))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence sentences and licences."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, from labels of the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -91,6 +98,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_spans(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to archives and read back."""
+    folder = warc.write_archives(table(spark, sf_dir, "pages"))
+    archives = spark.read.parquet(f"{folder}/archives")
+    return warc.records(warc.read_archives(spark, archives))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -100,10 +114,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
     "op7_source_mix": op7_source_mix,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
