@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark.llm.bytewords import (
     BUCKETS,
@@ -39,6 +40,7 @@ SAMPLE_PER_CLASS = 1_000
 THRESHOLD = 0.5
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 
@@ -271,10 +273,10 @@ def _repeat_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int
     return int(marked.sum())
 
 
-def quality_rows(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, counts, ``base_failed``, ``probability`` and ``kept`` of every document.
+def judged(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """``row`` (a struct of all columns), counts, ``base_failed``, ``probability`` and ``kept``.
 
-    Needs ``doc_id`` and ``text``. The model travels as one broadcast of fixed size.
+    Needs ``text``. The model travels as one broadcast of fixed size.
     """
     shipped(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -286,21 +288,35 @@ def quality_rows(docs: DataFrame, model: Model | None, threshold: float = THRESH
             for raw in raw_texts(batch.column(1)):
                 rows.append(base_counts(raw))
                 chances.append(model.probability(raw) if model else 1.0)
-            columns = {k: pa.array([r[k] for r in rows], pa.int64()) for k in COUNTS}
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), **columns, "probability": pa.array(chances, pa.float64())}
+            counts = [pa.array([r[k] for r in rows], pa.int64()) for k in COUNTS]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *counts, pa.array(chances, pa.float64())],
+                names=["row", *COUNTS, "probability"],
             )
 
-    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        score,
-        "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", probability double",
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    schema = T.StructType(
+        [whole.schema["row"], *(T.StructField(k, T.LongType()) for k in COUNTS)]
+        + [T.StructField("probability", T.DoubleType())]
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
     )
-    return counted.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("probability") >= threshold)
+    return (
+        whole.mapInArrow(score, schema)
+        .withColumn("base_failed", failed)
+        .withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= threshold))
     )
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def quality_rows(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, counts, ``base_failed``, ``kept`` and ``probability`` of every document."""
+    found = judged(docs.select("doc_id", "text"), model)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "probability"
+    )
+
+
+def kept_documents(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents that pass, with their columns."""
+    return judged(docs, model).filter("kept").select("row.*")
