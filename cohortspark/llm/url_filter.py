@@ -137,7 +137,7 @@ def filter_size(inside: int, outside: int, level: int) -> tuple[int, int]:
 
     The first level passes about inside / sqrt(2) of the others, the later ones half.
     """
-    chance = min(0.5, inside * math.sqrt(0.5) / max(1, outside)) if level == 1 else 0.5
+    chance = min(0.5, max(1, inside) * math.sqrt(0.5) / max(1, outside)) if level == 1 else 0.5
     bits = math.ceil(inside * math.log2(1 / chance) / math.log(2))
     return max(64, -(-bits // 64) * 64), max(1, round(math.log2(1 / chance)))
 
