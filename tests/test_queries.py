@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cohortspark.plans.oracles import ORACLES
+from cohortspark.plans.queries import QUERIES
 from compare import differences, tables
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,8 @@ def connection():
 
 
 def test_every_oracle_has_a_query():
-    assert ORACLES.keys() <= QUERIES.keys()
+    assert oracle_sql().keys() <= queries().keys()
+    assert QUERIES.keys() <= queries().keys()
     assert QUERIES.keys() - ORACLES.keys() == {"adjusted_odds", "estimates"}
 
 
