@@ -37,6 +37,8 @@ HASH_SEED = 42
 RADIUS = 3
 #: Fingerprints of a bucket that one task compares; a larger bucket is cut by further bits.
 MOST = 8192
+#: The bits that are free after this cut, 9 at most, bound a bucket by themselves.
+LAST_CUT, ANY = 2, 1 << 62
 #: Shingles hashed at a time.
 BATCH = 1 << 16
 
@@ -169,13 +171,14 @@ def link_fingerprints(values: DataFrame, most: int = MOST) -> DataFrame:
     """``a`` and ``b``: links that connect the distinct fingerprints ``fp`` as all pairs within the radius do."""
     shipped(values.sparkSession)
     rows, found = values.select("fp", F.lit(0).cast("long").alias("path")), []
-    for depth in range(4):
+    for depth in range(LAST_CUT + 1):
         placed = _tables(rows, depth)
         sizes = placed.groupBy("path", "key").agg(
             F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")
         )
         sizes = written(sizes.filter("n > 1"), "bucket_sizes")
         found.append(sizes.filter((F.col("n") == 2) & _near("a", "b")).select("a", "b"))
+        most = most if depth < LAST_CUT else ANY  # its few free bits bound it
         some = sizes.filter((F.col("n") > 2) & (F.col("n") <= most)).select("path", "key")
         found.append(
             placed.join(some, ["path", "key"])
@@ -187,8 +190,6 @@ def link_fingerprints(values: DataFrame, most: int = MOST) -> DataFrame:
         large = sizes.filter(F.col("n") > most).select("path", "key")
         if large.isEmpty():
             break
-        if depth == 3:
-            raise AssertionError("the free bits bound a bucket of this depth")
         rows = written(placed.join(large, ["path", "key"]).select("fp", "path").distinct(), "large_buckets")
     links = found[0]
     for part in found[1:]:
