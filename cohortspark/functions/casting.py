@@ -23,8 +23,8 @@ def digits(text: str) -> str:
 
 
 def safe_date(text: str) -> str:
-    """dd/mm/yyyy that names a calendar day, else NULL."""
-    test = _matches(text, r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z")
+    """dd/mm/yyyy that names a calendar day, else NULL; there is no year 0."""
+    test = _matches(text, r"^[0-9]{2}/[0-9]{2}/(?!0000)[0-9]{4}\z")
     iso = f"concat(substr({text}, 7, 4), '-', substr({text}, 4, 2), '-', substr({text}, 1, 2))"
     return f"CASE WHEN {test} THEN try_cast({iso} AS date) END"
 

@@ -592,19 +592,24 @@ def count_mismatch(stages: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 
 def sample_differences(
-    expected: DataFrame, found: DataFrame, key: Sequence[str], row: str, every: int
+    expected: DataFrame, found: DataFrame, key: Sequence[str], row: str, every: int, file: str
 ) -> DataFrame:
-    """Cells that differ, for every Nth row and the last one of ``expected``.
+    """Cells that differ, for every Nth row of each file and its last one in ``expected``.
 
-    The last row is a scalar of the expected table; both sides are filtered before the join.
+    The last rows are one small map of the files; both sides are filtered before the join.
     """
     columns = [c for c in expected.columns if c not in key]
-    last = expected.agg(F.max(row)).scalar()
+    last = (
+        expected.groupBy(file)
+        .agg(F.max(row).alias("last"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(file, "last"))).alias("lasts"))
+        .scalar()
+    )
 
     def sampled(df: DataFrame, value: str) -> DataFrame:
         cells = array(struct(column=quoted(c), value=c) for c in columns)
         return (
-            df.filter((F.col(row) % every == 0) | (F.col(row) == last))
+            df.filter((F.col(row) % every == 0) | (F.col(row) == F.try_element_at(last, F.col(file))))
             .selectExpr(*key, f"inline({cells})")
             .withColumnRenamed("value", value)
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -130,18 +130,11 @@ def reached(combos: DataFrame, week: int) -> DataFrame:
     return combos.filter(F.col("weeks") >= week)
 
 
-def in_years(cells: DataFrame, years: Sequence[int]) -> DataFrame:
-    return cells.filter(F.col("year").isin(*years))
-
-
-def format_years(years: Iterable[int]) -> str:
-    """Years as text: a range when contiguous, a list otherwise."""
-    ordered = sorted(set(years))
-    if not ordered:
-        raise ValueError("no years to write")
-    if len(ordered) > 1 and ordered[-1] - ordered[0] + 1 == len(ordered):
-        return f"{ordered[0]}-{ordered[-1]}"
-    return ",".join(map(str, ordered))
+def years_text(years: Sequence[int]) -> str:
+    """The label of a period: its ends where it has no gap, else every year."""
+    first, last = min(years), max(years)
+    whole = 1 < len({*years}) == last - first + 1
+    return f"{first}-{last}" if whole else ",".join(map(str, sorted({*years})))
 
 
 def period_label(rows: DataFrame, year: str) -> DataFrame:
@@ -185,7 +178,7 @@ def analyses(
     ]
     grid += [Analysis(ANALYSIS, ("a", "c"), cutoff, period) for cutoff in cutoffs]
     if axis_years and set(axis_years) < set(run_years):
-        label = format_years(axis_years)
+        label = years_text(axis_years)
         grid.append(Analysis(ANALYSIS, ("a", "c"), PRETERM_WEEKS, label, tuple(axis_years)))
     grid += [Analysis(ANALYSIS, ("a", "c"), PRETERM_WEEKS, period, None, s) for s in strata]
     return grid

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.exposure import level_order, reference_of
+from cohortspark.functions.exposure import reference_of
 from cohortspark.functions.text import struct
 
 #: The 97.5th percentile of the standard normal.
 Z = 1.959963984540054
 
+#: Two shares closer than this, relative to the larger, are equal: sums of doubles round by less.
+NO_DIFFERENCE = 1e-12
+
 GROUP = (
     "source",
     "definition",
@@ -27,7 +30,8 @@ def crude(counts: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
     """Odds ratio, Wald limits and risk difference of each level against the reference.
 
     A group holds the levels of one measure, so the reference reaches its rows with a window and no
-    join. An odds ratio needs four non-empty cells; a risk difference needs births on both sides.
+    join. An odds ratio needs four non-empty cells; a risk difference needs births on both sides, and is
+    0 where the shares differ by no more than rounding.
     """
     group = Window.partitionBy(*keys)
     is_reference = F.expr(f"level = {reference_of()}")
@@ -51,17 +55,19 @@ def crude(counts: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
             "*",
             f"CASE WHEN {full} THEN ln(_a / _b) - ln(_c / _d) END AS _log",
             f"CASE WHEN {full} THEN {Z}D * sqrt(1 / _a + 1 / _b + 1 / _c + 1 / _d) END AS _margin",
-            "CASE WHEN births > 0 AND r_births > 0 "
-            "THEN _a / (_a + _b) - _c / (_c + _d) END AS risk_difference",
+            "CASE WHEN births > 0 AND r_births > 0 THEN _a / (_a + _b) END AS _risk",
+            "CASE WHEN births > 0 AND r_births > 0 THEN _c / (_c + _d) END AS _r_risk",
         )
         .selectExpr(
             "*",
+            f"CASE WHEN abs(_risk - _r_risk) <= {NO_DIFFERENCE}D * greatest(_risk, _r_risk) THEN 0D "
+            "ELSE _risk - _r_risk END AS risk_difference",
             "exp(_log) AS odds_ratio",
             "exp(_log - _margin) AS lower_limit",
             "exp(_log + _margin) AS upper_limit",
         )
         .selectExpr("*", "coalesce(lower_limit > 1 OR upper_limit < 1, false) AS excludes_one")
-        .drop("_a", "_b", "_c", "_d", "_log", "_margin", "r_births", "r_preterm")
+        .drop("_a", "_b", "_c", "_d", "_log", "_margin", "_risk", "_r_risk", "r_births", "r_preterm")
     )
 
 
@@ -125,7 +131,3 @@ def largest_share_difference(shares: DataFrame, others: DataFrame) -> DataFrame:
         .agg(F.expr(f"max({difference}) AS largest"))
     )
 
-
-def ordered(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows in display order: the keys, then the position of the level."""
-    return rows.withColumn("level_order", F.expr(level_order())).orderBy(*keys, "level_order")

@@ -422,7 +422,7 @@ d_person AS (
   SELECT * REPLACE (
     CASE WHEN location_id IS NOT NULL AND person_id % 223 = 5 THEN 999999 ELSE location_id END
       AS location_id,
-    CASE WHEN person_id > 1000000000 AND person_id % 281 = 12 THEN 31 ELSE day_of_birth END
+    CASE WHEN person_id > 10000000000000000 AND person_id % 281 = 12 THEN 31 ELSE day_of_birth END
       AS day_of_birth)
   FROM person WHERE person_id % 211 <> 3
 ),
@@ -892,6 +892,12 @@ shares AS (
     AND o.measure = n.measure AND o.variant = n.variant AND o.level = n.level
     AND o.scenario = n.scenario
 )"""
+oracle(
+    "null_long_calendar",
+    NULL,
+    "SELECT scenario, round(CAST(sum(births) AS DOUBLE), 3) AS births FROM combos, "
+    "(VALUES ('e1'), ('e2')) AS w(scenario) GROUP BY scenario",
+)
 # The index of the observed combinations and that of the null model have tables of their own.
 _observed_index = s.INDEX.replace("{source}", "analysis").replace("index_", "observed_index_")
 SHARE_LAYERS = (
@@ -1188,7 +1194,7 @@ oracle(
         s.REGISTRY,
         s.DAMAGED_REGISTRY,
         "sampled AS (SELECT * FROM registry WHERE source_row % 100 = 0 "
-        "OR source_row = (SELECT max(source_row) FROM registry))",
+        "OR (source_year, source_row) IN (SELECT source_year, max(source_row) FROM registry GROUP BY 1))",
     ),
     " UNION ALL ".join(
         f"SELECT w.source_year, w.source_row, '{c}' AS \"column\", w.{c} AS wanted, g.{c} AS got, "

@@ -55,7 +55,7 @@ registry AS (
 DAMAGED_REGISTRY = """
 damaged AS (
   SELECT source_year,
-    CASE WHEN source_row % 389 = 0 THEN source_row + 10000000 ELSE source_row END AS source_row,
+    CASE WHEN source_row % 389 = 0 THEN source_row + 100000000000 ELSE source_row END AS source_row,
     CASE WHEN source_row % 97 = 5 THEN '31/02/1999' WHEN source_row % 97 = 6 THEN NULL
       WHEN source_row % 97 = 7 THEN 'it''s' ELSE fechanacimiento END AS fechanacimiento,
     fechanacimientomadre,
@@ -81,7 +81,8 @@ def code_map_cte() -> str:
 
 def _date(column: str) -> str:
     return (
-        f"CASE WHEN regexp_full_match({column}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') THEN "
+        f"CASE WHEN regexp_full_match({column}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') "
+        f"AND {column} NOT LIKE '%/0000' THEN "
         f"try_cast(substr({column}, 7, 4) || '-' || substr({column}, 4, 2) || '-' "
         f"|| substr({column}, 1, 2) AS DATE) END"
     )
@@ -129,7 +130,7 @@ def records_cte(source: str = "registry") -> str:
 {code_map_cte()},
 ruled AS (
   SELECT r.*,
-    (r.source_year - 1990) * CAST(10000000 AS BIGINT) + r.source_row AS person_id,
+    (r.source_year - 1990) * CAST(100000000000 AS BIGINT) + r.source_row AS person_id,
     {_date("r.fechanacimiento")} AS delivery_date,
     CASE WHEN md.code IS NULL THEN {_date("r.fechanacimientomadre")} END AS mother_birth_date,
     CASE WHEN ag.code IS NULL AND regexp_full_match(r.edad, '[0-9]+')
@@ -155,7 +156,7 @@ ruled AS (
     {joins}
 ),
 records AS (
-  SELECT *, person_id + 1000000000 AS newborn_person_id,
+  SELECT *, person_id + 10000000000000000 AS newborn_person_id,
     year_of_birth_case IS NOT NULL AS loaded,
     CASE WHEN year_of_birth_case = 'mother_date' THEN CAST(year(mother_birth_date) AS INTEGER)
       WHEN year_of_birth_case = 'age' THEN CAST(year(delivery_date) - declared_age AS INTEGER)
@@ -440,7 +441,9 @@ def crude_cte(source: str, keys: str, name: str = "crude") -> str:
     CASE WHEN a > 0 AND b > 0 AND c > 0 AND d > 0
       THEN exp(ln(a / b) - ln(c / d) + 1.959963984540054 * sqrt(1/a + 1/b + 1/c + 1/d)) END
       AS upper_limit,
-    CASE WHEN a + b > 0 AND c + d > 0 THEN a / (a + b) - c / (c + d) END AS risk_difference
+    CASE WHEN a + b > 0 AND c + d > 0 THEN
+      CASE WHEN abs(a / (a + b) - c / (c + d)) <= 1e-12 * greatest(a / (a + b), c / (c + d)) THEN 0.0
+        ELSE a / (a + b) - c / (c + d) END END AS risk_difference
   FROM {name}_pairs
 )"""
 

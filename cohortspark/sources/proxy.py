@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalogue import SOURCE_COLUMNS, Ids, Settings
 
-#: The order years start before 2000, so the stand-in registry counts its years from 1990.
-PROXY_SETTINGS = Settings(ids=Ids(first_year=1990, last_year=2089))
+#: The order years start before 2000, so the stand-in registry counts its years from 1990. Its ids have room
+#: for 100 billion records a year: the tables grow with no bound of their own.
+PROXY_SETTINGS = Settings(
+    ids=Ids(first_year=1990, last_year=2089, rows_per_year=10**11, newborn_offset=10**16)
+)
 
 #: The years a run over the stand-in registry asks for.
 PROXY_YEARS = tuple(range(1990, 2011))
@@ -84,7 +87,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def damaged_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records with the values that stop a load: bad dates, long texts, high rows."""
     changes = {
-        "source_row": "CASE WHEN source_row % 389 = 0 THEN source_row + 10000000 "
+        "source_row": "CASE WHEN source_row % 389 = 0 THEN source_row + 100000000000 "
         "ELSE source_row END",
         "fechanacimiento": "CASE source_row % 97 WHEN 5 THEN '31/02/1999' WHEN 6 THEN NULL "
         "WHEN 7 THEN \"it's\" ELSE fechanacimiento END",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -44,20 +45,21 @@ class SourceRefused(ValueError):
 
 
 def staged_columns(header: Sequence[str]) -> list[str]:
-    """The staging name of each source column: lower case, a bare identifier, unique."""
-    if not header:
-        raise SourceRefused("the file has no header")
-    names: list[str] = []
-    for name in header:
-        lower = name.lower()
-        if not _IDENTIFIER.match(name):
-            raise SourceRefused(f"{name!r} is not a bare identifier")
-        if lower == SOURCE_ROW:
-            raise SourceRefused(f"the source already has a column {SOURCE_ROW}")
-        if lower in names:
-            raise SourceRefused(f"{name!r} appears twice, ignoring case")
-        names.append(lower)
-    return names
+    """The staging name of each source column: its lower case.
+
+    Refuses, all faults at once, a header that is empty or holds names that are no bare identifiers,
+    reserved, or alike but for case.
+    """
+    lower = [name.lower() for name in header]
+    faults = {
+        "no columns": not lower,
+        "no bare identifier": sorted(n for n in header if not _IDENTIFIER.match(n)),
+        "reserved": sorted({SOURCE_ROW} & set(lower)),
+        "repeated": sorted(n for n, times in Counter(lower).items() if times > 1),
+    }
+    if any(faults.values()):
+        raise SourceRefused("; ".join(f"{k}: {v}" for k, v in faults.items() if v))
+    return lower
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -157,11 +159,6 @@ def union_years(years: Mapping[int, DataFrame], columns: Sequence[str]) -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_years(spark: SparkSession, path: str, years: Sequence[int]) -> DataFrame:
-    """The years asked for of a dataset partitioned by source_year; the others are not read."""
-    return spark.read.parquet(path).filter(F.col("source_year").isin(*years))
-
-
 def replace_years(df: DataFrame, path: str) -> None:
     """Replace the partitions of the years in ``df``, and leave every other year as it is."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
