@@ -1,6 +1,8 @@
-"""One binomial fit on a table of counts: a small helper for the grouped fits.
+"""Binomial regression with a logit link on one table of counts whose terms are all categorical.
 
-Spark groups and ships the rows; this solves one model whose size is bounded by its categories.
+Every category of every term has a number; a row is the numbers of its categories, so sums over rows by
+number, or by a pair of them, give the score and the information without a design matrix. A term's base
+category has no coefficient. The rows are distinct combinations of categories, bounded by their product.
 """
 
 from __future__ import annotations
@@ -9,87 +11,108 @@ import numpy as np
 import pandas as pd
 
 Z = 1.959963984540054
-_MAX_STEPS = 60
-_TOLERANCE = 1e-10
-
-
-def one_outcome_rows(table: pd.DataFrame, terms: list[str]) -> np.ndarray:
-    """Rows left once every level whose births are all of one outcome is set aside, repeatedly."""
-    kept = np.ones(len(table), dtype=bool)
-    births = table["births"].to_numpy(dtype=float)
-    preterm = table["preterm"].to_numpy(dtype=float)
-    codes = [pd.factorize(table[term])[0] for term in terms]
+_STEPS = 60
+_SETTLED = 1e-9
+#: A row of one outcome that is fitted this closely is predicted exactly: its estimate has no finite value.
+_EXACT = 1e-6
+
+
+class Categories:
+    """Rows as category numbers: column 0 is the intercept, then the terms' categories but their bases."""
+
+    def __init__(self, table: pd.DataFrame, bases: dict[str, str]) -> None:
+        self.names: list[tuple[str, str] | None] = [None]
+        numbers = [np.zeros(len(table), dtype=np.int64)]
+        for term, base in bases.items():
+            own = {base: -1}
+            for value in sorted(set(table[term]) - {base}):
+                own[value] = len(self.names)
+                self.names.append((term, value))
+            numbers.append(table[term].map(own).to_numpy(dtype=np.int64))
+        self.size = len(self.names)
+        # One more place takes what belongs to base categories.
+        self.rows = np.where(np.stack(numbers) < 0, self.size, np.stack(numbers))
+
+    def linear(self, coefficients: np.ndarray) -> np.ndarray:
+        return np.append(coefficients, 0.0)[self.rows].sum(axis=0)
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """By category, the sum of the rows' weights."""
+        found = sum(np.bincount(own, weight, self.size + 1) for own in self.rows)
+        return found[: self.size]
+
+    def products(self, weight: np.ndarray) -> np.ndarray:
+        """By pair of categories, the sum of the rows' weights."""
+        wide = self.size + 1
+        found = sum(
+            np.bincount(a * wide + b, weight, wide * wide) for a in self.rows for b in self.rows
+        )
+        return found.reshape(wide, wide)[: self.size, : self.size]
+
+    def undetermined(self) -> np.ndarray:
+        """Categories whose coefficient can be traded against others without changing any row."""
+        values, vectors = np.linalg.eigh(self.products(np.ones(self.rows.shape[1])))
+        idle = vectors[:, values < 1e-9 * values.max()]
+        return (np.abs(idle) > 1e-6).any(axis=1)
+
+
+def mixed_rows(codes: np.ndarray, births: np.ndarray, cases: np.ndarray) -> np.ndarray:
+    """The rows left when no category of any term has births of one outcome alone any more.
+
+    ``codes`` has a row for each term, numbered without overlap.
+    """
+    left = np.ones(len(births), dtype=bool)
+    size = codes.max(initial=0) + 1
     while True:
-        drop = np.zeros(len(table), dtype=bool)
-        for code in codes:
-            total = np.bincount(code, births * kept, minlength=code.max() + 1)
-            cases = np.bincount(code, preterm * kept, minlength=code.max() + 1)
-            single = (cases == 0) | (cases == total)
-            drop |= single[code]
-        drop &= kept
-        if not drop.any():
-            return kept
-        kept &= ~drop
-
-
-def term_reference(table: pd.DataFrame, term: str):
-    """The latest year; for other terms the value with most births, ties by text."""
-    births = table.groupby(term, sort=False)["births"].sum()
+        total, case = (
+            np.bincount(codes[:, left].ravel(), np.tile(x[left], len(codes)), size) for x in (births, cases)
+        )
+        pure = (case == 0) | (case == total)
+        out = left & pure[codes].any(axis=0)
+        if not out.any():
+            return left
+        left &= ~out
+
+
+def base_category(table: pd.DataFrame, term: str) -> str:
+    """The last year; of other terms the category with the most births, the first in text among equals."""
     if term == "year":
-        return max(births.index, key=int)
-    return min(births.index, key=lambda value: (-births[value], str(value)))
-
-
-def design(table: pd.DataFrame, exposure: str, reference: str, covariates: list[str]):
-    """Dummy columns of every term but its reference, exposure first, after the intercept."""
-    columns, blocks = {}, [np.ones((len(table), 1))]
-    width = 1
-    for term in [exposure, *covariates]:
-        base = reference if term == exposure else term_reference(table, term)
-        values = sorted(set(table[term]) - {base}, key=str)
-        position = {value: i for i, value in enumerate(values)}
-        index = table[term].map(lambda v, p=position: p.get(v, -1)).to_numpy()
-        block = np.zeros((len(table), len(values)))
-        rows = np.nonzero(index >= 0)[0]
-        block[rows, index[rows]] = 1.0
-        blocks.append(block)
-        if term == exposure:
-            columns = {value: width + i for value, i in position.items()}
-        width += len(values)
-    return columns, np.hstack(blocks)
-
-
-def identified(x: np.ndarray) -> np.ndarray:
-    """Whether each coefficient is determined: its unit vector lies in the row space."""
-    gram = x.T @ x
-    values, vectors = np.linalg.eigh(gram)
-    basis = vectors[:, values > values.max() * max(x.shape) * np.finfo(float).eps]
-    return np.isclose((basis**2).sum(axis=1), 1.0)
-
-
-def newton(x: np.ndarray, births: np.ndarray, preterm: np.ndarray):
-    """Iteratively reweighted least squares; returns the fit, its covariance and the last change."""
-    beta = np.zeros(x.shape[1])
-    mean = np.clip((preterm + 0.5) / (births + 1.0), 1e-12, 1 - 1e-12)
-    eta = np.log(mean / (1 - mean))
-    previous, change = np.inf, np.full(len(births), np.inf)
-    for _ in range(_MAX_STEPS):
+        return max(table[term], key=int)
+    births = table.groupby(term)["births"].sum()
+    return births[births == births.max()].index.min()
+
+
+def estimated(categories: Categories, births: np.ndarray, cases: np.ndarray):
+    """Coefficients, their covariance, each row's fitted share, and whether the score came to zero.
+
+    Newton's method, each step halved until the likelihood does not fall.
+    """
+
+    def likelihood(eta: np.ndarray) -> float:
+        return float((cases * eta - births * np.logaddexp(0, eta)).sum())
+
+    share = cases.sum() / births.sum()
+    beta = np.zeros(categories.size)
+    beta[0] = np.log(share / (1 - share))
+    eta = categories.linear(beta)
+    best = likelihood(eta)
+    for _ in range(_STEPS):
         mean = 1 / (1 + np.exp(-eta))
-        weight = np.maximum(births * mean * (1 - mean), 1e-300)
-        working = eta + (preterm - births * mean) / weight
-        gram = x.T @ (x * weight[:, None])
-        beta = np.linalg.pinv(gram, hermitian=True) @ (x.T @ (weight * working))
-        new = np.clip(x @ beta, -40, 40)
-        change, eta = new - eta, new
-        deviance = -2 * np.sum(preterm * eta - births * np.logaddexp(0, eta))
-        if abs(previous - deviance) <= _TOLERANCE * (abs(deviance) + 0.1):
-            settled = np.abs(change).max() < 1e-4
-            if settled:
+        score = categories.sums(cases - births * mean)
+        information = categories.products(births * mean * (1 - mean))
+        step = np.linalg.pinv(information, rcond=1e-13, hermitian=True) @ score
+        for _ in range(30):
+            new = categories.linear(beta + step)
+            if likelihood(new) >= best - 1e-12 * abs(best):
                 break
-        previous = deviance
+            step = step / 2
+        beta, eta, best = beta + step, new, likelihood(new)
+        if np.abs(step).max() < _SETTLED or np.abs(eta).max() > 60:
+            break
     mean = 1 / (1 + np.exp(-eta))
-    gram = x.T @ (x * (births * mean * (1 - mean))[:, None])
-    return beta, np.linalg.pinv(gram, hermitian=True), change, eta
+    information = categories.products(births * mean * (1 - mean))
+    settled = bool(np.abs(categories.sums(cases - births * mean)).max() < 1e-6 * births.sum())
+    return beta, np.linalg.pinv(information, rcond=1e-13, hermitian=True), mean, settled
 
 
 def adjusted(
@@ -98,51 +121,54 @@ def adjusted(
     exposure: str = "level",
     covariates: tuple[str, ...] = ("age_group", "education", "state", "year"),
 ) -> pd.DataFrame:
-    """Adjusted odds ratio of each level against the reference, and the births set aside.
+    """Odds ratio of each level against the reference, given the covariates, and the births set aside.
 
-    Levels of one outcome are set aside first; rows that some combination of levels predicts
-    exactly are found by their linear predictor still growing after the other rows settled, and
-    are set aside too. A level aliased with others, or set aside, has no odds ratio.
-
-    ``fitted`` is the preterm births the fit gives each level, the rows predicted exactly included
-    as they are: with every term categorical it equals the observed births of the level.
+    Set aside are rows without a value in some term, then categories of one outcome, then rows predicted exactly.
+    A level that is set aside, or whose coefficient others can take over, has no odds ratio. ``fitted`` is the
+    preterm births fitted to a level; rows predicted exactly count as they are.
     """
     terms = [exposure, *covariates]
-    table = table.sort_values(terms, key=lambda s: s.astype(str), kind="stable")
-    table = table.reset_index(drop=True)
-    total = table["births"].sum()
-    empty = pd.DataFrame(
-        {"level": sorted(set(table[exposure]) - {reference})},
-    ).assign(odds_ratio=np.nan, lower_limit=np.nan, upper_limit=np.nan, fitted=np.nan)
-    kept = table[one_outcome_rows(table, terms)]
+    levels = sorted(set(table[exposure].dropna().astype(str)) - {reference})
+    result = pd.DataFrame(
+        {c: np.nan for c in ("odds_ratio", "lower_limit", "upper_limit", "fitted")}, index=levels
+    )
+    births_in_all = int(table["births"].sum())
+    whole = table[table[terms].notna().all(axis=1)]
+    text = whole[terms].map(lambda v: str(int(v)) if isinstance(v, float) else str(v))
+    rows = text.assign(births=whole["births"], preterm=whole["preterm"])
+    rows = rows.sort_values(terms, kind="stable").reset_index(drop=True)
+    if len(rows):
+        codes, before = [], 0
+        for term in terms:
+            own, values = pd.factorize(rows[term])
+            codes.append(own + before)
+            before += len(values)
+        counted = (rows[c].to_numpy(dtype=float) for c in ("births", "preterm"))
+        rows = rows[mixed_rows(np.stack(codes), *counted)]
     exact = pd.Series(dtype=float)
-    while True:
-        aside = int(total - kept["births"].sum())
-        if reference not in set(kept[exposure]):
-            return empty.assign(set_aside=aside, converged=True)
-        columns, x = design(kept, exposure, reference, list(covariates))
-        births = kept["births"].to_numpy(dtype=float)
-        preterm = kept["preterm"].to_numpy(dtype=float)
-        beta, covariance, change, eta = newton(x, births, preterm)
-        single = (preterm == 0) | (preterm == births)
-        growing = single & ((np.abs(change) > 0.5) | (np.abs(eta) >= 30))
-        if not growing.any():
-            break
-        gone = kept[growing].groupby(exposure)["preterm"].sum()
-        exact = exact.add(gone, fill_value=0)
-        kept = kept[~growing]
-    converged = bool(np.abs(change).max() < 1e-3)
-    known = identified(x)
-    error = np.sqrt(np.clip(np.diag(covariance), 0, None))
-    result = empty.set_index("level")
-    means = pd.Series(births / (1 + np.exp(-eta)), index=kept.index)
-    fitted = means.groupby(kept[exposure]).sum().add(exact, fill_value=0)
-    limits = ["odds_ratio", "lower_limit", "upper_limit"]
-    for level, column in columns.items():
-        if known[column] and converged:
-            low, high = beta[column] - Z * error[column], beta[column] + Z * error[column]
-            result.loc[level, limits] = [np.exp(beta[column]), np.exp(low), np.exp(high)]
-    result["fitted"] = fitted.reindex(result.index)
+    converged = True
+    while reference in set(rows[exposure]):
+        bases = {t: reference if t == exposure else base_category(rows, t) for t in terms}
+        categories = Categories(rows, bases)
+        births, cases = (rows[c].to_numpy(dtype=float) for c in ("births", "preterm"))
+        beta, covariance, mean, converged = estimated(categories, births, cases)
+        pure = (cases == 0) | (cases == births)
+        out = pure & (np.abs(cases / births - mean) < _EXACT)
+        if out.any():
+            exact = exact.add(rows[out].groupby(exposure)["preterm"].sum(), fill_value=0)
+            rows = rows[~out]
+            continue
+        loose = categories.undetermined()
+        fitted = pd.Series(births * mean).groupby(rows[exposure].to_numpy()).sum()
+        result["fitted"] = fitted.add(exact, fill_value=0).reindex(levels)
+        for number, name in enumerate(categories.names):
+            if name and name[0] == exposure and converged and not loose[number]:
+                spread = Z * np.sqrt(covariance[number, number])
+                limits = np.array([0.0, -spread, spread]) + beta[number]
+                result.loc[name[1], ["odds_ratio", "lower_limit", "upper_limit"]] = np.exp(limits)
+        break
+    result.index.name = "level"
+    aside = births_in_all - int(rows["births"].sum())
     return result.reset_index().assign(set_aside=aside, converged=converged)
 
 

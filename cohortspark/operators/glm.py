@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +17,6 @@ from cohortspark.session import checkpointed, small_side
 # Executors need no copy of this package: the fit travels with its tasks.
 cloudpickle.register_pickle_by_value(logit)
 
-#: A model with more distinct cells than this is fitted across the cluster instead of in one task.
-GROUPED_ROWS = 200_000
-
 _RESULT = ", ".join(
     [
         "definition int, period string, cutoff int, measure string, variant string",
@@ -31,47 +27,20 @@ _RESULT = ", ".join(
 )
 
 
-def fit_groups(tables: DataFrame) -> DataFrame:
-    """Every model of a long table of models, one task per model.
+def fit_all(tables: DataFrame, covariates: Sequence[str] = COVARIATES) -> DataFrame:
+    """Every model of a long table of models, one task per model and one way for all sizes.
 
-    A model's rows are its distinct cells, bounded by its categories and not by the births.
-    ``fit_all`` sends models above the bound to the distributed fit.
+    A model's rows are its distinct cells, bounded by the product of its categories and not by the births.
     """
-    columns = [*FIT_KEYS, "level", *COVARIATES, "births", "preterm"]
+    columns = [*FIT_KEYS, "level", *covariates, "births", "preterm"]
     references = {m: reference_level(m) for m in ("a", "a_count", "b", "c", "d")}
-    fit = logit.fit_group(FIT_KEYS, references, COVARIATES)
+    fit = logit.fit_group(FIT_KEYS, references, tuple(covariates))
     fitted = tables.select(*columns).groupBy(*FIT_KEYS).applyInPandas(fit, schema=_RESULT)
     numbers = ("odds_ratio", "lower_limit", "upper_limit", "fitted")
     clean = [f"nullif({c}, double('NaN')) AS {c}" for c in numbers]
     return fitted.selectExpr(*FIT_KEYS, "level", *clean, "set_aside", "converged")
 
 
-def fit_all(tables: DataFrame, grouped_rows: int = GROUPED_ROWS) -> DataFrame:
-    """Every model: those within the row bound in one grouped job, the others one by one."""
-    tables = checkpointed(tables)
-    large = (
-        tables.groupBy(*FIT_KEYS)
-        .count()
-        .filter(F.col("count") > grouped_rows)
-        .select(*FIT_KEYS)
-        .collect()
-    )
-    if not large:
-        return fit_groups(tables)
-    big = F.lit(False)
-    results = []
-    for row in large:
-        test = F.lit(True)
-        for key in FIT_KEYS:
-            test = test & (F.col(key) == row[key])
-        big = big | test
-        results.append(fit_distributed(tables.filter(test), row.asDict()))
-    result = fit_groups(tables.filter(~big))
-    for found in results:
-        result = result.unionByName(found)
-    return result
-
-
 def single_outcome_values(tables: DataFrame, terms: Sequence[str]) -> DataFrame:
     """The values of each term of each model whose births are all preterm or all term."""
     values = array(struct(term=quoted(t), value=f"string({t})") for t in terms)
@@ -86,9 +55,10 @@ def single_outcome_values(tables: DataFrame, terms: Sequence[str]) -> DataFrame:
 def drop_one_outcome(tables: DataFrame, terms: Sequence[str]) -> DataFrame:
     """The models without the values of one outcome, repeated until no model holds one.
 
-    Each round drops at least one value, so there are no more rounds than values. A round sums the
+    A row without a value in some term belongs to no category and goes first. Each round drops at least one value, so there are no more rounds than values. A round sums the
     values of all models in one shuffle; the found values are few and written, as are the rows left.
     """
+    tables = tables.na.drop(subset=list(terms))
     while True:
         found = checkpointed(single_outcome_values(tables, terms).select(*FIT_KEYS, "term", "value"))
         if found.isEmpty():
@@ -120,83 +90,6 @@ def reference_values(tables: DataFrame, term: str) -> DataFrame:
     )
 
 
-def fit_distributed(table: DataFrame, names: dict) -> DataFrame:
-    """One model of any number of cells, fitted by Spark's generalized linear regression.
-
-    The outcome is the share of preterm births, weighted by the births. Each term is indexed with
-    its reference last, the value the encoder leaves out.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    spark = table.sparkSession
-    terms = ["level", *COVARIATES]
-    total = table.agg(F.sum("births")).first()[0]
-    levels = [r[0] for r in table.select("level").distinct().collect()]
-    reference = reference_level(names["measure"])
-    kept = drop_one_outcome(table, terms)
-    aside = int(total - (kept.agg(F.sum("births")).first()[0] or 0))
-    values = {}
-    for term in terms:
-        births = {
-            r[0]: r[1] for r in kept.groupBy(term).agg(F.sum("births")).collect()
-        }
-        if term == "level":
-            base = reference
-        elif term == "year":
-            base = max(births, default=None)
-        else:
-            base = min(births, key=lambda v: (-births[v], str(v)), default=None)
-        values[term] = [*sorted((v for v in births if v != base), key=str), base]
-        if term == "level" and reference not in births:
-            rows = [(*(names[k] for k in FIT_KEYS), v, None, None, None, None, aside, True)
-                    for v in levels if v != reference]
-            return spark.createDataFrame(rows, _RESULT)
-    used = [t for t in terms if len(values[t]) > 1]
-    frame = kept
-    for term in used:
-        order = ", ".join(f"'{v}'" for v in values[term])
-        frame = frame.withColumn(
-            f"{term}_i", F.expr(f"CAST(array_position(array({order}), string({term})) - 1 AS double)")
-        )
-    frame = frame.withColumn("share", F.expr("preterm / births"))
-    encoder = OneHotEncoder(
-        inputCols=[f"{t}_i" for t in used], outputCols=[f"{t}_v" for t in used], dropLast=True
-    )
-    assembler = VectorAssembler(inputCols=[f"{t}_v" for t in used], outputCol="features")
-    regression = GeneralizedLinearRegression(
-        family="binomial",
-        link="logit",
-        labelCol="share",
-        weightCol="births",
-        featuresCol="features",
-        maxIter=50,
-        tol=1e-10,
-    )
-    model = Pipeline(stages=[encoder, assembler, regression]).fit(frame).stages[-1]
-    errors = model.summary.coefficientStandardErrors
-    scored = model.transform(assembler.transform(encoder.fit(frame).transform(frame)))
-    fitted = {
-        r[0]: r[1]
-        for r in scored.groupBy("level").agg(F.expr("sum(prediction * births)")).collect()
-    }
-    rows = []
-    exposure = values["level"][:-1]
-    for level in levels:
-        if level == reference:
-            continue
-        if level in exposure:
-            i = exposure.index(level)
-            beta, error = model.coefficients[i], errors[i]
-            limits = (beta, beta - logit.Z * error, beta + logit.Z * error)
-            ratio = tuple(float(np.exp(v)) for v in limits)
-        else:
-            ratio = (None, None, None)
-        rows.append((*(names[k] for k in FIT_KEYS), level, *ratio, fitted.get(level), aside, True))
-    return spark.createDataFrame(rows, _RESULT)
-
-
 def estimate_rows(counts: DataFrame, crude: DataFrame, fitted: DataFrame) -> DataFrame:
     """One row per non-reference level and model, in the published columns.
 

@@ -934,15 +934,12 @@ def _reference(term: str) -> str:
     rank = "year DESC" if term == "year" else f"births DESC, CAST({term} AS VARCHAR)"
     return (
         f"SELECT {FIT}, CAST({term} AS VARCHAR) AS reference, '{term}' AS term FROM (SELECT {FIT}, "
-        f"{term}, sum(births) AS births FROM models GROUP BY {FIT}, {term}) AS m QUALIFY "
+        f"{term}, sum(births) AS births FROM round_8 GROUP BY {FIT}, {term}) AS m QUALIFY "
         f"row_number() OVER (PARTITION BY {FIT} ORDER BY {rank}) = 1"
     )
 
 
 _TERMS = ("age_group", "education", "state", "year")
-oracle("covariate_references", GRID, " UNION ALL ".join(f"({_reference(t)})" for t in _TERMS))
-
-
 def _rounds(n: int) -> str:
     """The model rows left after n rounds of dropping the values of one outcome."""
     parts = []
@@ -958,11 +955,32 @@ def _rounds(n: int) -> str:
     return ",\n".join(parts)
 
 
+oracle(
+    "covariate_references",
+    (*GRID, _rounds(8)),
+    " UNION ALL ".join(f"({_reference(t)})" for t in _TERMS),
+)
 _kept = (
     f"SELECT {FIT}, level, CAST(sum(births) AS BIGINT) AS births, CAST(sum(preterm) AS BIGINT) "
     f"AS preterm FROM round_{{}} GROUP BY {FIT}, level"
 )
 oracle("one_outcome_kept", (*GRID, _rounds(8)), _kept.format(8))
+_every = s.crude_cte("rated_counts", FIT, "every_crude")
+oracle(
+    "crude_fits",
+    (*GRID, _every),
+    f"""SELECT {FIT}, level, {_rounded("odds_ratio", "lower_limit", "upper_limit", digits=5)}
+FROM every_crude""",
+)
+oracle(
+    "estimate_keys",
+    (*GRID, _every),
+    f"""SELECT {FIT}, level, reference, births, preterm AS preterm_births, 'crude' AS model,
+  'observed' AS source, {_rounded("odds_ratio").replace(" AS odds_ratio", "")} AS crude_odds_ratio
+FROM every_crude WHERE stratum_variable = ''
+UNION ALL SELECT {FIT}, level, reference, births, preterm, 'adjusted', 'observed', NULL
+FROM every_crude""",
+)
 _ref = s.REFERENCE.replace("measure", "c.measure")
 oracle(
     "glm_score_check",

@@ -620,7 +620,9 @@ def model_tables(spark, sf_dir):
 
 @query
 def covariate_references(spark, sf_dir):
+    """The bases of the fits: of what is left once values of one outcome are set aside."""
     models = written(counts.model_tables(t.cells(spark, sf_dir), t.GRID), "models")
+    models = glm.drop_one_outcome(models, ("level", *counts.COVARIATES))
     parts = [glm.reference_values(models, term) for term in counts.COVARIATES]
     result = parts[0]
     for part in parts[1:]:
@@ -658,6 +660,24 @@ def glm_score_check(spark, sf_dir):
     return fitted.selectExpr(*counts.FIT_KEYS, "level", *_rounded("fitted", digits=3))
 
 
+@query
+def crude_fits(spark, sf_dir):
+    """Every model fitted without covariates: its odds ratios are the crude ones."""
+    levels = counts.level_counts(t.cells(spark, sf_dir), t.GRID)
+    fitted = glm.fit_all(levels.select(*counts.FIT_KEYS, "level", "births", "preterm"), ())
+    limits = ("odds_ratio", "lower_limit", "upper_limit")
+    return fitted.selectExpr(*counts.FIT_KEYS, "level", *_rounded(*limits, digits=5))
+
+
+@query
+def estimate_keys(spark, sf_dir):
+    """What the estimate rows say besides the adjusted fits."""
+    return estimates(spark, sf_dir).selectExpr(
+        *counts.FIT_KEYS, "level", "reference", "births", "preterm_births", "model", "source",
+        "CASE WHEN model = 'crude' THEN odds_ratio END AS crude_odds_ratio",
+    )
+
+
 @query
 def estimates(spark, sf_dir):
     """The published estimate rows: crude and adjusted, main, sensitivity, period and strata."""
