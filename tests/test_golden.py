@@ -40,153 +40,137 @@ def steps(summary, definition, year=2023):
     return [(r.remaining, r.excluded) for r in rows]
 
 
-BASE_2023 = [(15, None), (14, 1), (13, 1), (9, 4), (7, 2), (6, 1), (4, 2), (3, 1)]
+COUNTS = {1: 8, 2: 10, 3: 11, 4: 11, 5: 11, 6: 9}
 
 
 @pytest.mark.parametrize("from_cdm", [False, True])
-def test_base_cohort(spark, from_cdm):
-    found = exits_of(spark, (2023,), (2023, fx.TRAPS + fx.BASE_ROWS), from_cdm=from_cdm)
-    assert steps(found, 1) == BASE_2023
-
-
-@pytest.mark.parametrize("from_cdm", [False, True])
-def test_two_years(spark, from_cdm):
-    parts = ((2023, fx.TRAPS + fx.BASE_ROWS), (2022, fx.YEAR_2022))
-    found = exits_of(spark, (2022, 2023), *parts, from_cdm=from_cdm)
-    assert steps(found, 1) == [
-        (15, None), (14, 1), (14, 0), (10, 4), (8, 2), (7, 1), (5, 2), (4, 1),
-    ]
-    assert steps(found, 1, 2022) == [(2, None)] + [(2, 0)] * 7
-
-
-def test_a_year_without_records_keeps_its_steps(spark):
-    found = exits_of(spark, (2023,), (2023, fx.TRAPS))
-    years = spark.createDataFrame([(2021,)], "source_year int")
-    rows = funnel.attrition(found, years=years).filter("source_year = 2021").collect()
-    assert len(rows) == 8 + 10 + 3 * 11 + 9
-    assert {r.remaining for r in rows} == {0}
-
-
-def test_analysis_cohort(spark):
-    found = exits_of(spark, (2023,), (2023, fx.TRAPS + fx.CARE_ROWS))
-    assert steps(found, 2) == [
-        (25, None), (24, 1), (24, 0), (21, 3), (21, 0), (21, 0), (19, 2), (19, 0), (10, 9), (6, 4),
-    ]
-
-
-def test_landmarks(spark):
-    records = typed.typed_records(fx.staged(spark, (2023, fx.TRAPS + fx.LANDMARK_ROWS)))
-    rows = funnel.cohort(funnel.exits(funnel.criteria(records, (2023,)))).collect()
+def test_steps_of_every_definition(spark, from_cdm):
+    found = exits_of(spark, (fx.YEAR,), (fx.YEAR, fx.records()), from_cdm=from_cdm)
+    for definition, count in COUNTS.items():
+        if definition == 1 or not from_cdm:
+            assert steps(found, definition, fx.YEAR) == fx.remaining(definition, count), definition
+
+
+def test_two_years_and_one_without_records(spark):
+    parts = ((fx.YEAR, fx.records()), (2020, [fx.typical(born="01/02/2020")] * 3))
+    found = exits_of(spark, (fx.YEAR, 2020), *parts)
+    assert steps(found, 2, fx.YEAR) == fx.remaining(2, 10)
+    assert steps(found, 2, 2020) == [(3, None)] + [(3, 0)] * 9
+    rows = funnel.attrition(found, years=spark.createDataFrame([(2021,)], "source_year int"))
+    empty = rows.filter("source_year = 2021").collect()
+    assert len(empty) == sum(COUNTS.values()) and {r.remaining for r in empty} == {0}
+
+
+def test_cohort_rows(spark):
+    records = typed.typed_records(fx.staged(spark, (fx.YEAR, fx.records())))
+    rows = funnel.cohort(funnel.exits(funnel.criteria(records, (fx.YEAR,)))).collect()
     kept = {}
     for r in rows:
-        kept.setdefault(r.cohort_definition_id, set()).add(r.subject_id % 10_000_000)
-    assert kept[3] == {1, 2, 11, 12, 13, 14, 15}
-    assert kept[4] == {1, 2, 13, 14, 15}
-    assert kept[5] == {1, 2, 15}
-
-
-def test_multiples(spark):
-    found = exits_of(spark, (2023,), (2023, fx.TRAPS + fx.MULTIPLE_ROWS))
-    assert steps(found, 6) == [
-        (13, None), (12, 1), (12, 0), (9, 3), (9, 0), (9, 0), (7, 2), (5, 2), (4, 1),
-    ]
-    assert steps(found, 2)[6:] == [(2, 7), (2, 0), (2, 0), (2, 0)]
+        kept.setdefault(r.cohort_definition_id, set()).add(r.subject_id % SETTINGS.ids.rows_per_year)
+    for definition in fx.DEFINITIONS:
+        want = {n for n, (_, exits) in enumerate(fx.RECORDS, 1) if exits[definition] is None}
+        assert kept[definition] == want
 
 
 def test_excluded_profile(spark):
-    found = exits_of(spark, (2023,), (2023, fx.TRAPS + fx.PROFILE_ROWS))
-    rows = funnel.excluded_profile(found).orderBy("cohort_definition_id", "step", "subject_group")
-    text = {}
-    for r in rows.collect():
-        cells = ["" if v is None else str(v) for v in tuple(r)[1:]]
-        text.setdefault(r.cohort_definition_id, []).append(",".join(cells))
-    first = [
-        "4,excluded,1,,0.00,100.00", "4,retained,10,55.56,55.56,22.22",
-        "5,excluded,1,100.00,0.00,0.00", "5,retained,9,50.00,62.50,25.00",
-    ]
-    last = ["excluded,1,0.00,100.00,0.00", "retained,5,40.00,60.00,20.00"]
-    assert text[1] == first
-    assert text[2] == [
-        *first, "8,excluded,1,100.00,,", "8,retained,6,33.33,66.67,16.67",
-        *[f"9,{row}" for row in last],
-    ]
-    assert text[3] == text[4] == text[5] == text[2]
-    assert text[6] == [
-        *first, "7,excluded,2,100.00,100.00,0.00", "7,retained,6,33.33,66.67,16.67",
-        *[f"8,{row}" for row in last],
-    ]
+    """Shares of the births before a step, counted again from the records."""
+    found = exits_of(spark, (fx.YEAR,), (fx.YEAR, fx.records()))
+    rows = [r for r in funnel.excluded_profile(found).collect() if r.cohort_definition_id == 1]
+    for r in rows:
+        gone = r.subject_group == "excluded"
+        births = [
+            record
+            for record, exits in fx.RECORDS
+            if (exits[1] == r.step if gone else exits[1] is None or exits[1] > r.step)
+        ]
+        assert r.births == len(births)
+    assert {(r.step, r.subject_group) for r in rows} >= {(4, "excluded"), (5, "retained")}
 
 
 def test_exposure_rows(spark):
-    records = typed.typed_records(fx.staged(spark, (2023, fx.TRAPS + fx.CARE_ROWS)))
-    rows = exposure.exposure_rows(funnel.exits(funnel.criteria(records, (2023,)))).collect()
-    found = {r.subject_id % 10_000_000: tuple(r)[1:] for r in rows}
-    assert 6 not in found and len(found) == 24
-    assert found[3] == (45, 0, "8+", False)
-    assert found[4] == found[5] == found[7] == (None, None, None, None)
-    assert found[8] == (0, 1, "0", True)
-    assert found[10] == (4, 2, "1-4", False)
-    assert found[13] == (None, 1, None, True)
-    assert found[16] == (0, None, "0", None)
-
-
-def test_rule_counts(spark):
-    records = typed.typed_records(fx.staged(spark, (2023, fx.TRAPS)))
-    found = {(r.cdm_table, r.rule): r.row_count for r in typed.rule_counts(records).collect()}
-    wanted = {
-        "gestational_age_at_birth": (4, 1, 1, 1),
-        "birth_plurality": (5, 1, 1, 0),
-        "mother_age_at_delivery": (5, 1, 1, 0),
-        "birth_weight": (4, 1, 1, 1),
-        "prenatal_visits_count": (4, 1, 1, 1),
-        "first_prenatal_visit_trimester": (4, 1, 1, 1),
-        "mother_education": (3, 2, 1, 1),
-        "mother_insurance": (0, 5, 1, 1),
-        "gender": (3, 2, 1, 1),
-        "country_concept_id": (4, 2, 1, 0),
-        "state": (3, 3, 1, 0),
+    records = typed.typed_records(fx.staged(spark, (fx.YEAR, fx.records())))
+    rows = exposure.exposure_rows(funnel.exits(funnel.criteria(records, (fx.YEAR,)))).collect()
+    found = {r.subject_id % SETTINGS.ids.rows_per_year: tuple(r)[1:] for r in rows}
+    for n, (record, exits) in enumerate(fx.RECORDS, 1):
+        if exits[1] == 1:
+            assert n not in found
+            continue
+        visits, trimester, level, first = found[n]
+        known = record["visits"] not in (None, "99")
+        assert visits == (int(record["visits"]) if known else None)
+        assert trimester == (int(record["start"]) if record["start"] in list("0123") else None)
+        bands = ((0, "0"), (4, "1-4"), (7, "5-7"), (90, "8+"))
+        assert level == (next(name for top, name in bands if visits <= top) if known else None)
+        assert first == (None if trimester is None else trimester == 1)
+
+
+def test_values_and_rules(spark):
+    for field, cases in fx.ODD_VALUES.items():
+        rows = [fx.typical(**{field: text}) for text, _ in cases]
+        found = typed.typed_records(fx.staged(spark, (fx.YEAR, rows))).orderBy("source_row")
+        assert [r[0] for r in found.select(field).collect()] == [value for _, value in cases]
+        count = {
+            r.rule: r.row_count
+            for r in typed.rule_counts(found).filter("cdm_table <> 'person'").collect()
+        }
+        assert count["rows"] == len(cases)
+
+
+def test_dates(spark):
+    texts = ["29/02/2020", "29/02/2019", "31/04/2019", "01/01/0000", "01/01/0001", "1/1/2019", "2019-01-01"]
+    rows = [fx.typical(born=text) for text in texts]
+    found = typed.typed_records(fx.staged(spark, (fx.YEAR, rows))).orderBy("source_row").collect()
+    assert [r.delivery_date is not None for r in found] == [True, False, False, False, True, False, False]
+
+
+def test_ids_stay_apart_above_ten_million_rows(spark):
+    from cohortspark.sources.proxy import PROXY_SETTINGS
+
+    staged = fx.staged(spark, (1995, [fx.typical()]), (1996, [fx.typical()]))
+    rows = [10**7, 10**7 + 1, 2 * 10**7, 10**11]
+    frame = staged.withColumn("source_row", F.explode(F.array(*[F.lit(n).cast("long") for n in [1, *rows]])))
+    found = typed.typed_records(frame, PROXY_SETTINGS)
+    inside = found.filter("source_row < 100000000000").select("person_id", "newborn_person_id").collect()
+    ids = [i for r in inside for i in r]
+    assert len(set(ids)) == len(ids) == 16
+    refused = typed.unloadable(found, PROXY_SETTINGS).collect()
+    assert {(r.source_row, r.problem) for r in refused} == {(10**11, "source_row does not fit person_id")}
+    narrow = typed.unloadable(typed.typed_records(frame)).filter("problem LIKE 'source_row%'")
+    assert narrow.count() == 8
+
+
+def test_load(spark):
+    later = [fx.typical(born="01/02/2020", state="09"), fx.typical(born="03/02/2020", state="31")]
+    parts = ((fx.YEAR, fx.records()), (2020, later))
+    records = typed.typed_records(fx.staged(spark, *parts)).cache()
+    built = cdm.build(records, bucket_rows=4).map(lambda name, df: df.cache())
+    loaded = {
+        fx.YEAR: sum(exits[1] != 1 for _, exits in fx.RECORDS),
+        2020: 2,
     }
-    names = ("value", "code_to_concept"), ("code_to_null", "code_to_0"), None, ("blank",)
-    for label, (value, code, other, blank) in wanted.items():
-        rules = {rule.split(":")[1]: n for (_, rule), n in found.items() if rule.startswith(label)}
-        by = lambda keys: sum(rules.get(k, 0) for k in keys)
-        assert by(names[0]) == value and by(names[1]) == code and by(names[3]) == blank
-        assert by(("not_integer", "not_in_catalogue", "not_two_digits", "too_long")) == other
-    assert found["measurement", "birth_plurality:at_least"] == 1
-    assert found["staging", "rows"] == 8
-    assert found["person", "not_loaded:no_year_of_birth"] == 1
-    assert found["person", "year_of_birth:mother_date"] == 4
-    assert found["person", "year_of_birth:age"] == 3
-
-
-def test_load_of_the_traps(spark):
-    records = typed.typed_records(fx.staged(spark, (2023, fx.TRAPS), (2022, fx.YEAR_2022))).cache()
-    built = cdm.build(records, bucket_rows=4)
-    built = built.map(lambda name, df: df.cache())
     rows = {
         (r.source_year, r.cdm_table, r.rule): r.row_count
         for r in counts.table_rows(built, records, SETTINGS.ids).collect()
     }
-    assert rows[2023, "person", "rows"] == 14 and rows[2022, "person", "rows"] == 4
-    assert rows[2023, "person", "rows:mother"] == rows[2023, "person", "rows:newborn"] == 7
-    assert rows[2023, "measurement", "rows"] == rows[2023, "observation", "rows"] == 28
-    assert rows[2023, "fact_relationship", "rows"] == 14
-    assert built.location.filter("location_id <= 6").count() == built.location.count() - 1
-    ids = [r[0] for r in built.measurement.select("measurement_id").orderBy("person_id",
-           F.expr("measurement_id")).collect()]
-    assert ids == list(range(1, 37))
+    for year, n in loaded.items():
+        assert rows[year, "person", "rows:mother"] == rows[year, "person", "rows:newborn"] == n
+        assert rows[year, "measurement", "rows"] == rows[year, "observation", "rows"] == 4 * n
+        assert rows[year, "fact_relationship", "rows"] == 2 * n
+    ids = [r[0] for r in built.measurement.select("measurement_id").orderBy("person_id", "measurement_id").collect()]
+    assert ids == list(range(1, 4 * sum(loaded.values()) + 1))
     source = cdm.cdm_source(
         spark.createDataFrame(
-            [(2023, "a.csv", "1", "x", "2024-01-01"), (2022, "b.csv", "2", "y", "2024-02-01")],
+            [(2020, "late.csv", "7", "d2", "2021-03-04"), (fx.YEAR, "first.csv", "3", "d1", "2020-03-04")],
             "source_year int, name string, version string, sha256 string, retrieved string",
         ),
         "v",
     )
     assert source.first().source_description == (
-        "Record files loaded: 2022: b.csv?V=2, sha256 y; 2023: a.csv?V=1, sha256 x"
+        "Record files loaded: 2019: first.csv?V=3, sha256 d1; 2020: late.csv?V=7, sha256 d2"
     )
     staged = spark.createDataFrame(
-        [(2023, "table", 8), (2022, "table", 2)], "source_year int, stage string, row_count bigint"
+        [(fx.YEAR, "table", len(fx.RECORDS)), (2020, "table", 2)],
+        "source_year int, stage string, row_count bigint",
     )
     vocabularies = spark.createDataFrame([(v,) for v in VOCABULARY_TARGETS], "vocabulary_id string")
     found = checks.post_load_checks(
@@ -199,8 +183,8 @@ def test_load_of_the_traps(spark):
 
 def test_unloadable(spark):
     records = [
-        fx.adult(born="31/02/2023"), fx.adult(born=None), fx.adult(school="1" * 51), fx.adult(),
-        fx.adult(weeks="12345678901234567890123456789012345678901234567"),
+        fx.typical(born="31/02/2023"), fx.typical(born=None), fx.typical(school="1" * 51), fx.typical(),
+        fx.typical(weeks="12345678901234567890123456789012345678901234567"),
     ]
     found = typed.typed_records(fx.staged(spark, (2023, records)))
     rows = typed.first_with_total(typed.unloadable(found), ["source_row"]).collect()
@@ -211,13 +195,6 @@ def test_unloadable(spark):
     assert (weeks.weeks_rule, weeks.weeks) == ("too_long", None)
 
 
-def test_line_breaks_signs_and_blanks_do_not_cast(spark):
-    texts = ["39\n", " 39", "+39", "39 ", "-1", "３９", "0039", "39"]
-    found = typed.typed_records(fx.staged(spark, (2023, [fx.adult(weeks=w) for w in texts])))
-    rows = [r.weeks for r in found.orderBy("source_row").collect()]
-    assert rows == [None] * 6 + [39, 39]
-
-
 def test_refused_load_keeps_the_previous_one(spark):
     from cohortspark.operators import publish
     from cohortspark.session import run_path
