@@ -11,14 +11,10 @@ from pyspark.sql import types as T
 
 from cohortspark.functions.text import array, cases, quoted
 from cohortspark.operators.checks import LoadRefused, bag_difference
-from cohortspark.session import at_most, run_path
+from cohortspark.session import run_path, written
 from cohortspark.sources.records import CSV_WRITE
 
 
-#: The most rows one sorted file is written for.
-ONE_FILE_ROWS = 1_000_000
-
-
 @dataclass(frozen=True)
 class OutputTable:
     """A published table: its columns with types, the nullable ones, and its key."""
@@ -119,24 +115,23 @@ def conform(df: DataFrame, table: OutputTable) -> DataFrame:
     )
 
 
-def publish(df: DataFrame, table: OutputTable, path: str) -> DataFrame:
-    """Write a table as one CSV sorted by its key, and give back what reads from it.
+def publish(df: DataFrame, table: OutputTable, path: str, files: int | None = 1) -> DataFrame:
+    """Write a table as CSV sorted by its key, and give back what reads from it.
 
-    Published tables are summaries of thousands of rows, so one sorted file is right for them; a
-    table of more rows is sorted across files instead. A table with a cell that would not read back
-    is refused before anything is written.
+    The rows are computed once, to a written copy; a copy with a cell that would not read back is refused
+    before any CSV is written. ``files`` is the layout: 1, for summaries, is one sorted file; None sorts
+    across as many files as the session's partitions.
     """
-    rows = conform(df, table)
+    rows = written(conform(df, table), table.name)
     found = violations(rows, table).collect()
     if found:
         raise LoadRefused("; ".join(f"{r.column}: {r.problem} ({r.rows})" for r in found))
-    one_file = at_most(rows, ONE_FILE_ROWS)
     ordered = (
-        rows.repartition(1).sortWithinPartitions(*table.key) if one_file else rows.orderBy(*table.key)
+        rows.orderBy(*table.key)
+        if files is None
+        else rows.repartitionByRange(files, *table.key).sortWithinPartitions(*table.key)
     )
-    ordered.write.mode("overwrite").options(
-        **CSV_WRITE, nullValue="", emptyValue=""
-    ).csv(path)
+    ordered.write.mode("overwrite").options(**CSV_WRITE, nullValue="", emptyValue="").csv(path)
     return read_published(df.sparkSession, table, path)
 
 
@@ -176,7 +171,7 @@ def run_manifest(
         F.expr("array_sort(collect_list(named_struct('id', id, 'version', version, 'sha256', sha256)))")
         .alias("sources")
     )
-    written = files.agg(
+    listed = files.agg(
         F.expr("array_sort(collect_list(named_struct('name', name, 'sha256', sha256))) AS files")
     )
     return period.select(
@@ -186,12 +181,14 @@ def run_manifest(
             f"named_struct('version', {quoted(vocabulary['version'])}, "
             f"'sha256', {quoted(vocabulary['sha256'])})"
         ).alias("vocabulary"),
-        written.scalar().alias("files"),
+        listed.scalar().alias("files"),
     )
 
 
-def manifest_text(manifest: DataFrame) -> DataFrame:
-    return manifest.select(F.to_json(F.struct(*manifest.columns)).alias("manifest"))
+def write_manifest(manifest: DataFrame, path: str) -> DataFrame:
+    """The manifest as one JSON line in a file, and what reads back from it."""
+    manifest.select(F.to_json(F.struct(*manifest.columns)).alias("value")).coalesce(1).write.text(path)
+    return manifest.sparkSession.read.schema(manifest.schema).json(path)
 
 
 def load_and_promote(
@@ -200,21 +197,34 @@ def load_and_promote(
     """Write tables to a path of this run, check what was written, and then make it the current one.
 
     ``check`` gets the written tables and raises to refuse them; the previous run then stays the
-    current one. The pointer is a one-row table that names the run's path, written last: a reader
-    sees either the previous run whole or the new one whole.
+    current one. The pointer is a numbered line that names the run's path, written last: a reader
+    sees either the previous run whole or the new one whole. One load at a time promotes to a target.
     """
     path = run_path(spark, "load")
-    written = {}
+    stored = {}
     for name, df in tables.items():
         df.write.mode("error").parquet(f"{path}/{name}")
-        written[name] = spark.read.parquet(f"{path}/{name}")
-    check(written)
-    spark.range(1).select(F.lit(path).alias("path")).coalesce(1).write.mode("append").text(target)
+        stored[name] = spark.read.parquet(f"{path}/{name}")
+    check(stored)
+    sequence = 1 + (_pointers(spark, target)[0] if _exists(spark, target) else 0)
+    pointer = F.format_string("%012d %s", F.lit(sequence), F.lit(path))
+    spark.range(1).select(pointer.alias("value")).coalesce(1).write.mode("append").text(target)
     return path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def _pointers(spark: SparkSession, target: str) -> tuple[int, str]:
+    """The number and the path of the run promoted last."""
+    number, _, path = spark.read.text(target).agg(F.max("value")).first()[0].partition(" ")
+    return int(number), path
+
+
 def current(spark: SparkSession, target: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """The tables of the latest promoted run: the newest pointer names its path."""
-    pointers = spark.read.text(target).select("value", F.col("_metadata.file_modification_time").alias("t"))
-    path = pointers.agg(F.expr("max_by(value, t)")).first()[0]
+    """The tables of the run promoted last, which the pointer with the highest number names."""
+    _, path = _pointers(spark, target)
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}

@@ -898,6 +898,13 @@ oracle(
     "SELECT scenario, round(CAST(sum(births) AS DOUBLE), 3) AS births FROM combos, "
     "(VALUES ('e1'), ('e2')) AS w(scenario) GROUP BY scenario",
 )
+oracle(
+    "gated_loads",
+    (s.REGISTRY,),
+    """SELECT run, outcome, (SELECT count(*) FROM registry) AS records FROM (VALUES
+  ('clean', 'promoted'), ('a column less', 'columns'), ('unloadable records', 'unloadable'),
+  ('repeated records', 'keys'), ('counts that differ', 'staging_rows_not_load_counts')) AS w(run, outcome)""",
+)
 # The index of the observed combinations and that of the null model have tables of their own.
 _observed_index = s.INDEX.replace("{source}", "analysis").replace("index_", "observed_index_")
 SHARE_LAYERS = (

@@ -16,7 +16,18 @@ from cohortspark.catalogue import (
 )
 from cohortspark.functions import exposure
 from cohortspark.functions.text import array, quoted, struct
-from cohortspark.operators import cdm, checks, counts, epi, funnel, glm, nullmodel, publish, typed
+from cohortspark.operators import (
+    cdm,
+    checks,
+    counts,
+    epi,
+    funnel,
+    glm,
+    load,
+    nullmodel,
+    publish,
+    typed,
+)
 from cohortspark.plans import tables as t
 from cohortspark.session import run_path, tuned, written
 from cohortspark.sources import records as record_files
@@ -284,6 +295,35 @@ def postload_checks_damaged(spark, sf_dir):
     )
 
 
+@query
+def gated_loads(spark, sf_dir):
+    """A clean load and four that are refused, each by another gate; what is current after each."""
+    target = run_path(spark, "gated")
+    staged = t.staged(spark, sf_dir)
+    stages = written(_load_counts(t.records(spark, sf_dir)), "stage_counts")
+    sources = written(t.source_files(spark, sf_dir), "sources")
+    runs = {
+        "clean": (staged, stages),
+        "a column less": (staged.drop("peso"), stages),
+        "unloadable records": (damaged_registry(tuned(spark), sf_dir), stages),
+        "repeated records": (_doubled(staged, "source_row % 1000 = 7"), stages),
+        "counts that differ": (staged, _replaced(stages, row_count="row_count + 1")),
+    }
+    rows = []
+    for name, (registry, counted) in runs.items():
+        try:
+            load.gated_load(
+                registry, target, t.concepts(spark), t.code_map(spark), _vocabularies(spark), counted,
+                sources, "v1", PROXY_SETTINGS,
+            )
+            outcome = "promoted"
+        except checks.LoadRefused as refused:
+            outcome = str(refused).partition(":")[0]
+        held = publish.current(spark, target, ["records"])["records"].count()
+        rows.append((name, outcome, held))
+    return spark.createDataFrame(rows, "run string, outcome string, records bigint")
+
+
 @query
 def failed_checks(spark, sf_dir):
     return checks.failed(postload_checks_damaged(spark, sf_dir))
@@ -946,6 +986,7 @@ def run_manifest(spark, sf_dir):
         {"version": "v1", "sha256": "0" * 64},
         files.selectExpr("concat('copy_', name) AS name", "sha256"),
     )
+    manifest = publish.write_manifest(manifest, run_path(spark, "manifest.json"))
     return manifest.selectExpr(
         "array_join(transform(period, y -> string(y)), ',') AS period",
         "array_join(transform(sources, s -> concat(s.id, '|', s.version, '|', s.sha256)), ';') "

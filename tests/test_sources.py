@@ -116,7 +116,7 @@ def test_publishing(spark):
         "k int, note string, name string, x double",
     )
     path = run_path(spark, "t.csv")
-    read = publish.publish(frame, shape, path)
+    read = publish.publish(frame, shape, path, files=None)
     assert publish.roundtrip_differences(frame, shape, read).count() == 0
     lines = [r.value for r in spark.read.text(path).collect()]
     assert lines[0] == "k,note,name,x" and [line[:2] for line in lines[1:]] == ["1,", "2,", "10"]
@@ -176,10 +176,9 @@ def test_code_map_file(spark, tmp_path):
     ]
 
 
-def test_large_tables_are_published_in_order_across_files(spark, monkeypatch):
-    monkeypatch.setattr(publish, "ONE_FILE_ROWS", 10)
+def test_tables_are_published_in_order_across_files(spark):
     shape = publish.OutputTable("t", "k bigint, v double", ("k",))
     frame = spark.range(0, 2000).selectExpr("1999 - id AS k", "id / 7 AS v")
     path = run_path(spark, "many.csv")
-    read = publish.publish(frame, shape, path)
+    read = publish.publish(frame, shape, path, files=None)
     assert publish.roundtrip_differences(frame, shape, read).count() == 0
