@@ -9,6 +9,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -45,7 +46,8 @@ def main() -> None:
         .appName("cohortspark-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-bench-"))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -145,14 +145,29 @@ def person_checks(cdm: Cdm, records: DataFrame) -> DataFrame:
 
 
 def orphan_links(cdm: Cdm) -> DataFrame:
-    """Links with either end missing from the persons, each counted once."""
-    known = cdm.person.selectExpr("person_id").distinct()
+    """Links with either end missing from the persons, each counted once.
+
+    Those whose first end is missing, and those whose second is, less those with both. Links are counted
+    by end before they meet the persons, so an end that many links share is one row of each join; the
+    links of missing first ends are a semi join of plain sides, whose large keys can be split.
+    """
+    known = cdm.person.select("person_id").distinct()
+    links = cdm.fact_relationship
+
+    def missing(ends: DataFrame, end: str) -> DataFrame:
+        return (
+            ends.groupBy(end)
+            .agg(F.expr("count(*) AS n"))
+            .join(known.withColumnRenamed("person_id", end), end, "left_anti")
+        )
+
+    first = missing(links, "fact_id_1")
+    both = missing(links.join(first.select("fact_id_1"), "fact_id_1", "left_semi"), "fact_id_2")
     wide = (
-        cdm.fact_relationship.groupBy("fact_id_1", "fact_id_2")
-        .agg(F.expr("count(*) AS n"))
-        .join(known.selectExpr("person_id AS fact_id_1", "true AS one"), "fact_id_1", "left")
-        .join(known.selectExpr("person_id AS fact_id_2", "true AS two"), "fact_id_2", "left")
-        .agg(F.expr("sum(if(one IS NULL OR two IS NULL, n, 0)) AS n"))
+        first.select("n")
+        .unionByName(missing(links, "fact_id_2").select("n"))
+        .unionByName(both.selectExpr("-n AS n"))
+        .agg(F.expr("sum(n) AS n"))
     )
     return _long(wide, {"orphan_person:fact_relationship": "n"})
 
@@ -494,7 +509,9 @@ def code_map_problems(code_map: DataFrame, vocabularies: DataFrame) -> DataFrame
         *key, f"explode({array(cases(r) for r in rules)}) AS problem"
     ).filter("problem IS NOT NULL")
     empty = vocabularies.join(
-        code_map.selectExpr("source_vocabulary_id AS vocabulary_id"), "vocabulary_id", "left_anti"
+        code_map.selectExpr("source_vocabulary_id AS vocabulary_id").distinct(),
+        "vocabulary_id",
+        "left_anti",
     ).selectExpr(
         "vocabulary_id AS source_vocabulary_id",
         "CAST(NULL AS string) AS source_code",
@@ -569,7 +586,7 @@ def lookup_problems(needed: DataFrame, code_map: DataFrame) -> DataFrame:
 
 
 def missing_keys(needed: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    return needed.join(held.select(key), key, "left_anti")
+    return needed.join(held.select(key).distinct(), key, "left_anti")
 
 
 # ---------------------------------------------------------------------------------------------
