@@ -108,6 +108,27 @@ def violations(df: DataFrame, table: OutputTable) -> DataFrame:
     return found.groupBy("column", "problem").agg(F.expr("count(*) AS rows"))
 
 
+#: Names of published columns that the operators call otherwise.
+PUBLISHED = {"definition": "cohort_definition_id", "cutoff": "outcome_cutoff"}
+
+
+def as_published(df: DataFrame, **constants) -> DataFrame:
+    """The rows under their published names, with constants for columns they lack."""
+    return df.withColumnsRenamed(PUBLISHED).withColumns({k: F.lit(v) for k, v in constants.items()})
+
+
+def scenario_rows(df: DataFrame, period: str, cutoff: int) -> DataFrame:
+    """Rows of the null model as rows of the observed tables: their source names the scenario.
+
+    Their births are expectations; a published count is the nearest whole number.
+    """
+    named = as_published(
+        df, period=period, outcome_cutoff=cutoff, stratum_variable="", stratum_value=""
+    )
+    whole = {c: F.round(c).cast("bigint") for c in ("births", "preterm_births") if c in df.columns}
+    return named.withColumns(whole).withColumn("source", F.concat(F.lit("sim_"), "scenario"))
+
+
 def conform(df: DataFrame, table: OutputTable) -> DataFrame:
     """The columns of the published table, in order, in its types."""
     return df.selectExpr(

@@ -1229,6 +1229,12 @@ oracle(
         for c in _columns
     ),
 )
+oracle(
+    "published_tables",
+    (),
+    "SELECT published, 0 AS differences, 0 AS repeated_keys, 1 AS has_rows FROM (VALUES ('attrition'), "
+    "('excluded_profile'), ('estimates'), ('exposure_distribution'), ('truncation_share')) AS v(published)",
+)
 oracle(
     "published_roundtrip",
     (*COHORTS, s.PROFILE),

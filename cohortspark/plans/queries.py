@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -943,6 +944,57 @@ def published_attrition(spark, sf_dir):
     return publish.publish(attrition(spark, sf_dir), shape, run_path(spark, "attrition.csv"))
 
 
+@query
+def published_tables(spark, sf_dir):
+    """All five published tables, the null scenarios among them: rows that differ from their files."""
+    cells = written(t.cells(spark, sf_dir), "cells")
+    levels = written(counts.level_counts(cells, t.GRID), "levels")
+    combos = written(t.analysis_combinations(spark, sf_dir), "combinations")
+    null_levels = written(_null_levels(combos), "null_levels")
+    null_crude = epi.crude(null_levels, SCENARIO).withColumnRenamed("preterm", "preterm_births")
+    found = glm.estimate_rows(
+        levels,
+        epi.crude(levels, counts.FIT_KEYS),
+        glm.fit_all(counts.model_tables(cells, t.GRID)),
+    )
+    names = {k: v.struct.names for k, v in publish.OUTPUT_TABLES.items()}
+
+    def with_scenarios(observed, null, name, **constants):
+        null = publish.scenario_rows(null, t.PERIOD, PRETERM_WEEKS).withColumns(
+            {k: F.lit(v) for k, v in constants.items()}
+        )
+        return observed.select(names[name]).unionByName(null.select(names[name]))
+
+    tables = {
+        "attrition": attrition(spark, sf_dir),
+        "excluded_profile": funnel.excluded_profile(t.summary(spark, sf_dir)),
+        "estimates": with_scenarios(
+            publish.as_published(found), null_crude, "estimates", model="crude"
+        ),
+        "exposure_distribution": with_scenarios(
+            publish.as_published(epi.distribution(levels), source="observed"),
+            epi.distribution(null_levels),
+            "exposure_distribution",
+        ),
+        "truncation_share": publish.as_published(_shares(spark, sf_dir)),
+    }
+    parts = []
+    for name, df in tables.items():
+        shape = publish.OUTPUT_TABLES[name]
+        table = written(publish.conform(df, shape), name)
+        read = publish.publish(table, shape, run_path(spark, f"{name}.csv"))
+        repeated = checks.duplicate_keys(read, shape.key).count()
+        parts.append(
+            publish.roundtrip_differences(table, shape, read).agg(
+                F.lit(name).alias("published"),
+                F.expr("coalesce(sum(copies), 0L) AS differences"),
+                F.lit(repeated).cast("bigint").alias("repeated_keys"),
+                F.lit(read.count() > 0).cast("int").alias("has_rows"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def published_roundtrip(spark, sf_dir):
     """Rows of a published table that differ from its file: one copy of the file is edited."""
