@@ -154,8 +154,11 @@ def index_rows(combinations, variants: tuple[Variant, ...] | None = None):
     )
 
 
-def index_level(variant: Variant) -> str:
-    """The summary level of one variant as one expression; NULL for a refused combination."""
+def index_level(variant: Variant, strict: bool = False) -> str:
+    """The summary level of one variant as one expression.
+
+    A refused combination has no level; ``strict`` stops the job there, with the reason.
+    """
     parts = index_parts(variant)
     ratio = (
         f"(CAST(visits AS double) / greatest(({parts['recommended']}) - ({parts['missed']}), 1)"
@@ -164,7 +167,9 @@ def index_level(variant: Variant) -> str:
     services = SERVICES.replace("ratio_percent", ratio)
     late = f"({parts['start_month']}) NOT BETWEEN 1 AND 4"
     level = cases((late, quoted(LEVELS[0])), otherwise=services)
-    return cases((f"({index_refusal()}) IS NULL", level))
+    refused = f"raise_error(concat('index refused: ', {index_refusal()}))"
+    otherwise = f"CAST({refused} AS string)" if strict else "NULL"
+    return cases((f"({index_refusal()}) IS NULL", level), otherwise=otherwise)
 
 
 def reference_level(measure: str, calendar: Calendar = CALENDAR) -> str:
@@ -207,6 +212,7 @@ def measure_structs(
     names: tuple[str, ...],
     calendar: Calendar = CALENDAR,
     variants: tuple[Variant, ...] | None = None,
+    strict: bool = False,
 ) -> list[str]:
     """(measure, variant, level) of each named measure; (b) once per variant."""
     variants = index_variants(calendar) if variants is None else variants
@@ -220,7 +226,7 @@ def measure_structs(
     for name in names:
         if name == "b":
             out += [
-                struct(measure="'b'", variant=quoted(v.name), level=index_level(v))
+                struct(measure="'b'", variant=quoted(v.name), level=index_level(v, strict))
                 for v in variants
             ]
         else:

@@ -189,9 +189,12 @@ def rated(
     grid: Sequence[Analysis],
     kept: Sequence[str] = (),
     calendar: Calendar = CALENDAR,
+    strict: bool = True,
 ) -> DataFrame:
     """Births and preterm births per analysis, measure and level, and the kept columns.
 
+    A cell that the index refuses stops the run, unless ``strict`` is off: then it has no level.
+
     Each cell is expanded to the analyses it takes part in, then everything is summed in one
     shuffle; the expansion is a fixed number of rows per cell, not per birth.
     """
@@ -200,7 +203,7 @@ def rated(
         test = f"definition = {analysis.definition}"
         if analysis.years:
             test += f" AND year IN ({', '.join(map(str, analysis.years))})"
-        for measured in measure_structs(analysis.measures, calendar):
+        for measured in measure_structs(analysis.measures, calendar, strict=strict):
             row = struct(
                 period=quoted(analysis.period),
                 cutoff=str(analysis.cutoff),
