@@ -6,10 +6,12 @@ return. In UTF-8 no byte of a longer character is one of those, so byte runs are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes hashed at a time; longer texts are cut there, and the temporary arrays stay within some 100 MB.
 PIECE_BYTES = 1 << 20
@@ -34,6 +36,21 @@ def raw_texts(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def with_rows(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``row``, a struct of the kept columns, and ``text`` beside it unless it is one of them."""
+    beside = [] if "text" in keep else [F.col("text").alias("text")]
+    return docs.select(F.struct(*keep).alias("row"), *beside)
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of ``with_rows``."""
+    at = batch.schema.get_field_index("text")
+    if at >= 0:
+        return batch.column(at)
+    row = batch.column(batch.schema.get_field_index("row"))
+    return row.field(row.type.get_field_index("text"))
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     limit = max(1 << 16, 1 << (size + 1).bit_length())

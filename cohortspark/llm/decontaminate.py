@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.llm.bytewords import raw_texts
+from cohortspark.llm.bytewords import raw_texts, texts_of, with_rows
 from cohortspark.llm.files import shipped
 from cohortspark.session import written
 
@@ -135,65 +135,59 @@ def _block(key: str, part: Broadcast) -> _Block:
     return _AUTOMATA[key]
 
 
-def _scan(part: Broadcast, key: str, first: bool):
+_ITEMS = pa.list_(pa.int64())
+_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scan(part: Broadcast, key: str, last: bool):
+    """Scans texts for one block's windows; the last block's scan counts and places the hits."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _block(key, part)
         for batch in batches:
-            counts, spans, items = [], [], []
-            before = None if first else list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()))
-            for i, raw in enumerate(raw_texts(batch.column(1))):
-                words = normal(raw).split()
+            held = batch.schema.get_field_index("spans")
+            before = (
+                zip(batch.column(held).to_pylist(), batch.column(held + 1).to_pylist()) if held >= 0 else None
+            )
+            counts, hit, spans, items, places = [], [], [], [], []
+            for raw in raw_texts(texts_of(batch)):
+                clean = normal(raw)
+                words = clean.split()
                 found, named = block.hits(words)
                 if before:
-                    old = np.frombuffer(before[i][0], dtype="<i8").reshape(-1, 2)
-                    found, named = joined(np.concatenate([old, found])), named.union(before[i][1])
-                counts.append(len(words))
-                spans.append(found.astype("<i8").tobytes())
+                    packed, old = next(before)
+                    found = joined(np.concatenate([np.frombuffer(packed, "<i8").reshape(-1, 2), found]))
+                    named = named.union(old)
                 items.append(sorted(named))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(counts, pa.int64()),
-                    pa.array(spans, pa.binary()),
-                    pa.array(items, pa.list_(pa.int64())),
-                ],
-                names=["row", "text", "n_words", "spans", "items"],
-            )
+                if last:
+                    counts.append(len(words))
+                    hit.append(int((found[:, 1] - found[:, 0]).sum()))
+                    places.append(_bytes_of(clean, found) if len(found) else [])
+                else:
+                    spans.append(found.astype("<i8").tobytes())
+            if last:
+                columns = {
+                    "row": batch.column(0),
+                    "n_words": pa.array(counts, pa.int64()),
+                    "n_hit": pa.array(hit, pa.int64()),
+                    "items": pa.array(items, _ITEMS),
+                    "hit_bytes": pa.array(places, _PLACES),
+                }
+            else:
+                columns = {n: batch.column(n) for n in batch.schema.names if n in ("row", "text")}
+                columns |= {"spans": pa.array(spans, pa.binary()), "items": pa.array(items, _ITEMS)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return scan
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts the hit words and maps their spans to bytes of the original text."""
-    for batch in batches:
-        hit, places = [], []
-        for raw, packed in zip(raw_texts(batch.column(1)), batch.column(3)):
-            spans = np.frombuffer(packed.as_py(), dtype="<i8").reshape(-1, 2)
-            hit.append(int((spans[:, 1] - spans[:, 0]).sum()))
-            if not len(spans):
-                places.append([])
-                continue
-            inside = np.zeros(len(raw) + 2, dtype=np.int8)
-            inside[1:-1] = np.frombuffer(normal(raw), dtype=np.uint8) != 32
-            turns = np.diff(inside)
-            starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
-            places.append(
-                [
-                    {"start": int(starts[low]), "end": int(ends[high - 1])}
-                    for low, high in spans
-                ]
-            )
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(2),
-                pa.array(hit, pa.int64()),
-                batch.column(4),
-                pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ],
-            names=["row", "n_words", "n_hit", "items", "hit_bytes"],
-        )
+def _bytes_of(clean: bytes, spans: np.ndarray) -> list[dict[str, int]]:
+    """Spans of words as spans of bytes of the original, which the normalised text is as long as."""
+    inside = np.zeros(len(clean) + 2, dtype=np.int8)
+    inside[1:-1] = np.frombuffer(clean, dtype=np.uint8) != 32
+    turns = np.diff(inside)
+    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    return [{"start": int(starts[low]), "end": int(ends[high - 1])} for low, high in spans]
 
 
 def scanned(
@@ -205,34 +199,20 @@ def scanned(
     as bytes of the original text. No shuffle of the documents.
     """
     shipped(docs.sparkSession)
-    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col("text").alias("text"))
-    run = uuid.uuid4().hex
-    for number, part in enumerate(window_blocks(benchmark, block_bytes)):
-        schema = T.StructType(
-            [
-                rows.schema["row"],
-                T.StructField("text", T.StringType()),
-                T.StructField("n_words", T.LongType()),
-                T.StructField("spans", T.BinaryType()),
-                T.StructField("items", T.ArrayType(T.LongType())),
-            ]
-        )
-        rows = rows.mapInArrow(_scan(part, f"{run}-{number}", number == 0), schema)
-    schema = T.StructType(
-        [
-            rows.schema["row"],
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("items", T.ArrayType(T.LongType())),
-            T.StructField(
-                "hit_bytes",
-                T.ArrayType(
-                    T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-                ),
-            ),
-        ]
-    )
-    return rows.mapInArrow(_placed, schema)
+    rows = with_rows(docs, keep or docs.columns)
+    through = list(rows.schema)
+    items = T.StructField("items", T.ArrayType(T.LongType()))
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    run, parts = uuid.uuid4().hex, window_blocks(benchmark, block_bytes)
+    for number, part in enumerate(parts):
+        last = number == len(parts) - 1
+        if last:
+            counts = [T.StructField(n, T.LongType()) for n in ("n_words", "n_hit")]
+            fields = [through[0], *counts, items, T.StructField("hit_bytes", T.ArrayType(span))]
+        else:
+            fields = [*through, T.StructField("spans", T.BinaryType()), items]
+        rows = rows.mapInArrow(_scan(part, f"{run}-{number}", last), T.StructType(fields))
+    return rows
 
 
 def contaminated(share: int = HIT_SHARE) -> F.Column:

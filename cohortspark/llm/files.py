@@ -14,6 +14,13 @@ from pyarrow import fs
 from cohortspark.session import run_path, tuned
 
 
+#: A batch that a worker gets: texts are long, and a worker holds a few copies of them at a time.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
 def new_folder(spark, name: str) -> str:
     """A new path under ``spark.checkpoint.dir`` for the files of one run."""
     tuned(spark)
@@ -21,7 +28,9 @@ def new_folder(spark, name: str) -> str:
 
 
 def shipped(spark) -> None:
-    """Sends this package's code to the Python workers of the session, once; they may not have it."""
+    """Readies a session's Python workers: this package's code, sent once, and batches of bounded size."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_cohortspark_shipped", False):
         return

@@ -13,7 +13,7 @@ fitted and every text passes it. Empty tables give empty results; further column
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,8 @@ from cohortspark.llm.bytewords import (
     mixed,
     raw_texts,
     span_hashes,
+    texts_of,
+    with_rows,
     word_bounds,
 )
 from cohortspark.llm.files import shipped
@@ -273,8 +275,10 @@ def _repeat_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int
     return int(marked.sum())
 
 
-def judged(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``row`` (a struct of all columns), counts, ``base_failed``, ``probability`` and ``kept``.
+def judged(
+    docs: DataFrame, model: Model | None, keep: Sequence[str], threshold: float = THRESHOLD
+) -> DataFrame:
+    """``row`` (a struct of the kept columns), counts, ``base_failed``, ``probability`` and ``kept``.
 
     Needs ``text``. The model travels as one broadcast of fixed size.
     """
@@ -285,7 +289,7 @@ def judged(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
         model = shared.value
         for batch in batches:
             rows, chances = [], []
-            for raw in raw_texts(batch.column(1)):
+            for raw in raw_texts(texts_of(batch)):
                 rows.append(base_counts(raw))
                 chances.append(model.probability(raw) if model else 1.0)
             counts = [pa.array([r[k] for r in rows], pa.int64()) for k in COUNTS]
@@ -294,7 +298,7 @@ def judged(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
                 names=["row", *COUNTS, "probability"],
             )
 
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    whole = with_rows(docs, keep)
     schema = T.StructType(
         [whole.schema["row"], *(T.StructField(k, T.LongType()) for k in COUNTS)]
         + [T.StructField("probability", T.DoubleType())]
@@ -311,12 +315,12 @@ def judged(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
 
 def quality_rows(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, counts, ``base_failed``, ``kept`` and ``probability`` of every document."""
-    found = judged(docs.select("doc_id", "text"), model)
+    found = judged(docs, model, ["doc_id"])
     return found.select(
-        F.col("row.doc_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "probability"
+        F.col("row.doc_id").cast("long").alias("doc_id"), *COUNTS, "base_failed", "kept", "probability"
     )
 
 
 def kept_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents that pass, with their columns."""
-    return judged(docs, model).filter("kept").select("row.*")
+    return judged(docs, model, docs.columns).filter("kept").select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm.files import attempt_name, memory_mapped, new_folder, opened, shipped
 
 #: Words an encoder learns before it forgets those of the generation before.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Letters, then ASCII marks but the apostrophe: a byte-level tokenizer always cuts between the two.
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
