@@ -9,7 +9,7 @@ A byte goes when some ``LENGTH``-byte string that covers it also starts in a doc
 3. Segments that share an anchor but differ, as at the ends of a copied passage, need a look at their bytes. They are cut
    from the texts and dealt to shards by anchor; a shard's suffix array and permuted common prefixes show its
    equal windows, and all but the least id's are repeated.
-4. Each text meets its packed runs and is cut.
+4. Each text meets its packed runs, dealt like it by a hash of the document, and is cut.
 
 Equal segments of a batch shrink to one before the shuffle, so copies and common lines don't gather. An anchor found
 in more than ``HOT_ROWS`` segments of an evenly drawn part of the documents is hot: its windows are dealt one by
@@ -38,12 +38,14 @@ from cohortspark.llm.suffix_array import permuted_common_prefixes, suffix_array
 from cohortspark.session import tuned, written
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24
 #: Bytes of text whose segments are gathered before equal ones shrink to one.
 BATCH_BYTES = 24 << 20
 #: Bytes of text that a bucket of anchors, and of segments that a shard, stands for.
 BUCKET_TEXT_BYTES = 32 << 20
 SHARD_BYTES = 1 << 20
+#: About the bytes of a segment.
+SEGMENT_BYTES = 64
 #: One of so many documents is drawn to find hot anchors, those of so many segments in that draw.
 HOT_DRAW = 32
 HOT_ROWS = 20_000
@@ -188,24 +190,68 @@ def _segment_rows(buckets: int, hot: np.ndarray):
     return cut
 
 
-_FOUND = "doc long, tie long, runs binary, asked binary, asked_anchors binary"
+#: What goes by document: ``kind`` and, for each of its documents, an item. Rows are dealt by ``part``, a
+#: hash of the document, and sorted by kind, so a part's results come before its texts.
+_BY_PART = "part int, kind int, ids binary, ties binary, items array<binary>"
+RUNS, ASKED, TEXT = 0, 1, 2
+#: An asked segment: its first window, its windows, its anchor.
+_PLACE = np.dtype([("first", "<i4"), ("count", "<i4"), ("anchor", "<u8")])
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settles equal segments of a bucket; asks for the bytes of unlike ones with the same anchor."""
-    held, bucket = [], None
+def _by_part(kind: int, ids: np.ndarray, ties: np.ndarray, items: list[bytes], parts: int) -> pa.RecordBatch:
+    """One row for each part that the documents fall into."""
+    own = mixed(mixed(ids.view(np.uint64)) + ties.view(np.uint64)) % np.uint64(parts)
+    order = np.argsort(own, kind="stable")
+    bounds = np.append(np.flatnonzero(_runs_of(own[order])), len(order))
+    groups = [order[low:high] for low, high in zip(bounds[:-1], bounds[1:])]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([int(own[g[0]]) for g in groups], pa.int32()),
+            pa.array([kind] * len(groups), pa.int32()),
+            pa.array([ids[g].tobytes() for g in groups], pa.binary()),
+            pa.array([ties[g].tobytes() for g in groups], pa.binary()),
+            pa.array([[items[i] for i in g] for g in groups], pa.list_(pa.binary())),
+        ],
+        names=["part", "kind", "ids", "ties", "items"],
+    )
+
+
+def _with_texts(batches: Iterator[pa.RecordBatch]):
+    """(id, tie, text, items) of every text of sorted parts, with the items of its document."""
+    unpack, part, items = zstandard.ZstdDecompressor(), None, {}
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != bucket and held:
-                yield from _settled(held)
-                held = []
-            bucket = row["bucket"]
-            held.append(row)
-    if held:
-        yield from _settled(held)
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        for n, (own, kind, ids, ties) in enumerate(zip(*columns)):
+            if own != part:
+                part, items = own, {}
+            values = batch.column(4)[n].as_py()
+            keys = zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(ties, "<i8").tolist())
+            for key, value in zip(keys, values):
+                if kind == TEXT:
+                    yield *key, unpack.decompress(value), items.get(key, [])
+                else:
+                    items.setdefault(key, []).append(value)
+
+
+def _settle(parts: int):
+    """Settles equal segments of a bucket; asks for the bytes of unlike ones with the same anchor."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket and held:
+                    yield from _settled(held, parts)
+                    held = []
+                bucket = row["bucket"]
+                held.append(row)
+        if held:
+            yield from _settled(held, parts)
+
+    return settle
 
 
-def _settled(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+def _settled(rows: list[dict], parts: int) -> Iterator[pa.RecordBatch]:
     ids, ties, doc, anchors, sums, first, count = [], [], [], [], [], [], []
     runs, before = [], 0
     for row in rows:
@@ -238,65 +284,71 @@ def _settled(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     asked = np.flatnonzero(open_group[group] & ~repeated)
     asked = asked[np.lexsort((first[asked], doc[asked]))]
     bounds = np.append(np.flatnonzero(_runs_of(doc[asked])), len(asked))
+    places = np.zeros(len(asked), dtype=_PLACE)
+    places["first"], places["count"], places["anchor"] = first[asked], count[asked], anchors[asked]
     wanted = {
-        int(doc[asked[low]]): (
-            np.stack([first[asked[low:high]], count[asked[low:high]]], axis=1).astype("<i4").tobytes(),
-            anchors[asked[low:high]].tobytes(),
-        )
+        int(doc[asked[low]]): places[low:high].tobytes()
         for low, high in zip(bounds[:-1], bounds[1:])
         if high > low
     }
-    out = [(d, packed, b"", b"") for d, packed in runs]
-    out += [(d, found.get(d, b""), *wanted.get(d, (b"", b""))) for d in found.keys() | wanted.keys()]
-    if out:
-        which = np.array([o[0] for o in out], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[which]), pa.array(ties[which])]
-            + [pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)],
-            names=["doc", "tie", "runs", "asked", "asked_anchors"],
-        )
+    runs += found.items()
+    for kind, items in ((RUNS, runs), (ASKED, list(wanted.items()))):
+        if items:
+            which = np.array([d for d, _ in items], dtype=np.int64)
+            yield _by_part(kind, ids[which], ties[which], [packed for _, packed in items], parts)
 
 
 def _cut_segments(shards: int):
+    """Bytes of the asked segments, dealt to shards by anchor."""
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+            names=["shard", "doc", "tie", "first", "bytes"],
+        )
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for row in batch.to_pylist():
-                raw = unpack.decompress(row["packed"])
-                for asked, anchors in zip(row["asked"], row["asked_anchors"]):
-                    places = np.frombuffer(asked, "<i4").reshape(-1, 2)
-                    shard = np.frombuffer(anchors, "<u8") % np.uint64(shards)
-                    n = len(places)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(shard.astype(np.int32)),
-                            pa.array(np.full(n, row["doc"], np.int64)),
-                            pa.array(np.full(n, row["tie"], np.int64)),
-                            pa.array(np.ascontiguousarray(places[:, 0])),
-                            pa.array([raw[a : a + w - 1 + LENGTH] for a, w in places], pa.binary()),
-                        ],
-                        names=["shard", "doc", "tie", "first", "bytes"],
-                    )
+        rows = []
+        for doc, tie, raw, items in _with_texts(batches):
+            for item in items:
+                for first, count, anchor in np.frombuffer(item, _PLACE).tolist():
+                    rows.append((anchor % shards, doc, tie, first, raw[first : first + count - 1 + LENGTH]))
+            if len(rows) >= 20_000:
+                yield packed(rows)
+                rows = []
+        if rows:
+            yield packed(rows)
 
     return cut
 
 
-def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_shards(parts: int):
     """The repeated windows of each shard of a partition sorted by shard."""
-    held, shard = [], None
-    for batch in batches:
-        for row in zip(*(column.to_pylist() for column in batch.columns)):
-            if row[0] != shard and held:
-                yield from repeated_windows(held)
-                held = []
-            shard = row[0]
-            held.append(row)
-    if held:
-        yield from repeated_windows(held)
-
-
-def repeated_windows(rows: list[tuple], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """Runs of windows of (shard, doc, tie, first, bytes) that also stand in a row of a smaller doc."""
+
+    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        runs = repeated_windows(rows)
+        if runs:
+            keys = np.array(list(runs), dtype=np.int64)
+            yield _by_part(RUNS, keys[:, 0].copy(), keys[:, 1].copy(), list(runs.values()), parts)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = [], None
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if row[0] != shard and held:
+                    yield from found(held)
+                    held = []
+                shard = row[0]
+                held.append(row)
+        if held:
+            yield from found(held)
+
+    return sort
+
+
+def repeated_windows(rows: list[tuple], length: int = LENGTH) -> dict[tuple[int, int], bytes]:
+    """By document, runs of windows of (shard, doc, tie, first, bytes) that also stand in a row of a smaller doc."""
     text = np.zeros(sum(len(r[4]) + 1 for r in rows) + 1, dtype=np.int64)
     owner = np.full(len(text), -1, dtype=np.int64)  # the row, where a whole window starts
     starts, at = [], 0
@@ -319,7 +371,7 @@ def repeated_windows(rows: list[tuple], length: int = LENGTH) -> Iterator[pa.Rec
     ranks = np.cumsum(_runs_of(group)) - 1
     again = whole[ids[of] > least[ranks]]
     if not len(again):
-        return
+        return {}
     of = owner[again]
     tie = np.array([r[2] for r in rows], dtype=np.int64)
     first = np.array([r[3] for r in rows], dtype=np.int64) - np.array(starts, dtype=np.int64)
@@ -327,55 +379,58 @@ def repeated_windows(rows: list[tuple], length: int = LENGTH) -> Iterator[pa.Rec
     doc = doc.reshape(-1)
     packed = _packed_runs(doc[of], again + first[of], np.ones(len(of), np.int64))
     example = {int(d): n for n, d in enumerate(doc)}
-    which = np.array([example[d] for d in packed], dtype=np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids[which]), pa.array(tie[which]), pa.array(list(packed.values()), pa.binary())],
-        names=["doc", "tie", "runs"],
-    )
+    return {(int(ids[example[d]]), int(tie[example[d]])): runs for d, runs in packed.items()}
+
+
+_OUT = pa.schema(
+    [(name, pa.int64()) for name in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+    + [("kept_sha256", pa.string())]
+    + [("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts each text's repeated bytes."""
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out = []
-        for doc, packed, runs in zip(*(column.to_pylist() for column in batch.columns)):
-            raw = unpack.decompress(packed)
-            pairs = np.frombuffer(b"".join(runs or []), "<i4").reshape(-1, 2).astype(np.int64)
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-            spans = _joined(pairs[:, 0], pairs[:, 1] - 1 + LENGTH)
-            edges = [0, *spans.ravel().tolist(), len(raw)]
-            digest = hashlib.sha256()
-            for low, high in zip(edges[::2], edges[1::2]):
-                digest.update(raw[low:high])
-            out.append(
-                (
-                    None if doc == NO_ID else doc,
-                    len(raw),
-                    int((spans[:, 1] - spans[:, 0]).sum()),
-                    len(spans),
-                    digest.hexdigest(),
-                    [{"start": int(a), "end": int(b)} for a, b in spans],
-                )
-            )
-        columns = list(zip(*out)) or [[]] * 6
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        kinds = [pa.int64()] * 4 + [pa.string(), span]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT
+        )
+
+    rows = []
+    for doc, _, raw, items in _with_texts(batches):
+        pairs = np.frombuffer(b"".join(items), "<i4").reshape(-1, 2).astype(np.int64)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        spans = _joined(pairs[:, 0], pairs[:, 1] - 1 + LENGTH)
+        edges = [0, *spans.ravel().tolist(), len(raw)]
+        digest = hashlib.sha256()
+        for low, high in zip(edges[::2], edges[1::2]):
+            digest.update(raw[low:high])
+        removed = [{"start": a, "end": b} for a, b in spans.tolist()]
+        gone = int((spans[:, 1] - spans[:, 0]).sum())
+        rows.append(
+            (None if doc == NO_ID else doc, len(raw), gone, len(spans), digest.hexdigest(), removed)
         )
+        if len(rows) >= 2_000:
+            yield packed(rows)
+            rows = []
+    if rows:
+        yield packed(rows)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(parts: int):
     """Texts compressed for their shuffle."""
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = [pack.compress(raw) for raw in raw_texts(batch.column(2))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.binary())],
-            names=["doc", "tie", "packed"],
-        )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [packer.compress(raw) for raw in raw_texts(batch.column(2))]
+            ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for n in range(0, len(texts), 64):
+                part = slice(n, n + 64)
+                yield _by_part(TEXT, ids[part].copy(), ties[part].copy(), texts[part], parts)
+
+    return pack
 
 
 def _hot_anchors(rows: DataFrame, hot_rows: int) -> np.ndarray:
@@ -415,43 +470,37 @@ def removed_spans(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TEXT_BYTES)
     hot = _hot_anchors(rows, hot_rows)
+    parts = buckets
     found = written(
         rows.mapInArrow(_segment_rows(buckets, hot), _ROW)
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_settle, _FOUND),
+        .mapInArrow(_settle(parts), _BY_PART),
         "settled",
     )
-    packed = rows.mapInArrow(_pack, "doc long, tie long, packed binary")
-    asked = found.filter(F.length("asked") > 0)
-    bytes_asked = asked.agg(F.sum(F.length("asked"))).first()[0] or 0
-    shards = max(1, bytes_asked * 9 // SHARD_BYTES)
-    asked = asked.groupBy("doc", "tie").agg(
-        F.collect_list("asked").alias("asked"), F.collect_list("asked_anchors").alias("asked_anchors")
-    )
-    # Both joins deal the packed texts alike, so one exchange serves both.
-    sorted_runs = (
-        packed.join(asked, ["doc", "tie"])
-        .mapInArrow(
-            _cut_segments(shards), "shard int, doc long, tie long, first int, bytes binary"
+    texts = rows.mapInArrow(_pack(parts), _BY_PART)
+    asked = found.filter(F.col("kind") == ASKED)
+    size = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    asked_places = (asked.agg(F.sum(size)).first()[0] or 0) // _PLACE.itemsize
+    shards = max(1, asked_places * SEGMENT_BYTES // SHARD_BYTES)
+
+    def beside_texts(results: DataFrame) -> DataFrame:
+        return (
+            results.unionByName(texts)
+            .repartition(parts, "part")
+            .sortWithinPartitions("part", "kind")
         )
+
+    sorted_runs = (
+        beside_texts(asked)
+        .mapInArrow(_cut_segments(shards), "shard int, doc long, tie long, first int, bytes binary")
         .repartition(shards, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(_sort_shards, "doc long, tie long, runs binary")
+        .mapInArrow(_sort_shards(parts), _BY_PART)
     )
-    runs = (
-        found.filter(F.length("runs") > 0)
-        .select("doc", "tie", "runs")
-        .unionByName(sorted_runs)
-        .groupBy("doc", "tie")
-        .agg(F.collect_list("runs").alias("runs"))  # a document's own runs
-    )
-    return (
-        packed.join(runs, ["doc", "tie"], "left")
-        .select("doc", "packed", "runs")
-        .mapInArrow(
-            _remove,
-            "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-            "removed array<struct<start: long, end: long>>",
-        )
+    runs = found.filter(F.col("kind") == RUNS).unionByName(sorted_runs)
+    return beside_texts(runs).mapInArrow(
+        _remove,
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+        "removed array<struct<start: long, end: long>>",
     )
