@@ -12,6 +12,7 @@ repeats is an identifier each time, a licence counts once. Further columns are i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,17 @@ def identifier(sentence: Column, sentences: Sequence[tuple[str, str]] = SENTENCE
     return cases
 
 
+def may_hold(text: Column, sentences: Sequence[tuple[str, str]] = SENTENCES) -> Column:
+    """False only where no sentence of a text can be known.
+
+    A known sentence's longest word stands in the text as it is, but for case, so texts with none of these
+    words need not be cut.
+    """
+    cues = sorted({max(known.rstrip("*").split(), key=len) for _, known in sentences})
+    plain = F.translate(text, UPPER, LOWER)
+    return reduce(Column.__or__, [F.contains(plain, F.lit(cue)) for cue in cues])
+
+
 def scanned(
     docs: DataFrame,
     sentences: Sequence[tuple[str, str]] = SENTENCES,
@@ -89,13 +101,13 @@ def scanned(
 
     ``sentence_ids`` are in text order, ``licenses`` in the rules' order; ``unused`` are identifiers no rule used.
     """
-    found = F.filter(
-        F.transform(
-            F.split(F.coalesce("text", F.lit("")), SENTENCE_END),
-            lambda s: identifier(normalised(s), sentences),
-        ),
+    text = F.coalesce("text", F.lit(""))
+    named = F.filter(
+        F.transform(F.split(text, SENTENCE_END), lambda s: identifier(normalised(s), sentences)),
         lambda name: name.isNotNull(),
     )
+    none = F.array().cast("array<string>")
+    found = F.when(may_hold(text, sentences), named).otherwise(none)
     # Ids stand between double commas, so neighbouring rules don't share one.
     chain = F.concat(F.lit(","), F.array_join(F.transform("ids", lambda x: F.concat(x, F.lit(","))), ","))
     table = F.array(
@@ -114,7 +126,7 @@ def scanned(
 
     start = F.struct(
         F.when(F.size("ids") > 0, chain).otherwise("").alias("left"),
-        F.array().cast("array<string>").alias("names"),
+        none.alias("names"),
     )
     unused = F.filter(F.split(F.col("state.left"), "[,/]+"), lambda x: x != "")
     return (

@@ -58,7 +58,7 @@ def _number(name: str | None) -> int | None:
 
 
 def _line_safe(url: str) -> str:
-    return re.sub(r"[\x00-\x20\x7f\x85  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
 
 
 def record_bytes(
