@@ -257,14 +257,18 @@ def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
     """One document of each component, with its columns: that with the least id, and of those the least text hash.
 
+    ``grouped`` has doc_id, ``tie`` and ``root`` of every document; by default those of ``clusters``.
     A null id counts after all others; rows that repeat in both are one.
     """
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie")
     kept = written(
-        clusters(docs).groupBy("root").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.tie"),
+        (clusters(docs) if grouped is None else grouped)
+        .groupBy("root")
+        .agg(F.min(order).alias("kept"))
+        .select("kept.doc_id", "kept.tie"),
         "kept",
     ).select(F.col("doc_id").alias("_kept_id"), F.col("tie").alias("_kept_tie"))
     return (
