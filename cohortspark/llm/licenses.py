@@ -1,7 +1,7 @@
 """Licence recognition by sentences (operator 3).
 
-A text is cut in sentences; a normalised sentence that is known, as a whole or by its beginning, stands for
-an identifier. The identifiers of a document, in order, are matched against licence rules in their order:
+A text is cut in sentences, which may be wrapped over lines and stand behind comment marks; a normalised sentence
+that is known, as a whole or by its beginning, stands for an identifier, also from the start of a line in it. The identifiers of a document, in order, are matched against licence rules in their order:
 a rule is a sequence of identifiers; what it matches is used up, so a longer rule goes before one that is
 a part of it. What no rule uses is left and reported. All of it is DataFrame expressions on single rows.
 
@@ -63,13 +63,109 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("Cc0",)),
 )
 
-#: A sentence ends at a line break, a semicolon, a colon, or a stop before white space or the text's end.
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu"
+_PUBLISHED = "as published by the free software foundation"
+_LATER = "of the license or at your option any later version*"
+_CC = "this work is licensed under a creative commons attribution"
+
+#: Further fixed values: sentences of standard notices as they stand in texts, longer ones first.
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("Gpl3Terms", f"{_TERMS} general public license {_PUBLISHED} either version 3 {_LATER}"),
+    ("Gpl2Terms", f"{_TERMS} general public license {_PUBLISHED} either version 2 {_LATER}"),
+    ("Gpl3Only", f"{_TERMS} general public license {_PUBLISHED} version 3*"),
+    ("Gpl3Only", f"{_TERMS} general public license version 3 {_PUBLISHED}*"),
+    ("Gpl2Only", f"{_TERMS} general public license version 2 {_PUBLISHED}*"),
+    ("Lgpl3Terms", f"{_TERMS} lesser general public license {_PUBLISHED} either version 3 {_LATER}"),
+    ("Lgpl21Terms", f"{_TERMS} lesser general public license {_PUBLISHED} either version 2 1 {_LATER}"),
+    ("LgplTerms", f"{_TERMS} lesser general public license {_PUBLISHED}"),
+    ("Lgpl21Later", f"either version 2 1 {_LATER}"),
+    ("Agpl3Terms", f"{_TERMS} affero general public license {_PUBLISHED} either version 3 {_LATER}"),
+    ("BsdName", "the name of the author may not be used to endorse*"),
+    (
+        "IscGrant",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+        "hereby granted provided that the above copyright notice*",
+    ),
+    (
+        "ZeroBsdGrant",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+        "hereby granted",
+    ),
+    ("MplRef", "this source code form is subject to the terms of the mozilla public license v*"),
+    ("EplRef", "this program and the accompanying materials are made available under the terms of the eclipse "
+     "public license 2 0*"),
+    ("BoostRef", "distributed under the boost software license version 1 0*"),
+    ("BoostGrant", "permission is hereby granted free of charge to any person or organization obtaining a copy*"),
+    ("ZlibOrigin", "the origin of this software must not be misrepresented*"),
+    ("Unlicense", "this is free and unencumbered software released into the public domain*"),
+    ("CcByNcNd4Name", f"{_CC} noncommercial noderivatives 4 0 international*"),
+    ("CcByNcSa4Name", f"{_CC} noncommercial sharealike 4 0 international*"),
+    ("CcByNc4", f"{_CC} noncommercial 4 0 international*"),
+    ("CcByNd4Name", f"{_CC} noderivatives 4 0 international*"),
+    ("CcBySa4", f"{_CC} sharealike 4 0 international*"),
+    ("CcBy4", f"{_CC} 4 0 international*"),
+)
+
+#: Their rules, tried after the others.
+NOTICE_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    *(
+        (name, ids)
+        for name, terms in (
+            ("GPL-3.0-or-later", ("Gpl3Terms",)),
+            ("GPL-2.0-or-later", ("Gpl2Terms",)),
+            ("GPL-3.0-only", ("Gpl3Only",)),
+            ("GPL-2.0-only", ("Gpl2Only",)),
+            ("LGPL-3.0-or-later", ("Lgpl3Terms",)),
+            ("LGPL-2.1-or-later", ("Lgpl21Terms",)),
+            ("LGPL-2.1-or-later", ("LgplTerms", "Lgpl21Later")),
+            ("LGPL-3.0-or-later", ("LgplTerms", "Gpl3Later")),
+            ("AGPL-3.0-or-later", ("Agpl3Terms",)),
+        )
+        for ids in (("GplFree", *terms), terms)
+    ),
+    ("ISC", ("IscGrant",)),
+    ("0BSD", ("ZeroBsdGrant",)),
+    ("MPL-2.0", ("MplRef",)),
+    ("EPL-2.0", ("EplRef",)),
+    ("BSL-1.0", ("BoostRef",)),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("Zlib", ("ZlibOrigin",)),
+    ("Unlicense", ("Unlicense",)),
+    ("CC-BY-NC-ND-4.0", ("CcByNcNd4Name",)),
+    ("CC-BY-NC-SA-4.0", ("CcByNcSa4Name",)),
+    ("CC-BY-ND-4.0", ("CcByNd4Name",)),
+)
+
+#: Where the query's SQL cuts: at each line break too, so it knows no sentence that is wrapped.
 SENTENCE_END = r"\n|[;:]|[.!?]+[ \t\r\n]|[.!?]+$"
+#: A sentence ends at a line without letters and digits, a semicolon, a colon, or a stop before white space or
+#: the text's end.
+WRAPPED_END = r"\n[^A-Za-z0-9\n]*(?=\n)|[;:]|[.!?]+(?=[ \t\r\n])|[.!?]+$"
 
 
 def normalised(sentence: Column) -> Column:
-    """A-Z in lower case, all but a-z and 0-9 as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+    """A-Z in lower case, line breaks as ``|``, all else but a-z and 0-9 as single spaces, none at the ends.
+
+    Comment marks and bullets beside a break go with it.
+    """
+    plain = F.translate(sentence, f"{UPPER}|\n", f"{LOWER} |")
+    plain = F.regexp_replace(plain, "[^a-z0-9|]+", " ")
+    return F.trim(F.regexp_replace(plain, " ?[|][ |]*", "|"))
+
+
+def known_in(sentence: Column, sentences: Sequence[tuple[str, str]]) -> Column:
+    """The known sentences that begin where a normalised sentence or one of its lines does, in order.
+
+    One that is known as a whole ends with a line or with the sentence.
+    """
+    each = [
+        known[:-1].replace(" ", "[ |]") if known.endswith("*") else known.replace(" ", "[ |]") + "(?=[|]|$)"
+        for _, known in sentences
+    ]
+    starts = f"(?:^|[|])(?:(?:[0-9][0-9]?|[a-z]) )?(?=({'|'.join(each)}))"
+    return F.transform(
+        F.regexp_extract_all(sentence, F.lit(starts), F.lit(1)), lambda s: F.translate(s, "|", " ")
+    )
 
 
 def identifier(sentence: Column, sentences: Sequence[tuple[str, str]] = SENTENCES) -> Column:
@@ -94,8 +190,8 @@ def may_hold(text: Column, sentences: Sequence[tuple[str, str]] = SENTENCES) ->
 
 def scanned(
     docs: DataFrame,
-    sentences: Sequence[tuple[str, str]] = SENTENCES,
-    rules: Sequence[tuple[str, tuple[str, ...]]] = RULES,
+    sentences: Sequence[tuple[str, str]] = NOTICES + SENTENCES,
+    rules: Sequence[tuple[str, tuple[str, ...]]] = RULES + NOTICE_RULES,
 ) -> DataFrame:
     """doc_id, ``sentence_ids``, ``licenses`` and ``unused`` of every document, each a comma-joined list.
 
@@ -103,7 +199,10 @@ def scanned(
     """
     text = F.coalesce("text", F.lit(""))
     named = F.filter(
-        F.transform(F.split(text, SENTENCE_END), lambda s: identifier(normalised(s), sentences)),
+        F.transform(
+            F.flatten(F.transform(F.split(text, WRAPPED_END), lambda s: known_in(normalised(s), sentences))),
+            lambda s: identifier(s, sentences),
+        ),
         lambda name: name.isNotNull(),
     )
     none = F.array().cast("array<string>")
