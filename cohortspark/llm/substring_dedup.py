@@ -46,9 +46,10 @@ BUCKET_TEXT_BYTES = 32 << 20
 SHARD_BYTES = 1 << 20
 #: About the bytes of a segment.
 SEGMENT_BYTES = 64
-#: One of so many documents is drawn to find hot anchors, those of so many segments in that draw.
+#: One of so many documents is drawn to find hot anchors, those of so many segments in that draw: about those whose
+#: segments alone would fill a shard.
 HOT_DRAW = 32
-HOT_ROWS = 20_000
+HOT_ROWS = SHARD_BYTES // SEGMENT_BYTES // HOT_DRAW
 #: Windows of a text that are cut into segments at a time.
 PIECE = 1 << 20
 NO_ID = (1 << 63) - 1
