@@ -135,9 +135,56 @@ FROM step{len(RULES) - 1}
 
 OP3 = _op3()
 
+
+def _op11(k: int = 16, rounds: int = 3, dimensions: int = 64) -> str:
+    """All distances of each round, long: one row for each vector, centroid and dimension."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+    SELECT vec_id, row_number() OVER () AS r,
+        list_transform(embedding, lambda x: CAST(floor({dimensions} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE len(embedding) = {dimensions}
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}
+), parts AS MATERIALIZED (
+    SELECT r, unnest(q) AS v, unnest(range({dimensions})) AS d FROM kept
+), start AS (
+    SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept
+), c0 AS MATERIALIZED (SELECT c, d, v AS m FROM parts JOIN start USING (r) WHERE c < {k})"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""d{n} AS (
+    SELECT r, c, CAST(sum((v - m) * (v - m)) AS BIGINT) AS distance FROM parts JOIN c{n} USING (d) GROUP BY r, c
+), a{n} AS MATERIALIZED (
+    SELECT r, c, distance FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1
+)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""s{n} AS (
+    SELECT c, d, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM parts JOIN a{n} USING (r) GROUP BY c, d
+), c{n + 1} AS MATERIALIZED (
+    SELECT c, d, CASE WHEN n IS NULL THEN m ELSE (s - ((s % n) + n) % n) // n END AS m
+    FROM c{n} LEFT JOIN s{n} USING (c, d)
+)"""
+            )
+    return f"""
+WITH {", ".join(parts)}, digests AS (
+    SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c
+)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance,
+    CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM kept JOIN a{rounds} USING (r) JOIN digests USING (c)
+"""
+
+
+OP11 = _op11()
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2,
     "op3_license_scan": OP3,
     "op5_url_filter": OP5,
     "op9_warc": OP9,
+    "op11_centroids": OP11,
 }

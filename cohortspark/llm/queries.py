@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import (
+    centroids,
     decontaminate,
     licenses,
     mixture,
@@ -111,6 +112,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rows(docs, quality_rules.fit(docs, labels))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept vector's cluster after three rounds."""
+    found = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    return found.select("row.vec_id", *[c for c in found.columns if c != "row"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
@@ -122,4 +129,5 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroids": op11_centroids,
 }
