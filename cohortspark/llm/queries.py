@@ -15,6 +15,7 @@ from cohortspark.llm import (
     quality_classifier,
     quality_rules,
     simhash,
+    spelling,
     substring_dedup,
     token_files,
     url_filter,
@@ -118,6 +119,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.vec_id", *[c for c in found.columns if c != "row"])
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
@@ -130,4 +136,5 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
     "op11_centroids": op11_centroids,
+    "op12_spelling_variants": op12_spelling_variants,
 }

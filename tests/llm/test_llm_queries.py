@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 12))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 13))
     assert ORACLES.keys() <= QUERIES.keys()
 
 
@@ -40,6 +40,16 @@ COLUMNS = {
 }
 
 
+def test_words_of_the_given_documents(spark):
+    """The whole query against counts and near words found one by one."""
+    from test_spelling import brute
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    found = QUERIES["op12_spelling_variants"](spark, SF)
+    assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert {tuple(r) for r in found.collect()} == brute([tuple(r) for r in docs])
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_columns_and_rows(spark, name):
     found = QUERIES[name](spark, SF)
