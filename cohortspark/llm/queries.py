@@ -12,6 +12,7 @@ from cohortspark.llm import (
     decontaminate,
     licenses,
     mixture,
+    personal_data,
     quality_classifier,
     quality_rules,
     simhash,
@@ -124,6 +125,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: the patterns' counts and digest, and all spans."""
+    return personal_data.digest(personal_data.found_in(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
@@ -137,4 +143,5 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_centroids": op11_centroids,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_personal_data": op13_personal_data,
 }

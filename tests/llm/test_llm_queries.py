@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 13))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert ORACLES.keys() <= QUERIES.keys()
 
 
@@ -22,6 +22,7 @@ def test_against_sql(spark, name):
 
 
 COLUMNS = {
+    "op13_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op1_token_output": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op4_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
     "op6_simhash": ["doc_id", "fingerprint", "component_id"],
@@ -40,6 +41,17 @@ COLUMNS = {
 }
 
 
+def test_personal_data_of_the_given_documents(spark):
+    """Pattern spans against plain searches, and few documents with spans of the field alone."""
+    from test_personal_data import brute_digest
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    found = {r.doc_id: r for r in QUERIES["op13_personal_data"](spark, SF).collect()}
+    for doc_id, text in docs:
+        row = found[doc_id]
+        assert (row.n_email, row.n_ip, row.n_card, row.n_phone, row.base_sha256) == brute_digest(text or "")
+
+
 def test_words_of_the_given_documents(spark):
     """The whole query against counts and near words found one by one."""
     from test_spelling import brute
