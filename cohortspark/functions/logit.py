@@ -1,184 +1,151 @@
-"""Binomial regression with a logit link on one table of counts whose terms are all categorical.
+"""The small linear algebra of a binomial fit: what is solved once the sums over the births are known.
 
-Every category of every term has a number; a row is the numbers of its categories, so sums over rows by
-number, or by a pair of them, give the score and the information without a design matrix. A term's base
-category has no coefficient. The rows are distinct combinations of categories, bounded by their product.
+A model's categories are numbered, 0 being the intercept. Sums over rows by category, and by pair of them, are
+given; nothing here sees a row of the model.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 
 Z = 1.959963984540054
-_STEPS = 60
-_SETTLED = 1e-9
+#: A step below this is the last; so many passes are made at most.
+SETTLED, PASSES = 1e-8, 60
+#: A step is at most so long.
+LONGEST = 4.0
+#: A likelihood that is less by this part is one that rounding can't explain.
+LESS = 1e-9
+#: Linear predictors beyond this are on their way to infinity, where rows can be predicted exactly.
+FAR = 20.0
 #: A row of one outcome that is fitted this closely is predicted exactly: its estimate has no finite value.
-_EXACT = 1e-6
-
-
-class Categories:
-    """Rows as category numbers: column 0 is the intercept, then the terms' categories but their bases."""
-
-    def __init__(self, table: pd.DataFrame, bases: dict[str, str]) -> None:
-        self.names: list[tuple[str, str] | None] = [None]
-        numbers = [np.zeros(len(table), dtype=np.int64)]
-        for term, base in bases.items():
-            own = {base: -1}
-            for value in sorted(set(table[term]) - {base}):
-                own[value] = len(self.names)
-                self.names.append((term, value))
-            numbers.append(table[term].map(own).to_numpy(dtype=np.int64))
-        self.size = len(self.names)
-        # One more place takes what belongs to base categories.
-        self.rows = np.where(np.stack(numbers) < 0, self.size, np.stack(numbers))
-
-    def linear(self, coefficients: np.ndarray) -> np.ndarray:
-        return np.append(coefficients, 0.0)[self.rows].sum(axis=0)
-
-    def sums(self, weight: np.ndarray) -> np.ndarray:
-        """By category, the sum of the rows' weights."""
-        found = sum(np.bincount(own, weight, self.size + 1) for own in self.rows)
-        return found[: self.size]
-
-    def products(self, weight: np.ndarray) -> np.ndarray:
-        """By pair of categories, the sum of the rows' weights."""
-        wide = self.size + 1
-        found = sum(
-            np.bincount(a * wide + b, weight, wide * wide) for a in self.rows for b in self.rows
-        )
-        return found.reshape(wide, wide)[: self.size, : self.size]
+EXACT = 1e-6
+_NOTHING, _IN_PART = 1e-9, 1e-6
+
+ACTIVE, DONE, LEFT = 0, 1, 2
+
 
-    def undetermined(self) -> np.ndarray:
-        """Categories whose coefficient can be traded against others without changing any row."""
-        values, vectors = np.linalg.eigh(self.products(np.ones(self.rows.shape[1])))
-        idle = vectors[:, values < 1e-9 * values.max()]
-        return (np.abs(idle) > 1e-6).any(axis=1)
+def square(size: int, a: np.ndarray, b: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of sums by pair of categories a <= b."""
+    found = np.zeros((size, size))
+    found[a, b] = sums
+    found[b, a] = sums
+    return found
 
 
-def mixed_rows(codes: np.ndarray, births: np.ndarray, cases: np.ndarray) -> np.ndarray:
-    """The rows left when no category of any term has births of one outcome alone any more.
+def eliminated(products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which columns are independent, and which coefficients can be traded against others.
 
-    ``codes`` has a row for each term, numbered without overlap.
+    ``products`` are cross products of the columns. Columns are eliminated one by one, that with the largest rest
+    first, until nothing is left; what then remains of a column is its combination of the independent ones, and
+    every column of such a combination has no coefficient of its own.
     """
-    left = np.ones(len(births), dtype=bool)
-    size = codes.max(initial=0) + 1
-    while True:
-        total, case = (
-            np.bincount(codes[:, left].ravel(), np.tile(x[left], len(codes)), size) for x in (births, cases)
-        )
-        pure = (case == 0) | (case == total)
-        out = left & pure[codes].any(axis=0)
-        if not out.any():
-            return left
-        left &= ~out
+    size = len(products)
+    scale = np.sqrt(np.maximum(np.diag(products), 0))
+    scale[scale == 0] = 1
+    rest = products / np.outer(scale, scale)
+    independent = np.zeros(size, dtype=bool)
+    while not independent.all():
+        left = np.where(independent, -1.0, np.diag(rest))
+        pivot = int(left.argmax())
+        if left[pivot] <= _NOTHING:
+            break
+        row = rest[pivot] / rest[pivot, pivot]
+        rest = rest - np.outer(rest[:, pivot], row)
+        rest[pivot] = row
+        independent[pivot] = True
+    combined = np.abs(rest[:, ~independent]) > _IN_PART
+    loose = ~independent
+    loose[independent] = combined[independent].any(axis=1)
+    return independent, loose
+
+
+class Point(NamedTuple):
+    """A fit between two passes: ``at`` is to be rated next, ``accepted`` was rated best."""
+
+    at: np.ndarray
+    accepted: np.ndarray
+    best: float
+    status: int
+    passes: int
+    variance: np.ndarray
+    independent: np.ndarray
+    loose: np.ndarray
+    #: No direction of the coefficients leaves all rows of both outcomes alone, so no row is predicted exactly.
+    certain: bool
+
+
+def begun(size, a, b, rows, mixed, births, cases) -> Point:
+    """The first point, from sums by pair of categories: rows, rows of both outcomes, births and cases.
+
+    With the intercept alone every row has the same share, so these sums give the first step too.
+    """
+    independent, loose = eliminated(square(size, a, b, rows))
+    among_mixed, _ = eliminated(square(size, a, b, mixed))
+    whole = int(np.flatnonzero((a == 0) & (b == 0))[0])
+    share = cases[whole] / births[whole]
+    at = np.zeros(size)
+    at[0] = np.log(share / (1 - share))
+    nothing = np.full(size, np.nan)
+    certain = bool(among_mixed.sum() == independent.sum())
+    start = Point(at, at, -np.inf, ACTIVE, 0, nothing, independent, loose, certain)
+    likelihood = cases[whole] * np.log(share) + (births[whole] - cases[whole]) * np.log(1 - share)
+    return moved(start, a, b, share * (1 - share) * births, cases - share * births, likelihood, abs(at[0]))
+
+
+def moved(point: Point, a, b, information, score, likelihood, far) -> Point:
+    """Newton's next point from the sums at ``at``; a step that lowers the likelihood is halved instead."""
+    passes, size = point.passes + 1, len(point.at)
+    if likelihood < point.best - LESS * abs(point.best):
+        status = LEFT if passes >= PASSES else ACTIVE
+        return point._replace(at=(point.at + point.accepted) / 2, passes=passes, status=status)
+    independent = point.independent
+    inner = square(size, a, b, information)[np.ix_(independent, independent)]
+    inverse = np.linalg.pinv(inner, rcond=1e-13, hermitian=True)
+    slope, own = np.zeros(size), a == b
+    slope[a[own]] = score[own]
+    step = np.zeros(size)
+    step[independent] = inverse @ slope[independent]
+    variance = np.full(size, np.nan)
+    variance[independent] = np.diag(inverse)
+    longest = float(np.abs(step).max())
+    settled = longest < SETTLED
+    over = settled or passes >= PASSES or (not point.certain and far > FAR)
+    step *= min(1.0, LONGEST / longest) if longest else 1.0
+    onward = point.at + step if settled or not over else point.at
+    return point._replace(
+        at=onward,
+        accepted=onward if settled else point.at,
+        best=likelihood,
+        status=(DONE if settled else LEFT) if over else ACTIVE,
+        passes=passes,
+        variance=variance,
+    )
 
 
-def base_category(table: pd.DataFrame, term: str) -> str:
-    """The last year; of other terms the category with the most births, the first in text among equals."""
-    if term == "year":
-        return max(table[term], key=int)
-    births = table.groupby(term)["births"].sum()
-    return births[births == births.max()].index.min()
+def _points(rows: Iterator[tuple[str, Point]]) -> pd.DataFrame:
+    return pd.DataFrame([(model, *point) for model, point in rows], columns=["model", *Point._fields])
 
 
-def estimated(categories: Categories, births: np.ndarray, cases: np.ndarray):
-    """Coefficients, their covariance, each row's fitted share, and whether the score came to zero.
+def begin_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first point of each model."""
+    for batch in batches:
+        rows = batch.itertuples(index=False)
+        yield _points(
+            (row.model, begun(int(max(row.b)) + 1, row.a, row.b, row.s0, row.s1, row.s2, row.s3)) for row in rows
+        )
 
-    Newton's method, each step halved until the likelihood does not fall.
-    """
 
-    def likelihood(eta: np.ndarray) -> float:
-        return float((cases * eta - births * np.logaddexp(0, eta)).sum())
-
-    share = cases.sum() / births.sum()
-    beta = np.zeros(categories.size)
-    beta[0] = np.log(share / (1 - share))
-    eta = categories.linear(beta)
-    best = likelihood(eta)
-    for _ in range(_STEPS):
-        mean = 1 / (1 + np.exp(-eta))
-        score = categories.sums(cases - births * mean)
-        information = categories.products(births * mean * (1 - mean))
-        step = np.linalg.pinv(information, rcond=1e-13, hermitian=True) @ score
-        for _ in range(30):
-            new = categories.linear(beta + step)
-            if likelihood(new) >= best - 1e-12 * abs(best):
-                break
-            step = step / 2
-        beta, eta, best = beta + step, new, likelihood(new)
-        if np.abs(step).max() < _SETTLED or np.abs(eta).max() > 60:
-            break
-    mean = 1 / (1 + np.exp(-eta))
-    information = categories.products(births * mean * (1 - mean))
-    settled = bool(np.abs(categories.sums(cases - births * mean)).max() < 1e-6 * births.sum())
-    return beta, np.linalg.pinv(information, rcond=1e-13, hermitian=True), mean, settled
-
-
-def adjusted(
-    table: pd.DataFrame,
-    reference: str,
-    exposure: str = "level",
-    covariates: tuple[str, ...] = ("age_group", "education", "state", "year"),
-) -> pd.DataFrame:
-    """Odds ratio of each level against the reference, given the covariates, and the births set aside.
-
-    Set aside are rows without a value in some term, then categories of one outcome, then rows predicted exactly.
-    A level that is set aside, or whose coefficient others can take over, has no odds ratio. ``fitted`` is the
-    preterm births fitted to a level; rows predicted exactly count as they are.
-    """
-    terms = [exposure, *covariates]
-    levels = sorted(set(table[exposure].dropna().astype(str)) - {reference})
-    result = pd.DataFrame(
-        {c: np.nan for c in ("odds_ratio", "lower_limit", "upper_limit", "fitted")}, index=levels
-    )
-    births_in_all = int(table["births"].sum())
-    whole = table[table[terms].notna().all(axis=1)]
-    text = whole[terms].map(lambda v: str(int(v)) if isinstance(v, float) else str(v))
-    rows = text.assign(births=whole["births"], preterm=whole["preterm"])
-    rows = rows.sort_values(terms, kind="stable").reset_index(drop=True)
-    if len(rows):
-        codes, before = [], 0
-        for term in terms:
-            own, values = pd.factorize(rows[term])
-            codes.append(own + before)
-            before += len(values)
-        counted = (rows[c].to_numpy(dtype=float) for c in ("births", "preterm"))
-        rows = rows[mixed_rows(np.stack(codes), *counted)]
-    exact = pd.Series(dtype=float)
-    converged = True
-    while reference in set(rows[exposure]):
-        bases = {t: reference if t == exposure else base_category(rows, t) for t in terms}
-        categories = Categories(rows, bases)
-        births, cases = (rows[c].to_numpy(dtype=float) for c in ("births", "preterm"))
-        beta, covariance, mean, converged = estimated(categories, births, cases)
-        pure = (cases == 0) | (cases == births)
-        out = pure & (np.abs(cases / births - mean) < _EXACT)
-        if out.any():
-            exact = exact.add(rows[out].groupby(exposure)["preterm"].sum(), fill_value=0)
-            rows = rows[~out]
-            continue
-        loose = categories.undetermined()
-        fitted = pd.Series(births * mean).groupby(rows[exposure].to_numpy()).sum()
-        result["fitted"] = fitted.add(exact, fill_value=0).reindex(levels)
-        for number, name in enumerate(categories.names):
-            if name and name[0] == exposure and converged and not loose[number]:
-                spread = Z * np.sqrt(covariance[number, number])
-                limits = np.array([0.0, -spread, spread]) + beta[number]
-                result.loc[name[1], ["odds_ratio", "lower_limit", "upper_limit"]] = np.exp(limits)
-        break
-    result.index.name = "level"
-    aside = births_in_all - int(rows["births"].sum())
-    return result.reset_index().assign(set_aside=aside, converged=converged)
-
-
-def fit_group(keys: tuple[str, ...], references: dict[str, str], covariates: tuple[str, ...]):
-    """The function a grouped map applies to each model: keys in, one row per level out."""
-
-    def fit(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        names = dict(zip(keys, key))
-        fitted = adjusted(table, references[names["measure"]], covariates=covariates)
-        columns = ["level", "odds_ratio", "lower_limit", "upper_limit", "fitted"]
-        return fitted.assign(**names)[[*keys, *columns, "set_aside", "converged"]]
-
-    return fit
+def move_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The next point of each model."""
+
+    def onward(row) -> Point:
+        before = Point(*(getattr(row, name) for name in Point._fields))
+        before = before._replace(independent=before.independent.astype(bool))
+        return moved(before, row.a, row.b, row.s0, row.s1, row.total, row.most)
+
+    for batch in batches:
+        yield _points((row.model, onward(row)) for row in batch.itertuples(index=False))

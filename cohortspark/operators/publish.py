@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions.text import array, cases, quoted
+from cohortspark.operators import commits
 from cohortspark.operators.checks import LoadRefused, bag_difference
 from cohortspark.session import run_path, written
 from cohortspark.sources.records import CSV_WRITE
@@ -213,39 +214,30 @@ def write_manifest(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def load_and_promote(
-    tables: Mapping[str, DataFrame], check, target: str, spark: SparkSession
+    tables: Mapping[str, DataFrame],
+    check,
+    target: str,
+    spark: SparkSession,
+    base: commits.Snapshot | None = None,
 ) -> str:
     """Write tables to a path of this run, check what was written, and then make it the current one.
 
-    ``check`` gets the written tables and raises to refuse them; the previous run then stays the
-    current one. The pointer is a numbered line that names the run's path, written last: a reader
-    sees either the previous run whole or the new one whole. One load at a time promotes to a target.
+    ``check`` gets the written tables and raises to refuse them; the previous run then stays the current one. Several
+    loads may promote to one target: each starts from a snapshot (``base``, by default the newest at the start), and
+    one that finds its tables promoted by another since then is refused with ``commits.Conflict``.
     """
+    base = commits.snapshot(spark, target) if base is None else base
     path = run_path(spark, "load")
     stored = {}
     for name, df in tables.items():
         df.write.mode("error").parquet(f"{path}/{name}")
         stored[name] = spark.read.parquet(f"{path}/{name}")
     check(stored)
-    sequence = 1 + (_pointers(spark, target)[0] if _exists(spark, target) else 0)
-    pointer = F.format_string("%012d %s", F.lit(sequence), F.lit(path))
-    spark.range(1).select(pointer.alias("value")).coalesce(1).write.mode("append").text(target)
+    commits.commit(spark, target, base, {name: f"{path}/{name}" for name in tables})
     return path
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    found = jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
-
-
-def _pointers(spark: SparkSession, target: str) -> tuple[int, str]:
-    """The number and the path of the run promoted last."""
-    number, _, path = spark.read.text(target).agg(F.max("value")).first()[0].partition(" ")
-    return int(number), path
-
-
 def current(spark: SparkSession, target: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """The tables of the run promoted last, which the pointer with the highest number names."""
-    _, path = _pointers(spark, target)
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    """The tables of the run promoted last."""
+    held = commits.snapshot(spark, target)
+    return {name: spark.read.parquet(held.entries[name]) for name in names}

@@ -11,6 +11,7 @@ RECORDS = (s.REGISTRY, s.records_cte())
 DAMAGED = (s.REGISTRY, s.DAMAGED_REGISTRY, s.records_cte("damaged"))
 COHORTS = (*RECORDS, s.CRITERIA)
 CELLS = (*COHORTS, s.CELLS)
+Z = 1.959963984540054
 FIT = "definition, period, cutoff, measure, variant, stratum_variable, stratum_value"
 
 
@@ -947,15 +948,14 @@ def _reference(term: str) -> str:
 
 
 _TERMS = ("age_group", "education", "state", "year")
-def _rounds(n: int) -> str:
+def _rounds(n: int, source: str = "models", terms: tuple[str, ...] = ("level", *_TERMS)) -> str:
     """The model rows left after n rounds of dropping the values of one outcome."""
     parts = []
-    source = "models"
     for i in range(1, n + 1):
         tests = " AND ".join(
             f"sum(preterm) OVER (PARTITION BY {FIT}, {term}) > 0 AND sum(preterm) OVER "
             f"(PARTITION BY {FIT}, {term}) < sum(births) OVER (PARTITION BY {FIT}, {term})"
-            for term in ("level", *_TERMS)
+            for term in terms
         )
         parts.append(f"round_{i} AS (SELECT * FROM {source} QUALIFY {tests})")
         source = f"round_{i}"
@@ -967,6 +967,185 @@ oracle(
     (*GRID, _rounds(8)),
     " UNION ALL ".join(f"({_reference(t)})" for t in _TERMS),
 )
+_MODEL = f"concat_ws('|', {', '.join(f'coalesce(CAST({k} AS VARCHAR), chr(1))' for k in FIT.split(', '))})"
+
+
+def _design(source: str, terms: tuple[str, ...]) -> str:
+    """Numbered categories of the models of ``source``, and its rows in long form: a row for each number it has."""
+    values = " UNION ALL ".join(
+        f"SELECT model, r, measure, {i} AS place, '{t}' AS term, CAST({t} AS VARCHAR) AS value, births FROM placed"
+        for i, t in enumerate(terms)
+    )
+    first = f"CASE term WHEN '{terms[0]}' THEN CASE WHEN value = {s.REFERENCE} THEN 0 ELSE 1 END"
+    return f"""
+placed AS MATERIALIZED (SELECT *, {_MODEL} AS model, row_number() OVER () AS r FROM {source}),
+valued AS MATERIALIZED ({values}),
+category_sums AS (
+  SELECT model, measure, place, term, value, CAST(sum(births) AS BIGINT) AS births
+  FROM valued GROUP BY model, measure, place, term, value
+),
+based AS (
+  SELECT model, place, term, value, row_number() OVER (PARTITION BY model, term ORDER BY
+    {first} WHEN 'year' THEN -try_cast(value AS INTEGER) ELSE -births END, value) = 1 AS base,
+    max(CASE WHEN place = 0 AND value = {s.REFERENCE} THEN 1 ELSE 0 END) OVER (PARTITION BY model) AS whole
+  FROM category_sums
+),
+categories AS MATERIALIZED (
+  SELECT model, term, value, row_number() OVER (PARTITION BY model ORDER BY place, value) AS number
+  FROM based WHERE whole = 1 AND NOT base
+),
+whole_models AS (SELECT DISTINCT model FROM based WHERE whole = 1),
+sizes AS MATERIALIZED (
+  SELECT model, 1 + count(number) AS p FROM whole_models LEFT JOIN categories USING (model) GROUP BY model
+),
+long AS MATERIALIZED (
+  SELECT model, r, number FROM valued JOIN categories USING (model, term, value)
+  UNION ALL SELECT model, r, 0 FROM placed JOIN sizes USING (model)
+),
+pairs AS MATERIALIZED (
+  SELECT l.model, l.r, l.number AS a, m.number AS b FROM long AS l JOIN long AS m ON l.r = m.r
+),
+grid AS MATERIALIZED (
+  SELECT model, p, i.i AS a, j.j AS b FROM sizes, unnest(range(p)) AS i(i), unnest(range(p)) AS j(j)
+)"""
+
+
+def _eliminated(name: str, entries: str, right: str) -> str:
+    """``name``: rows of each model's matrix ``entries`` and right side once all its columns are eliminated.
+
+    A column of which nothing is left stays as it is.
+    """
+    return f"""
+{name}_rows AS MATERIALIZED (
+  SELECT g.model, g.p, g.a AS i, list(coalesce(e.v, 0.0) ORDER BY g.b) || any_value({right}) AS row,
+    max(CASE WHEN g.a = g.b THEN e.v END) AS scale
+  FROM grid AS g LEFT JOIN {entries} AS e USING (model, a, b) LEFT JOIN {name}_right AS y USING (model, a)
+  GROUP BY g.model, g.p, g.a
+),
+{name}_steps AS (
+  SELECT model, p, 0 AS step, i, row, scale FROM {name}_rows
+  UNION ALL
+  SELECT t.model, t.p, t.step + 1, t.i, CASE
+    WHEN q.row[t.step + 1] <= 1e-9 * q.scale THEN t.row
+    WHEN t.i = t.step THEN list_transform(t.row, lambda x: x / q.row[t.step + 1])
+    ELSE list_transform(list_zip(t.row, q.row), lambda z: z[1] - z[2] * t.row[t.step + 1] / q.row[t.step + 1]) END,
+    t.scale
+  FROM {name}_steps AS t JOIN {name}_steps AS q ON q.model = t.model AND q.step = t.step AND q.i = t.step
+  WHERE t.step < t.p
+),
+{name} AS MATERIALIZED (
+  SELECT model, p, i, row, abs(row[i + 1] - 1) < 1e-6 AS independent FROM {name}_steps WHERE step = p
+)"""
+
+
+def _newton(terms: tuple[str, ...], steps: int = 10) -> str:
+    """Newton's method, unrolled; ``estimates`` has beta, variance and whether it is loose for every category."""
+    parts = [
+        """
+at_0 AS MATERIALIZED (
+  SELECT model, a AS number, CASE WHEN a = 0 THEN ln(sum(preterm) / (sum(births) - sum(preterm))) ELSE 0.0 END AS beta
+  FROM placed JOIN grid USING (model) WHERE b = 0 GROUP BY model, a
+)"""
+    ]
+    for k in range(steps + 1):
+        parts.append(
+            f"""
+rated_{k} AS MATERIALIZED (
+  SELECT r, births * m * (1 - m) AS w, preterm - births * m AS e FROM (
+    SELECT r, births, preterm, 1 / (1 + exp(-eta)) AS m FROM placed JOIN (
+      SELECT r, sum(beta) AS eta FROM long JOIN at_{k} USING (model, number) GROUP BY r) USING (r))
+),
+sums_{k} AS MATERIALIZED (SELECT model, a, b, sum(w) AS v FROM pairs JOIN rated_{k} USING (r) GROUP BY model, a, b),
+solved_{k}_right AS MATERIALIZED (
+  SELECT model, number AS a, sum(e) AS y FROM long JOIN rated_{k} USING (r) GROUP BY model, number
+)"""
+        )
+        unit = "list_transform(range(g.p), lambda x: CASE WHEN x = g.a THEN 1.0 ELSE 0.0 END)" if k == steps else "[]"
+        parts.append(_eliminated(f"solved_{k}", f"sums_{k}", f"[coalesce(y.y, 0.0)] || {unit}"))
+        if k < steps:
+            parts.append(
+                f"""
+stepped_{k} AS (
+  SELECT model, i AS number, CASE WHEN independent THEN row[p + 1] ELSE 0.0 END AS d FROM solved_{k}
+),
+at_{k + 1} AS MATERIALIZED (
+  SELECT model, number, beta + d * least(1.0, 4.0 / greatest(1e-300, max(abs(d)) OVER (PARTITION BY model))) AS beta
+  FROM at_{k} JOIN stepped_{k} USING (model, number)
+)"""
+            )
+    parts.append(
+        f"""
+dependent AS (SELECT model, i AS j FROM solved_{steps} WHERE NOT independent),
+estimates AS MATERIALIZED (
+  SELECT o.model, c.term, c.value, t.beta, o.row[o.p + 2 + o.i] AS variance, NOT o.independent OR EXISTS (
+    SELECT 1 FROM dependent AS d WHERE d.model = o.model AND abs(o.row[d.j + 1]) > 1e-6) AS loose
+  FROM solved_{steps} AS o JOIN categories AS c ON c.model = o.model AND c.number = o.i
+  JOIN at_{steps} AS t ON t.model = o.model AND t.number = o.i
+)"""
+    )
+    return ",".join(parts)
+
+
+def recursive_oracle(name: str, layers: tuple[str, ...], select: str) -> None:
+    oracle(name, layers, select)
+    ORACLES[name] = ORACLES[name].replace("WITH", "WITH RECURSIVE", 1)
+
+
+FITTED = (*GRID, _rounds(8), _design("round_8", ("level", *_TERMS)), _newton(("level", *_TERMS)))
+_aside = f"""asides AS (
+  SELECT {FIT}, model, CAST(sum(m.births) - coalesce(max(k.births), 0) AS BIGINT) AS set_aside
+  FROM (SELECT *, {_MODEL} AS model FROM models) AS m
+  LEFT JOIN (SELECT model, sum(births) AS births FROM placed GROUP BY model) AS k USING (model) GROUP BY {FIT}, model
+)"""
+_with_limits = f"""SELECT a.definition, a.period, a.cutoff, a.measure, a.variant, a.stratum_variable, a.stratum_value,
+  l.level, CASE WHEN NOT e.loose THEN exp(e.beta) END AS odds_ratio,
+  CASE WHEN NOT e.loose THEN exp(e.beta - {Z} * sqrt(e.variance)) END AS lower_limit,
+  CASE WHEN NOT e.loose THEN exp(e.beta + {Z} * sqrt(e.variance)) END AS upper_limit, a.set_aside
+FROM asides AS a
+JOIN (SELECT DISTINCT {_MODEL} AS model, level FROM models WHERE level <> {s.REFERENCE}) AS l USING (model)
+LEFT JOIN estimates AS e ON e.model = a.model AND e.term = 'level' AND e.value = l.level"""
+recursive_oracle(
+    "adjusted_odds",
+    (*FITTED, _aside),
+    f"SELECT {FIT}, level, {_rounded('odds_ratio', 'lower_limit', 'upper_limit')}, set_aside FROM ({_with_limits})",
+)
+oracle(
+    "score_equations",
+    (*GRID, _rounds(8), _design("round_8", ("level", *_TERMS))),
+    f"""SELECT {", ".join(f"k.{k}" for k in FIT.split(", "))}, term, value, CAST(sum(v.births) AS BIGINT) AS births,
+  round(CAST(sum(p.preterm) AS DOUBLE), 3) AS fitted
+FROM valued AS v JOIN placed AS p USING (model, r) JOIN sizes USING (model)
+JOIN (SELECT DISTINCT model, {FIT} FROM placed) AS k USING (model)
+GROUP BY {", ".join(f"k.{k}" for k in FIT.split(", "))}, term, value""",
+)
+oracle(
+    "births_set_aside",
+    (*GRID, _rounds(8), _design("round_8", ("level", *_TERMS)), _aside),
+    f"SELECT {FIT}, set_aside, CAST(0 AS BIGINT) AS exact FROM asides",
+)
+_MORE_TERMS = ("level", *_TERMS, "era", "state_and_school")
+_more = f"""more AS (
+  SELECT *, CASE WHEN year < 2001 THEN 'early' ELSE 'late' END AS era,
+    CASE WHEN state = '09' THEN '09:' || education ELSE 'elsewhere' END AS state_and_school
+  FROM models WHERE stratum_variable = ''
+)"""
+recursive_oracle(
+    "aliased_categories",
+    (
+        *GRID,
+        _more,
+        _rounds(8, "more", _MORE_TERMS),
+        _design("round_8", _MORE_TERMS),
+        "counted AS (SELECT model, a, b, CAST(count(*) AS DOUBLE) AS v FROM pairs GROUP BY model, a, b)",
+        "crossed_right AS (SELECT model, a, CAST(0 AS DOUBLE) AS y FROM grid WHERE b = 0)",
+        _eliminated("crossed", "counted", "[y.y]"),
+    ),
+    f"""SELECT {", ".join(f"k.{k}" for k in FIT.split(", "))}, c.term, c.value FROM crossed AS o
+JOIN categories AS c ON c.model = o.model AND c.number = o.i
+JOIN (SELECT DISTINCT model, {FIT} FROM placed) AS k ON k.model = o.model
+WHERE NOT o.independent OR EXISTS (
+  SELECT 1 FROM crossed AS d WHERE d.model = o.model AND NOT d.independent AND abs(o.row[d.i + 1]) > 1e-6)""",
+)
 _kept = (
     f"SELECT {FIT}, level, CAST(sum(births) AS BIGINT) AS births, CAST(sum(preterm) AS BIGINT) "
     f"AS preterm FROM round_{{}} GROUP BY {FIT}, level"
@@ -988,6 +1167,16 @@ FROM every_crude WHERE stratum_variable = ''
 UNION ALL SELECT {FIT}, level, reference, births, preterm, 'adjusted', 'observed', NULL
 FROM every_crude""",
 )
+recursive_oracle(
+    "estimates",
+    (*FITTED, _every, _aside, f"limits AS ({_with_limits})"),
+    f"""SELECT {FIT}, level, reference, births, preterm AS preterm_births, 'crude' AS model, 'observed' AS source,
+  {_rounded("odds_ratio", "lower_limit", "upper_limit")} FROM every_crude WHERE stratum_variable = ''
+UNION ALL
+SELECT {", ".join(f"c.{k}" for k in FIT.split(", "))}, c.level, c.reference, c.births, c.preterm, 'adjusted',
+  'observed', {", ".join(f"round(a.{x}, 6)" for x in ("odds_ratio", "lower_limit", "upper_limit"))}
+FROM every_crude AS c LEFT JOIN limits AS a USING ({FIT}, level)""",
+)
 _ref = s.REFERENCE.replace("measure", "c.measure")
 oracle(
     "glm_score_check",
@@ -1267,3 +1456,30 @@ oracle(
     "SELECT source_year, count(*) AS n, count(*) FILTER (WHERE loaded) AS loaded FROM records "
     "GROUP BY source_year",
 )
+oracle(
+    "competing_loads",
+    RECORDS,
+    """SELECT 'first' AS run, 'promoted' AS outcome, 1 AS number, 1 AS tables, (SELECT count(*) FROM records) AS records
+UNION ALL SELECT 'second of the same tables', 'refused', 1, 1, (SELECT count(*) FROM records)
+UNION ALL SELECT 'second of other tables', 'promoted', 2, 2, (SELECT count(*) FROM records)
+UNION ALL SELECT 'started afterwards', 'promoted', 3, 2, (SELECT count(*) FROM records WHERE source_year % 2 = 0)""",
+)
+_old = "peso IN ('0', '1', '2', '3', '4')"
+oracle(
+    "year_snapshots",
+    (
+        s.REGISTRY,
+        """held AS (
+  SELECT 1 AS snapshot, source_year, source_row, peso FROM registry
+  UNION ALL SELECT v.snapshot, source_year, source_row,
+    CASE WHEN v.snapshot > 2 AND source_year = 1996 THEN '2' WHEN v.snapshot > 3 AND source_year = 1997 THEN '3'
+      WHEN source_year % 2 = 1 THEN '0' ELSE peso END
+  FROM registry, (VALUES (2), (3), (4)) AS v(snapshot)
+  WHERE CASE WHEN v.snapshot > 2 AND source_year = 1996 THEN source_row % 5 = 0
+    WHEN v.snapshot > 3 AND source_year = 1997 THEN source_row % 7 = 0
+    WHEN source_year % 2 = 1 THEN source_row % 10 = 0 ELSE true END
+)""",
+    ),
+    f"""SELECT snapshot, source_year, count(*) AS n, CAST(sum(source_row) AS BIGINT) AS rows,
+  count(*) FILTER (WHERE {_old}) AS replaced FROM held GROUP BY snapshot, source_year""",
+)

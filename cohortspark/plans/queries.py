@@ -20,6 +20,7 @@ from cohortspark.functions.text import array, quoted, struct
 from cohortspark.operators import (
     cdm,
     checks,
+    commits,
     counts,
     epi,
     funnel,
@@ -683,7 +684,7 @@ def one_outcome_kept(spark, sf_dir):
 
 @query
 def adjusted_odds(spark, sf_dir):
-    """Every adjusted model of the grid, strata included, in one grouped job."""
+    """Every adjusted model of the grid, strata included, all fitted by the same passes."""
     fitted = glm.fit_all(counts.model_tables(t.cells(spark, sf_dir), t.GRID))
     return fitted.selectExpr(
         *counts.FIT_KEYS, "level",
@@ -701,6 +702,41 @@ def glm_score_check(spark, sf_dir):
     return fitted.selectExpr(*counts.FIT_KEYS, "level", *_rounded("fitted", digits=3))
 
 
+@query
+def score_equations(spark, sf_dir):
+    """Births and fitted preterm births of every category of every term, of all models and strata.
+
+    At the best coefficients each category's fitted births are the observed ones.
+    """
+    fits = glm.Fits(counts.model_tables(t.cells(spark, sf_dir), t.GRID))
+    keys = fits.all_rows.select("model", *counts.FIT_KEYS).distinct()
+    return fits.fitted().join(keys, "model").selectExpr(
+        *counts.FIT_KEYS, "term", "value", "births", *_rounded("fitted", digits=3)
+    )
+
+
+@query
+def births_set_aside(spark, sf_dir):
+    """Births that each model's fit does not count, and those of them that it predicts exactly."""
+    fits = glm.Fits(counts.model_tables(t.cells(spark, sf_dir), t.GRID))
+    keys = fits.all_rows.select("model", *counts.FIT_KEYS).distinct()
+    return fits.aside().join(keys, "model").drop("model")
+
+
+@query
+def aliased_categories(spark, sf_dir):
+    """Categories whose coefficients can be traded, once a term follows from the year and one from the state."""
+    models = counts.model_tables(t.cells(spark, sf_dir), t.MAIN)
+    terms = ("level", *counts.COVARIATES, "era", "state_and_school")
+    return glm.tradable(
+        models.selectExpr(
+            "*", "CASE WHEN year < 2001 THEN 'early' ELSE 'late' END AS era",
+            "CASE WHEN state = '09' THEN concat('09:', education) ELSE 'elsewhere' END AS state_and_school",
+        ),
+        terms,
+    )
+
+
 @query
 def crude_fits(spark, sf_dir):
     """Every model fitted without covariates: its odds ratios are the crude ones."""
@@ -1070,3 +1106,69 @@ def promoted_load(spark, sf_dir):
     return tables["records"].groupBy("source_year").agg(
         F.expr("count(*) AS n"), F.expr("count_if(loaded) AS loaded")
     )
+
+
+@query
+def competing_loads(spark, sf_dir):
+    """Two loads from one snapshot, of which the later is refused, one of another table, and one started afterwards.
+
+    What each promoted, and the records that are current after it.
+    """
+    rows = written(t.records(spark, sf_dir).select("source_year", "source_row", "loaded"), "records")
+    target = run_path(spark, "current")
+    start = commits.snapshot(spark, target)
+    loads = {
+        "first": ({"records": rows}, start),
+        "second of the same tables": ({"records": rows.filter("loaded")}, start),
+        "second of other tables": ({"years": rows.select("source_year").distinct()}, start),
+        "started afterwards": ({"records": rows.filter("source_year % 2 = 0")}, None),
+    }
+    found = []
+    for name, (tables, base) in loads.items():
+        try:
+            publish.load_and_promote(tables, lambda stored: None, target, spark, base)
+            outcome = "promoted"
+        except commits.Conflict:
+            outcome = "refused"
+        held = commits.snapshot(spark, target)
+        current = publish.current(spark, target, ["records"])["records"]
+        found.append((name, outcome, held.number, len(held.entries), current.count()))
+    return spark.createDataFrame(found, "run string, outcome string, number int, tables int, records bigint")
+
+
+@query
+def year_snapshots(spark, sf_dir):
+    """Every snapshot of a dataset of years: as staged, odd years replaced, two years by two writers at once.
+
+    A replacement that its check refuses, and one of a year that another writer has replaced, leave no snapshot.
+    """
+    raw = written(t.staged(spark, sf_dir).select("source_year", "source_row", "peso"), "staged")
+    target = run_path(spark, "years")
+    commits.replace_parts(raw, target, "source_year")
+    odd = raw.filter("source_year % 2 = 1 AND source_row % 10 = 0")
+    commits.replace_parts(odd.withColumn("peso", F.lit("0")), target, "source_year")
+
+    def refuse(stored):
+        if not stored.filter("peso = '1'").isEmpty():
+            raise checks.LoadRefused("a weight of 1")
+
+    start = commits.snapshot(spark, target)
+    attempts = (
+        (raw.withColumn("peso", F.lit("1")), refuse),
+        (raw.filter("source_year = 1996 AND source_row % 5 = 0").withColumn("peso", F.lit("2")), refuse),
+        (raw.filter("source_year = 1997 AND source_row % 7 = 0").withColumn("peso", F.lit("3")), refuse),
+        (raw.filter("source_year = 1996").withColumn("peso", F.lit("4")), refuse),
+    )
+    for rows, check in attempts:
+        try:
+            commits.replace_parts(rows, target, "source_year", check, start)
+        except checks.LoadRefused:
+            continue
+    found = None
+    for number in range(1, commits.snapshot(spark, target).number + 1):
+        part = commits.parts(spark, commits.snapshot(spark, target, number)).selectExpr(f"{number} AS snapshot", "*")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("snapshot", "source_year").agg(
+        F.expr("count(*) AS n"), F.expr("sum(source_row) AS rows"),
+        F.expr("count_if(peso IN ('0', '1', '2', '3', '4')) AS replaced"),
+    )
