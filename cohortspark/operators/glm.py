@@ -19,19 +19,19 @@ from cohortspark.functions import logit
 from cohortspark.functions.exposure import reference_of
 from cohortspark.functions.text import array, quoted, struct
 from cohortspark.operators.counts import COVARIATES, FIT_KEYS
-from cohortspark.session import at_most, checkpointed, small_side, written
+from cohortspark.session import at_most, small_side, written
 
 # Executors need no copy of this package: the solver travels with its tasks.
 cloudpickle.register_pickle_by_value(logit)
 
 _POINT = (
-    "model string, at array<double>, accepted array<double>, best double, status int, passes int, "
+    "model long, at array<double>, accepted array<double>, best double, status int, passes int, "
     "variance array<double>, independent array<boolean>, loose array<boolean>, certain boolean"
 )
 #: Categories of all models up to which their coefficients, some kilobytes a model, are sent to every task.
 FEW_CATEGORIES = 100_000
-#: A model's name: its keys, a null apart from every text.
-_MODEL = f"concat_ws('|', {', '.join(f'coalesce(string({k}), chr(0))' for k in FIT_KEYS)}) AS model"
+#: A model's number: a 64-bit hash of its keys, a null apart from every text. Models are some hundreds.
+_MODEL = f"xxhash64(concat_ws('|', {', '.join(f'coalesce(string({k}), chr(0))' for k in FIT_KEYS)})) AS model"
 
 
 def _categories(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -212,15 +212,14 @@ class Fits:
             "get(loose, number) AS loose", f"status = {logit.DONE} AS converged",
         )
 
-    def estimates(self) -> DataFrame:
-        """A row for each level of each model but its reference."""
+    def estimates(self, with_fitted: bool = True) -> DataFrame:
+        """A row for each level of each model but its reference; ``fitted`` only if asked for."""
         levels = (
             self.all_rows.filter(f"level <> {reference_of()}")
             .select("model", F.col("level").cast("string").alias("level"))
             .distinct()
         )
         of_level = F.col("term") == "level"
-        fitted = self.fitted().filter(of_level).select("model", F.col("value").alias("level"), "fitted")
         found = (
             self.coefficients()
             .filter(of_level & ~F.col("loose") & F.col("converged"))
@@ -229,17 +228,18 @@ class Fits:
                 *[f"exp(beta {sign} {logit.Z}D * sqrt(variance)) AS {name}_limit" for sign, name in (("-", "lower"), ("+", "upper"))],
             )
         )
-        return (
+        rows = (
             levels.join(self.aside(), "model")
             .join(self.all_rows.select("model", *FIT_KEYS).distinct(), "model")
             .join(found, ["model", "level"], "left")
-            .join(fitted, ["model", "level"], "left")
             .join(self.points.selectExpr("model", f"status = {logit.DONE} AS converged"), "model", "left")
-            .selectExpr(
-                *FIT_KEYS, "level", "odds_ratio", "lower_limit", "upper_limit", "fitted", "set_aside",
-                "coalesce(converged, true) AS converged",
-            )
-        )
+            .withColumn("converged", F.expr("coalesce(converged, true)"))
+        )
+        limits = ["odds_ratio", "lower_limit", "upper_limit"]
+        if with_fitted:
+            fitted = self.fitted().filter(of_level).select("model", F.col("value").alias("level"), "fitted")
+            rows, limits = rows.join(fitted, ["model", "level"], "left"), [*limits, "fitted"]
+        return rows.select(*FIT_KEYS, "level", *limits, "set_aside", "converged")
 
 
 def tradable(tables: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -258,13 +258,13 @@ def tradable(tables: DataFrame, terms: Sequence[str]) -> DataFrame:
     )
 
 
-def fit_all(tables: DataFrame, covariates: Sequence[str] = COVARIATES) -> DataFrame:
+def fit_all(tables: DataFrame, covariates: Sequence[str] = COVARIATES, with_fitted: bool = True) -> DataFrame:
     """Every model of a long table of models: a row for each level but the reference.
 
     A level that is set aside, or whose coefficient others can take over, has no odds ratio. ``fitted`` is the preterm
     births fitted to a level.
     """
-    return Fits(tables, covariates).estimates()
+    return Fits(tables, covariates).estimates(with_fitted)
 
 
 def single_outcome_values(tables: DataFrame, terms: Sequence[str], keys: Sequence[str] = FIT_KEYS) -> DataFrame:
@@ -281,23 +281,26 @@ def single_outcome_values(tables: DataFrame, terms: Sequence[str], keys: Sequenc
 def drop_one_outcome(tables: DataFrame, terms: Sequence[str], keys: Sequence[str] = FIT_KEYS) -> DataFrame:
     """The models without the values of one outcome, repeated until no model holds one.
 
-    A row without a value in some term belongs to no category and goes first. Each round drops at least one value, so there are no more rounds than values. A round sums the
-    values of all models in one shuffle; the found values are few and written, as are the rows left.
+    A row without a value in some term belongs to no category and goes first. Each round finds at least one value, so
+    there are no more rounds than values. A round sums the values of all models in one shuffle; what it finds is few
+    and written, one list for each model, and the rows are written once, at the end.
     """
     tables = tables.na.drop(subset=list(terms))
+    own = array(f"concat({quoted(f'{t}:')}, {t})" for t in terms)
+    left, gone = tables, None
     while True:
-        found = checkpointed(single_outcome_values(tables, terms, keys).select(*keys, "term", "value"))
-        if found.isEmpty():
-            return tables
-        found = small_side(found)
-        for term in terms:
-            gone = found.filter(F.col("term") == term).drop("term")
-            tables = (
-                tables.withColumn("value", F.col(term).cast("string"))
-                .join(gone, [*keys, "value"], "left_anti")
-                .drop("value")
-            )
-        tables = checkpointed(tables)
+        found = single_outcome_values(left, terms, keys)
+        listed = found.groupBy(*keys).agg(F.expr("collect_list(concat(term, ':', value)) AS _gone"))
+        listed = written(listed, "one_outcome")
+        if listed.isEmpty():
+            return written(left, "left")
+        gone = listed if gone is None else gone.unionByName(listed)
+        lists = gone.groupBy(*keys).agg(F.expr("flatten(collect_list(_gone)) AS _gone"))
+        left = (
+            tables.join(small_side(lists), list(keys), "left")
+            .filter(f"_gone IS NULL OR NOT arrays_overlap(_gone, {own})")
+            .drop("_gone")
+        )
 
 
 def reference_values(tables: DataFrame, term: str) -> DataFrame:

@@ -685,7 +685,7 @@ def one_outcome_kept(spark, sf_dir):
 @query
 def adjusted_odds(spark, sf_dir):
     """Every adjusted model of the grid, strata included, all fitted by the same passes."""
-    fitted = glm.fit_all(counts.model_tables(t.cells(spark, sf_dir), t.GRID))
+    fitted = glm.fit_all(counts.model_tables(t.cells(spark, sf_dir), t.GRID), with_fitted=False)
     return fitted.selectExpr(
         *counts.FIT_KEYS, "level",
         *_rounded("odds_ratio", "lower_limit", "upper_limit"), "set_aside",
@@ -741,7 +741,7 @@ def aliased_categories(spark, sf_dir):
 def crude_fits(spark, sf_dir):
     """Every model fitted without covariates: its odds ratios are the crude ones."""
     levels = counts.level_counts(t.cells(spark, sf_dir), t.GRID)
-    fitted = glm.fit_all(levels.select(*counts.FIT_KEYS, "level", "births", "preterm"), ())
+    fitted = glm.fit_all(levels.select(*counts.FIT_KEYS, "level", "births", "preterm"), (), False)
     limits = ("odds_ratio", "lower_limit", "upper_limit")
     return fitted.selectExpr(*counts.FIT_KEYS, "level", *_rounded(*limits, digits=5))
 
@@ -763,7 +763,7 @@ def estimates(spark, sf_dir):
     found = glm.estimate_rows(
         levels,
         epi.crude(levels, counts.FIT_KEYS),
-        glm.fit_all(counts.model_tables(cells, t.GRID)),
+        glm.fit_all(counts.model_tables(cells, t.GRID), with_fitted=False),
     )
     limits = ("odds_ratio", "lower_limit", "upper_limit")
     return found.selectExpr(*[c for c in found.columns if c not in limits], *_rounded(*limits))
@@ -991,7 +991,7 @@ def published_tables(spark, sf_dir):
     found = glm.estimate_rows(
         levels,
         epi.crude(levels, counts.FIT_KEYS),
-        glm.fit_all(counts.model_tables(cells, t.GRID)),
+        glm.fit_all(counts.model_tables(cells, t.GRID), with_fitted=False),
     )
     names = {k: v.struct.names for k, v in publish.OUTPUT_TABLES.items()}
 
