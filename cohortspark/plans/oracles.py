@@ -1364,9 +1364,25 @@ oracle(
 oracle(
     "parquet_ordinals",
     (s.REGISTRY,),
-    "SELECT source_year, source_row AS record, row_number() OVER (PARTITION BY source_year "
+    "SELECT * EXCLUDE (source_row), source_row AS record, row_number() OVER (PARTITION BY source_year "
     "ORDER BY source_row) AS source_row FROM registry",
 )
+_breaks = """broken AS (
+  SELECT * REPLACE (CASE WHEN source_year % 3 = 0 AND source_row % 50 = 1 THEN edad || chr(10) || '"' || source_row
+    WHEN source_row % 70 = 2 THEN '"' || edad || ',' ELSE edad END AS edad) FROM registry
+)"""
+oracle(
+    "staged_csv_with_breaks",
+    (s.REGISTRY, _breaks),
+    "SELECT * REPLACE (row_number() OVER (PARTITION BY source_year ORDER BY source_row) "
+    "AS source_row) FROM broken",
+)
+oracle(
+    "broken_line_files",
+    (s.REGISTRY, _breaks),
+    "SELECT source_year, CAST(2 * count(*) FILTER (WHERE edad LIKE '%' || chr(10) || '%') AS BIGINT) AS broken "
+    "FROM broken GROUP BY source_year",
+)
 oracle("yearly_union", (s.REGISTRY,), "SELECT source_year, source_row, edad, peso FROM registry")
 oracle(
     "replaced_years",

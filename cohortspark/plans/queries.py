@@ -840,12 +840,19 @@ def vocabulary_versions(spark, sf_dir):
 # Files: staging, vocabulary scan, digests, publishing
 
 
-def _write_csv(df: DataFrame, name: str) -> str:
-    """The records as CSV files in record order, one per year."""
+#: Range cuts of written record files, and what names the year in their paths.
+FILES, YEAR_OF_FILE = 24, "source_year=([0-9]+)"
+
+
+def _write_csv(df: DataFrame, name: str, whole_years: bool = False) -> str:
+    """The records as CSV files cut by year and record, in record order; a large year has several.
+
+    ``whole_years`` makes one file of each year.
+    """
     path = run_path(df.sparkSession, name)
+    cut = df.repartition("source_year") if whole_years else df.repartitionByRange(FILES, "source_year", "source_row")
     (
-        df.repartition("source_year")
-        .sortWithinPartitions("source_year", "source_row")
+        cut.sortWithinPartitions("source_year", "source_row")
         .select("source_year", *SOURCE_COLUMNS)
         .write.partitionBy("source_year")
         .options(**record_files.CSV_WRITE)
@@ -858,33 +865,58 @@ def _years(df: DataFrame) -> list[int]:
     return [r[0] for r in df.select("source_year").distinct().orderBy("source_year").collect()]
 
 
-def _staged_from_csv(spark, sf_dir) -> DataFrame:
-    raw = written(t.staged(spark, sf_dir), "raw")
+def _staged_from_csv(spark, raw: DataFrame) -> DataFrame:
     path = _write_csv(raw, "csv")
     staged = record_files.stage_file(
-        spark, f"{path}/*/*.csv", SOURCE_COLUMNS, run_path(spark, "staged"), multiline=False
+        spark, f"{path}/*/*.csv", SOURCE_COLUMNS, run_path(spark, "staged"), group=YEAR_OF_FILE
     )
-    return staged.withColumn(
-        "source_year", F.expr("CAST(regexp_extract(source_file, 'source_year=([0-9]+)', 1) AS int)")
-    ).drop("source_file")
+    year = F.expr(f"CAST(regexp_extract(source_file, '{YEAR_OF_FILE}', 1) AS int)")
+    return staged.withColumn("source_year", year).select("source_year", "source_row", *SOURCE_COLUMNS)
 
 
 @query
 def staged_csv(spark, sf_dir):
-    """Yearly record files written, read back strictly, and numbered by their place in the file."""
-    return _staged_from_csv(spark, sf_dir).select("source_year", "source_row", *SOURCE_COLUMNS)
+    """Record files written, read back strictly, and numbered by their place in the files of their year."""
+    return _staged_from_csv(spark, written(t.staged(spark, sf_dir), "raw"))
+
+
+def _with_breaks(raw: DataFrame) -> DataFrame:
+    """The records with quotes in some cells of all years, and line breaks in some of every third year."""
+    return _replaced(
+        raw,
+        edad="CASE WHEN source_year % 3 = 0 AND source_row % 50 = 1 THEN concat(edad, '\n\"', source_row) "
+        "WHEN source_row % 70 = 2 THEN concat('\"', edad, ',') ELSE edad END",
+    )
+
+
+@query
+def staged_csv_with_breaks(spark, sf_dir):
+    """The same of files of which some have line breaks in quoted cells."""
+    return _staged_from_csv(spark, written(_with_breaks(t.staged(spark, sf_dir)), "raw"))
+
+
+@query
+def broken_line_files(spark, sf_dir):
+    """Files and lines with an open quote at their end, by year: what decides how a file is read."""
+    path = _write_csv(written(_with_breaks(t.staged(spark, sf_dir)), "raw"), "csv")
+    year = F.expr(f"CAST(regexp_extract(source_file, '{YEAR_OF_FILE}', 1) AS int) AS source_year")
+    return record_files.broken_lines(spark, f"{path}/*/*.csv").groupBy(year).agg(F.expr("sum(broken) AS broken"))
 
 
 @query
 def parquet_ordinals(spark, sf_dir):
-    """The row position of a one-file-per-year parquet copy, straight from the scan."""
-    raw = t.staged(spark, sf_dir)
+    """The position of each row in a parquet copy of several files a year, straight from the scan."""
     path = run_path(spark, "ordinals")
-    raw.repartition("source_year").sortWithinPartitions("source_year", "source_row").selectExpr(
-        "source_year", "source_row AS record", "fechanacimiento"
-    ).write.partitionBy("source_year").parquet(path)
-    return record_files.parquet_ordinals(spark, path).select(
-        "source_year", "record", "source_row"
+    (
+        t.staged(spark, sf_dir)
+        .repartitionByRange(FILES, "source_year", "source_row")
+        .sortWithinPartitions("source_year", "source_row")
+        .selectExpr("source_year", "source_row AS record", *SOURCE_COLUMNS)
+        .write.partitionBy("source_year")
+        .parquet(path)
+    )
+    return record_files.parquet_ordinals(spark, path, YEAR_OF_FILE).select(
+        "source_year", "record", "source_row", *SOURCE_COLUMNS
     )
 
 
@@ -939,7 +971,7 @@ def vocabulary_scan(spark, sf_dir):
 def digest_audit(spark, sf_dir):
     """Written files against recorded digests: one changed, one of another size, one missing."""
     raw = written(t.staged(spark, sf_dir), "raw")
-    path = f"{_write_csv(raw, 'csv')}/*/*.csv"
+    path = f"{_write_csv(raw, 'csv', whole_years=True)}/*/*.csv"
     found = written(vocabulary.file_digests(spark, path, depth=2), "digests")
     recorded = found.selectExpr(
         "CASE WHEN name LIKE '%=1997/%' THEN 'gone' ELSE name END AS name",

@@ -59,6 +59,28 @@ def test_ordinals_across_blocks(spark, tmp_path):
     assert staged.filter("source_row <> int(n)").count() == 0
 
 
+def test_ordinals_over_files_of_a_group_with_quoted_breaks(spark, tmp_path):
+    """Files with a line break in a cell are read whole, others in blocks; a group counts on over its files."""
+    rows = [(g, i) for g in ("y=1", "y=2") for i in range(1, 1201)]
+    for g, first, last in (("y=1", 1, 500), ("y=1", 501, 1200), ("y=2", 1, 1200)):
+        (tmp_path / g).mkdir(exist_ok=True)
+        cells = [f'"a ""q""\nb",{i}' if g == "y=1" and i % 700 == 0 else f'"a ""q""",{i}' for i in range(first, last + 1)]
+        _write(tmp_path / g / f"part {first:04d}.csv", "T,N\n" + "\n".join(cells) + "\n")
+    path = str(tmp_path / "*" / "*.csv")
+    assert sorted(r.broken for r in records.broken_lines(spark, path).collect()) == [0, 0, 2]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    try:
+        staged = records.stage_file(spark, path, ["T", "N"], run_path(spark, "s"), group="(y=[0-9])")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = staged.selectExpr("regexp_extract(source_file, '(y=[0-9])', 1) AS g", "source_row", "int(n) AS n", "t").collect()
+    assert sorted((r.g, r.source_row) for r in found) == sorted(rows)
+    assert all(r.source_row == r.n for r in found)
+    assert sum(r.t == 'a "q"\nb' for r in found) == 1
+
+
 def test_vocabulary_file(spark, tmp_path):
     header = "domain_id\tdomain_name\tdomain_concept_id\n"
     path = _write(tmp_path / "d.csv", header + 'A\t"quoted" name\t7\nB\t\t8\n')
