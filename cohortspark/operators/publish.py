@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,12 +137,12 @@ def conform(df: DataFrame, table: OutputTable) -> DataFrame:
     )
 
 
-def publish(df: DataFrame, table: OutputTable, path: str, files: int | None = 1) -> DataFrame:
+def publish(df: DataFrame, table: OutputTable, path: str, files: int | None = None) -> DataFrame:
     """Write a table as CSV sorted by its key, and give back what reads from it.
 
     The rows are computed once, to a written copy; a copy with a cell that would not read back is refused
-    before any CSV is written. ``files`` is the layout: 1, for summaries, is one sorted file; None sorts
-    across as many files as the session's partitions.
+    before any CSV is written. By default the rows are sorted across as many files as their size calls for, one for
+    a summary; ``files`` sets a number. Files in the order of their names are in the order of the key.
     """
     rows = written(conform(df, table), table.name)
     found = violations(rows, table).collect()
@@ -175,9 +175,101 @@ def read_published(spark: SparkSession, table: OutputTable, path: str) -> DataFr
     return read.withColumns(texts) if texts else read
 
 
+def order_breaks(spark: SparkSession, table: OutputTable, path: str) -> DataFrame:
+    """``file`` and ``breaks`` of published files: rows whose key is less than that of the row before.
+
+    The row before the first of a file is the last of the file before, by name. Each task compares the rows it reads
+    and sends the first and last key of each block of a file; the blocks, a row each, are then compared in order.
+    """
+    read = spark.read.schema(table.struct).options(header="true", quote='"', escape='"', mode="FAILFAST").csv(path)
+    rows = read.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.struct(*table.key).alias("key"),
+    )
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def block_ends(batches):
+        """For each run of rows of one block of a file: its first and last key, and the steps down between."""
+        import pyarrow as pa
+
+        done, current, schema = [], None, None
+
+        def rank(key: dict) -> tuple:
+            return tuple((value is not None, value) for value in key.values())
+
+        for batch in batches:
+            schema = batch.schema
+            for file, block, key in zip(*(column.to_pylist() for column in batch.columns)):
+                if current is None or current[:2] != [file, block]:
+                    current = [file, block, key, key, 0]
+                    done.append(current)
+                    continue
+                current[4] += rank(key) < rank(current[3])
+                current[3] = key
+        if done:
+            kind = schema.field("key").type
+            kinds = (pa.string(), pa.int64(), kind, kind, pa.int64())
+            names = ("file", "block", "first", "last", "breaks")
+            columns = [pa.array(column, t) for column, t in zip(zip(*done), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    blocks = rows.mapInArrow(block_ends, f"file string, block long, first {kind}, last {kind}, breaks long")
+    before = Window.orderBy("file", "block")  # a row for each block
+    return (
+        blocks.withColumn("_step", (F.lag("last").over(before) > F.col("first")).cast("long"))
+        .withColumn("breaks", F.expr("breaks + coalesce(_step, 0)"))
+        .groupBy("file")
+        .agg(F.sum("breaks").alias("breaks"))
+    )
+
+
+#: Parts of a bag that are compared by fingerprint first.
+RANGES = 4096
+
+
+def differing_ranges(first: DataFrame, second: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """``range``: the parts, by hash of the row, in which two bags of rows differ.
+
+    A part is compared by its number of rows and the sums and exclusive ors of two 64-bit hashes of them, so only some
+    numbers for each part leave a task. Nulls have a hash of their own.
+    """
+    values = ", ".join([*columns, *[f"isnull({c})" for c in columns]])
+    sides = None
+    for df, sign in ((first, 1), (second, -1)):
+        hashed = df.selectExpr(f"xxhash64({values}) AS h", f"xxhash64(7, {values}) AS g", f"{sign}L AS sign")
+        sides = hashed if sides is None else sides.unionByName(hashed)
+    total = "sum(sign * CAST({0} AS decimal(20,0)))"
+    return (
+        sides.groupBy(F.expr(f"int(pmod(h, {ranges})) AS range"))
+        .agg(
+            F.expr("sum(sign) AS n"), F.expr("bit_xor(h) AS x"), F.expr("bit_xor(g) AS y"),
+            F.expr(f"{total.format('h')} AS s"), F.expr(f"{total.format('g')} AS t"),
+        )
+        .filter("n <> 0 OR x <> 0 OR y <> 0 OR s <> 0 OR t <> 0")
+        .select("range")
+    )
+
+
+def ranged_difference(first: DataFrame, second: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """Rows of each bag that are not in the other, counted exactly in the parts that differ and nowhere else."""
+    found = written(differing_ranges(first, second, columns, ranges), "differing_ranges")
+    if found.isEmpty():
+        return bag_difference(first.limit(0), second.limit(0), list(columns))
+    values = ", ".join([*columns, *[f"isnull({c})" for c in columns]])
+    held = F.broadcast(found)  # at most ``ranges`` numbers
+    parts = [
+        df.withColumn("_range", F.expr(f"int(pmod(xxhash64({values}), {ranges}))"))
+        .join(held, F.col("_range") == held["range"], "left_semi")
+        .drop("_range")
+        for df in (first, second)
+    ]
+    return bag_difference(*parts, list(columns))
+
+
 def roundtrip_differences(df: DataFrame, table: OutputTable, read: DataFrame) -> DataFrame:
     """Rows of the table and of its file that are not in the other, as bags."""
-    return bag_difference(conform(df, table), read, [f.name for f in table.struct])
+    return ranged_difference(conform(df, table), read, [f.name for f in table.struct])
 
 
 def run_manifest(

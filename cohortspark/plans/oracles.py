@@ -1499,3 +1499,22 @@ oracle(
     f"""SELECT snapshot, source_year, count(*) AS n, CAST(sum(source_row) AS BIGINT) AS rows,
   count(*) FILTER (WHERE {_old}) AS replaced FROM held GROUP BY snapshot, source_year""",
 )
+oracle(
+    "published_order",
+    (s.REGISTRY,),
+    "SELECT 'ascending' AS copy, CAST(0 AS BIGINT) AS breaks UNION ALL "
+    "SELECT 'descending', count(*) - 1 FROM registry",
+)
+oracle(
+    "registry_readback",
+    (
+        s.REGISTRY,
+        """sides AS (
+  SELECT 'first' AS side, source_year FROM registry
+  WHERE source_row % 3000 = 5 OR (source_row % 1000 = 1 AND nullif(peso, '') IS DISTINCT FROM '0')
+  UNION ALL SELECT 'second', source_year FROM registry
+  WHERE source_row % 2500 = 7 OR (source_row % 1000 = 1 AND nullif(peso, '') IS DISTINCT FROM '0')
+)""",
+    ),
+    "SELECT 'edited' AS file, side, source_year, count(*) AS copies FROM sides GROUP BY side, source_year",
+)

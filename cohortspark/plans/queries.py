@@ -1204,3 +1204,44 @@ def year_snapshots(spark, sf_dir):
         F.expr("count(*) AS n"), F.expr("sum(source_row) AS rows"),
         F.expr("count_if(peso IN ('0', '1', '2', '3', '4')) AS replaced"),
     )
+
+
+def _published_registry() -> publish.OutputTable:
+    texts = ", ".join(f"{c} string" for c in SOURCE_COLUMNS)
+    return publish.OutputTable(
+        "registry", f"source_year int, source_row bigint, {texts}", ("source_year", "source_row"), tuple(SOURCE_COLUMNS)
+    )
+
+
+@query
+def published_order(spark, sf_dir):
+    """Rows out of order in two published copies of the records in many files: as published, and turned round."""
+    shape = _published_registry()
+    rows = written(publish.conform(t.staged(spark, sf_dir), shape), "rows")
+    rows = written(rows.selectExpr(*[f"nullif({c}, '') AS {c}" if c in shape.nullable else c for c in rows.columns]), "rows")
+    ascending, descending = run_path(spark, "ascending.csv"), run_path(spark, "descending.csv")
+    publish.publish(rows, shape, ascending, FILES)
+    turned = [F.col(k).desc() for k in shape.key]
+    (
+        rows.repartitionByRange(FILES, *turned).sortWithinPartitions(*turned)
+        .write.options(**record_files.CSV_WRITE, nullValue="", emptyValue="").csv(descending)
+    )
+    parts = [
+        publish.order_breaks(spark, shape, path).agg(F.sum("breaks").alias("breaks")).select(F.lit(name).alias("copy"), "breaks")
+        for name, path in (("ascending", ascending), ("descending", descending))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def registry_readback(spark, sf_dir):
+    """Records that differ from their published copy, once some of it are edited, doubled or dropped."""
+    shape = _published_registry()
+    rows = publish.conform(t.staged(spark, sf_dir), shape)
+    rows = written(rows.selectExpr(*[f"nullif({c}, '') AS {c}" if c in shape.nullable else c for c in rows.columns]), "rows")
+    read = publish.publish(rows, shape, run_path(spark, "registry.csv"))
+    edited = _replaced(read.filter("source_row % 3000 <> 5"), peso="if(source_row % 1000 = 1, '0', peso)")
+    edited = edited.unionByName(read.filter("source_row % 2500 = 7"))
+    same = publish.roundtrip_differences(rows, shape, read).withColumn("file", F.lit("as written"))
+    changed = publish.roundtrip_differences(rows, shape, edited).withColumn("file", F.lit("edited"))
+    return same.unionByName(changed).groupBy("file", "side", "source_year").agg(F.expr("sum(copies) AS copies"))

@@ -204,3 +204,28 @@ def test_tables_are_published_in_order_across_files(spark):
     path = run_path(spark, "many.csv")
     read = publish.publish(frame, shape, path, files=None)
     assert publish.roundtrip_differences(frame, shape, read).count() == 0
+
+
+SHAPE = publish.OutputTable("t", "k int, name string, v double", ("k", "name"), ("name", "v"))
+
+
+def test_order_inside_and_between_files(spark, tmp_path):
+    for number, body in enumerate(("1,,\n1,a,2.0\n2,b,\n", "2,c,\n5,a,\n4,a,1.5\n", "3,z,\n", "k\n")):
+        body = "" if body == "k\n" else body
+        _write(tmp_path / f"part-{number:05d}.csv", "k,name,v\n" + body)
+    found = {r.file[-9:-4]: r.breaks for r in publish.order_breaks(spark, SHAPE, str(tmp_path)).collect()}
+    assert found == {"00000": 0, "00001": 1, "00002": 1}
+
+
+def test_ranges_find_each_difference(spark):
+    rows = [(n % 50, None if n % 7 == 0 else f"x{n % 9}", float(n % 5)) for n in range(400)] + [(1, None, 2.0), (1, "a", None)]
+    table = spark.createDataFrame(rows, SHAPE.schema)
+    assert publish.ranged_difference(table, table.repartition(5), ["k", "name", "v"]).count() == 0
+    other = spark.createDataFrame(rows[1:] + [rows[0]] + [rows[5], (None, "a", 1.0), ("a" and 1, "2", None)], SHAPE.schema)
+    for ranges in (1, 3, 4096):
+        found = publish.ranged_difference(table, other, ["k", "name", "v"], ranges).collect()
+        wanted = checks.bag_difference(table, other, ["k", "name", "v"]).collect()
+        assert sorted(map(repr, found)) == sorted(map(repr, wanted)) and len(found) == 3
+    swapped = spark.createDataFrame([(None, "a", 1.0)], SHAPE.schema)
+    moved = swapped.selectExpr("k", "CAST(NULL AS string) AS name", "v").unionByName(swapped)
+    assert publish.ranged_difference(swapped, moved, ["k", "name", "v"]).count() == 1
