@@ -271,9 +271,12 @@ def one_of_each(docs: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
         .select("kept.doc_id", "kept.tie"),
         "kept",
     ).select(F.col("doc_id").alias("_kept_id"), F.col("tie").alias("_kept_tie"))
+    # The row travels as one column, so its names meet no others.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie")
+    )
     return (
-        docs.withColumn("_tie", F.xxhash64("text"))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_tie") == F.col("_kept_tie")))
-        .dropDuplicates(["doc_id", "_tie"])
-        .select(*docs.columns)
+        rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_tie") == F.col("_kept_tie")))
+        .dropDuplicates(["_id", "_tie"])
+        .select("row.*")
     )

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortspark.llm import decontaminate, mixture, quality_rules, simhash
+from cohortspark.llm import decontaminate, mixture, quality_rules
 from helpers import no_documents, odd_documents
 from test_decontaminate import brute as brute_hits
-from test_simhash import brute_components
+from test_shingle_dedup import brute_groups
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,8 +44,9 @@ def test_quality_drops_what_it_rejects(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
+    """Of the groups by 80 % of five-word shingles, found pair by pair."""
     rows = sorted((r.doc_id, r.text) for r in stages[1].collect())
-    label = brute_components([simhash.fingerprint(t.encode()) for _, t in rows])
+    label = brute_groups([t for _, t in rows])
     assert {r.doc_id for r in stages[2].collect()} == {rows[n][0] for n in set(label)}
 
 
