@@ -11,7 +11,7 @@ from compare import differences, tables
 
 SF = "/root/testdata/sf0.001"
 #: The smallest tables leave rows that a fit predicts exactly, which the SQL of these does not look for.
-LARGER, LARGER_SF = {"adjusted_odds", "estimates", "births_set_aside"}, "/root/testdata/sf0.01"
+LARGER, LARGER_SF = {"adjusted_odds", "births_set_aside", "estimates", "score_equations"}, "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
