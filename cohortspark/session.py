@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths that ``written`` filled inside the innermost ``scratch``, if there is one.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 #: Runtime settings of every job here. Wide casts generate methods the JVM never compiles when they
 #: pass 8,000 bytes; below that limit Spark splits them into small ones instead.
@@ -63,6 +68,8 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     Used where one table feeds many consumers: it is computed once and survives lost executors.
     """
     path = run_path(df.sparkSession, name)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -70,6 +77,34 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Drops, at its end, every table that ``written`` stored inside; its value writes tables that stay.
+
+    Rows that are read after the end may only come from tables that stay.
+    """
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+
+    def staying(df: DataFrame, name: str) -> DataFrame:
+        found = written(df, name)
+        paths.pop()
+        return found
+
+    try:
+        yield staying
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            dropped(spark, path.rpartition("/")[0])
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a run's folder from the store that holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether a table has no more than ``rows`` rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
