@@ -8,12 +8,12 @@ once around for every pass over it; blocks join by number. Permutations are swap
 any length, and a pure function of the index. All of it is DataFrame expressions.
 
 Documents lie in their source's stream in the order of a hash bucket, then id, then text hash, so reruns
-agree. Starts come from bucket sums first, so no task orders a whole source.
+agree, and the number of buckets is the same for all tables. Starts come from bucket sums first, so no task orders a whole source.
 
 Defined cases: a null text has no words; a null ``source`` is a source of its own, after all others; rows
 without words are returned and take nothing; repeated rows are documents of their own, each with its part;
-a null ``doc_id`` is an id like any other. An empty table, or one without a word, takes nothing. Columns whose names
-begin with ``_mix_`` are reserved; other further columns are kept by ``mixed_documents``.
+a null ``doc_id`` is an id like any other. An empty table, or one without a word, takes nothing. Further columns are
+kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ SHARD_SLOTS = 4096
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_PASSES = 2
-#: Rows of a bucket in which starts are summed.
-BUCKET_ROWS = 50_000
+#: Hash buckets of a source's stream; starts are summed by bucket, then inside each.
+BUCKETS = 4096
+#: Slots that one task makes.
+RUN_SLOTS = 1 << 16
 ROUNDS = 40
 SEED = 20240607
 
@@ -71,7 +73,7 @@ class Mixture:
 
     ``rows``: the documents with ``_mix_row``, ``_mix_source``, ``_mix_size`` and their start in the source's stream.
     ``sources``: number, ``source``, ``source_size``, ``target``, blocks and slots. ``slots``: shard, source,
-    block and pass of every slot of the mix. ``documents``: the kept columns with ``_mix_row``.
+    block and pass of every slot of the mix. ``documents``: ``_mix_row`` and the kept columns as ``_mix_kept``.
     """
 
     rows: DataFrame
@@ -138,8 +140,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def _starts(rows: DataFrame) -> DataFrame:
     """The rows with ``_mix_start``, the words of their source before them."""
-    buckets = max(1, rows.count() // BUCKET_ROWS)
-    placed = rows.withColumn("_mix_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    placed = rows.withColumn("_mix_bucket", F.pmod(F.xxhash64("doc_id", "_mix_tie"), F.lit(BUCKETS)))
     key = ["_mix_source", "_mix_bucket"]
     before = Window.partitionBy("_mix_source").orderBy("_mix_bucket")
     bases = (
@@ -168,10 +169,10 @@ def _slots(sources: DataFrame, shard_slots: int) -> DataFrame:
         F.col("_mix_slots").alias("n"),
         F.coalesce(F.sum("_mix_slots").over(before), F.lit(0)).alias("base"),
     ).filter("n > 0")
-    run = 1 << 16
+    run, tasks = RUN_SLOTS, max(1, total // RUN_SLOTS)
     runs = strata.withColumn(
         "run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / run)))
-    ).repartition(max(1, total // run))
+    ).repartition(tasks)
     dealt = runs.withColumn(
         "stratum",
         F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("n")) - 1)),
@@ -193,7 +194,8 @@ def _slots(sources: DataFrame, shard_slots: int) -> DataFrame:
     index, blocks = F.col("index"), F.col("_mix_blocks")
     within = F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)
     turn = F.floor(index / blocks)
-    return drawn.withColumn("index", F.explode(within)).select(
+    # A row becomes up to a shard's slots, so rows are dealt by the slots they make, not by their bytes.
+    return drawn.repartition(tasks, "shard", "_mix_source").withColumn("index", F.explode(within)).select(
         "shard",
         "_mix_source",
         permuted(F.pmod(index, blocks), blocks, F.lit(SEED), F.col("_mix_source"), turn).alias("block"),
@@ -212,10 +214,11 @@ def mix(
     The rows are written once with a number of their own, narrow unless ``keep`` names columns to keep.
     """
     tuned(docs.sparkSession)
-    columns = dict.fromkeys(["doc_id", "source", *(keep or [])])
     counted = written(
         docs.select(
-            *columns,
+            "doc_id",
+            "source",
+            *([F.struct(*keep).alias("_mix_kept")] if keep else []),
             F.xxhash64("text").alias("_mix_tie"),
             word_count(F.col("text")).alias("_mix_size"),
             F.monotonically_increasing_id().alias("_mix_row"),
@@ -275,16 +278,25 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("low", "words"))).alias("_mix_parts"),
         )
     )
-    words = F.regexp_extract_all("text", F.lit(f"{_WORD}{_GAP}*"), F.lit(0))
-    parts = F.transform(
-        F.col("_mix_parts"),
-        lambda p: F.array_join(
-            F.slice(words, (p["low"] + 1).cast("int"), p["words"].cast("int")), ""
-        ),
-    )
+    kept, spans = F.col("_mix_kept"), F.col("_mix_parts")
+
+    def joined(words: Column) -> Column:
+        part = F.transform(
+            spans,
+            lambda p: F.array_join(F.slice(words, (p["low"] + 1).cast("int"), p["words"].cast("int")), ""),
+        )
+        return F.array_join(part, "")
+
+    # The words are the one element of an array, so they are found once and not for every part.
+    words = F.regexp_extract_all(kept["text"], F.lit(f"{_WORD}{_GAP}*"), F.lit(0))
+    cut = F.transform(F.array(words), joined)[0]
     whole = F.col("_mix_taken") == F.col("_mix_size")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(parts, ""))
-    taken = mixture.documents.join(drawn, "_mix_row").withColumn("text", text)
+    taken = (
+        mixture.documents.select("_mix_row", "_mix_kept", "_mix_size")
+        .join(drawn, "_mix_row")
+        .select("_mix_kept", F.when(whole, kept["text"]).otherwise(cut).alias("_mix_text"))
+    )
+    changed = {"text": F.col("_mix_text")}
     if "n_chars" in docs.columns:
-        taken = taken.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return taken.select(*docs.columns)
+        changed["n_chars"] = F.length("_mix_text").cast(docs.schema["n_chars"].dataType)
+    return taken.select(*[changed.get(c, kept[c]).alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ An empty table gives no rows. Further columns are ignored, or kept by ``one_of_e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.bytewords import raw_texts
 from cohortspark.llm.files import shipped
-from cohortspark.session import tuned, written
+from cohortspark.session import scratch, tuned, written
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -257,20 +257,17 @@ def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, group: Callable[[DataFrame], DataFrame] = clusters) -> DataFrame:
     """One document of each component, with its columns: that with the least id, and of those the least text hash.
 
-    ``grouped`` has doc_id, ``tie`` and ``root`` of every document; by default those of ``clusters``.
+    ``group`` gives doc_id, ``tie`` and ``root`` of every document; what it writes is dropped once the rows are chosen.
     A null id counts after all others; rows that repeat in both are one.
     """
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie")
-    kept = written(
-        (clusters(docs) if grouped is None else grouped)
-        .groupBy("root")
-        .agg(F.min(order).alias("kept"))
-        .select("kept.doc_id", "kept.tie"),
-        "kept",
-    ).select(F.col("doc_id").alias("_kept_id"), F.col("tie").alias("_kept_tie"))
+    with scratch(docs.sparkSession) as staying:
+        chosen = group(docs).groupBy("root").agg(F.min(order).alias("kept"))
+        kept = staying(chosen.select("kept.doc_id", "kept.tie"), "kept")
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("tie").alias("_kept_tie"))
     # The row travels as one column, so its names meet no others.
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie")

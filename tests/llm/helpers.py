@@ -15,12 +15,12 @@ def text(seed: int, words: int) -> str:
 LONG = text(99, 150_000)
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, n_words long, row string, "
-    "kept boolean, host string, fp long, bucket int, _tie long, _kept_id long"
+    "kept boolean, host string, fp long, bucket int, _tie long, _kept_id long, pass int, _mix_row long"
 )
 
 
 def row(doc_id, body, source="a"):
-    return (doc_id, body, "en", source, len(body or ""), 7, "clash", True, "h", 5, 3, -1, -2)
+    return (doc_id, body, "en", source, len(body or ""), 7, "clash", True, "h", 5, 3, -1, -2, -3, -4)
 
 
 def odd_rows() -> list[tuple]:

@@ -114,3 +114,15 @@ def test_blocks_are_taken_evenly(spark):
     assert {r[0] for r in times} == {1, 2} and len(times) == 100
     shards = mix.slots.groupBy("shard").count().collect()
     assert all(r["count"] <= mixture.SHARD_SLOTS for r in shards)
+
+
+def test_parts_of_a_long_text(spark):
+    """A text of 200,000 words beside a small source is cut once, not for every part."""
+    rows = [(1, " ".join(f"w{n}" for n in range(200_000)), "en", "a", 0), (2, "few words here", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = mixture.mixed_documents(docs).collect()
+    want = {r.doc_id: r.taken for r in mixture.taken_words(docs).collect()}
+    for number in want:
+        assert sum(words(r.text) for r in found if r.doc_id == number) == want[number]
+    inside = set(rows[0][1].split())
+    assert all(set(r.text.split()) <= inside for r in found if r.doc_id == 1)
