@@ -28,6 +28,8 @@ from cohortspark.llm.files import attempt_name, memory_mapped, new_folder, opene
 
 #: Words an encoder learns before it forgets those of the generation before.
 CACHE_WORDS = 150_000
+#: Code points of the texts that are encoded together.
+GROUP_CHARS = 1 << 19
 #: Letters, then ASCII marks but the apostrophe: a byte-level tokenizer always cuts between the two.
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
@@ -54,6 +56,7 @@ class Encoder:
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.letters = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
@@ -73,39 +76,73 @@ class Encoder:
         if len(known) > CACHE_WORDS:
             self.older, self.known = known, {x: known[x] for x in parts if x in known}
             known, older = self.known, known
-        known.update((x, older[x]) for x in parts if x in older and x not in known)
-        known.update((x, None) for x in parts if not x or x[0].isspace() or x[-1].isspace())
-        new = [x for x in parts if x not in known]
-        marked = [m for m in map(_MARKED.fullmatch, new) if m]
-        plain = {x for x in new if not _MARKED.fullmatch(x)}
-        plain.update(m[1] for m in marked if m[1] not in known)
-        if plain := list(plain):
-            ids = self._whole(" " + " ".join(plain))
-            ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in plain), np.int64, len(plain)))
+        marked, plain = [], set()
+        for part in parts:
+            if part in known:
+                continue
+            if part in older:
+                known[part] = older[part]
+            elif part.isalnum():
+                plain.add(part)
+            elif not part or part[0].isspace() or part[-1].isspace():
+                known[part] = None
+            elif m := _MARKED.fullmatch(part):
+                marked.append(m.groups())
+                if m[1] not in known:
+                    plain.add(m[1])
+            else:
+                plain.add(part)
+        if plain:
+            joined = " " + " ".join(plain)
+            ids, data = self._whole(joined), np.frombuffer(joined.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == 32)[1:], len(data))  # no part holds a space
             cuts = np.searchsorted(np.cumsum(self.letters[ids]), ends, side="left") + 1
-            low = 0
-            for part, high in zip(plain, cuts.tolist()):
-                known[part] = ids[low:high].tobytes()
+            raw, low = ids.tobytes(), 0
+            for part, high in zip(plain, (cuts * self.dtype.itemsize).tolist()):
+                known[part] = raw[low:high]
                 low = high
-        for m in marked:
-            if m[2] not in self.marks:
-                self.marks[m[2]] = self._whole(m[2]).tobytes()
-            known[m[0]] = known[m[1]] + self.marks[m[2]]
+        for word, mark in marked:
+            if mark not in self.marks:
+                self.marks[mark] = self._whole(mark).tobytes()
+            known[word + mark] = known[word] + self.marks[mark]
         if len(self.marks) > CACHE_WORDS:
             self.marks = {}
 
+    def _learn_heads(self, heads: set[str]) -> None:
+        if len(self.heads) > CACHE_WORDS:
+            self.heads = {}
+        new = [x for x in heads if x not in self.heads]
+        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.heads.update((x, np.array(c.ids, dtype=self.dtype).tobytes()) for x, c in zip(new, coded))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, as the bytes of their file; parts of all texts are looked up at once."""
+        cut, heads, parts = [], set(), set()
+        for text in texts:
+            head, space, rest = text.partition(" ") if self.parted else (text, "", "")
+            if not space or head[-1:].isspace():
+                cut.append(None)
+                continue
+            own = rest.split(" ")
+            cut.append((head, own))
+            heads.add(head)
+            parts.update(own)
+        if heads:
+            self._learn_heads(heads)
+        if missing := parts.difference(self.known):
+            self._learn(missing if len(self.known) <= CACHE_WORDS else parts)
+        found, of = [], self.known.__getitem__
+        for text, own in zip(texts, cut):
+            try:
+                coded = self.heads[own[0]] + b"".join(map(of, own[1])) if own else None
+            except TypeError:  # a part is None
+                coded = None
+            found.append(self._whole(text).tobytes() if coded is None else coded)
+        return found
+
     def __call__(self, text: str) -> bytes:
         """The ids of one whole text, as the bytes of its file."""
-        head, space, rest = text.partition(" ")
-        if not self.parted or not space or head[-1:].isspace():
-            return self._whole(text).tobytes()
-        parts = rest.split(" ")
-        if missing := {x for x in parts if x not in self.known}:
-            self._learn(missing if len(self.known) <= CACHE_WORDS else {*parts})
-        try:
-            return self._whole(head).tobytes() + b"".join(map(self.known.__getitem__, parts))
-        except TypeError:  # a part is None
-            return self._whole(text).tobytes()
+        return self.batch([text])[0]
 
 
 def _cuts_before_spaces(described: dict) -> bool:
@@ -130,6 +167,19 @@ def encoder(file: str, literal_specials: bool = True) -> Encoder:
     return _ENCODERS[key]
 
 
+def _groups(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, a null as an empty one, in lists of some ``GROUP_CHARS``; a longer text ends its list."""
+    group, chars = [], 0
+    for text in texts:
+        group.append(text.as_py() or "")
+        chars += len(group[-1])
+        if chars >= GROUP_CHARS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
 def _write_shard(folder: str, tokenizer_file: str, end_id: int, literal_specials: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file, literal_specials)
@@ -143,11 +193,11 @@ def _write_shard(folder: str, tokenizer_file: str, end_id: int, literal_specials
             for batch in batches:
                 kind = batch.schema.field(0).type
                 ids.append(batch.column(0))
-                for text in batch.column(1):
-                    coded = encode(text.as_py() or "")
-                    out.write(coded)
-                    out.write(end)
-                    ends.append(ends[-1] + len(coded) // encode.dtype.itemsize + 1)
+                for texts in _groups(batch.column(1)):
+                    coded = encode.batch(texts)
+                    out.write(end.join(coded) + end)
+                    for ids_of in coded:
+                        ends.append(ends[-1] + len(ids_of) // encode.dtype.itemsize + 1)
         with store.open_output_stream(f"{path}.off") as out:
             out.write(np.array(ends, dtype="<i8").tobytes())
         with store.open_output_stream(f"{path}.doc") as out:
