@@ -12,6 +12,7 @@ from cohortspark.catalogue import CONCEPT_IDS, FIELD_DOMAINS, OWN_TABLE_DOMAINS
 from cohortspark.functions.text import array, cases, quoted, struct
 from cohortspark.operators.cdm import Cdm, links
 from cohortspark.operators.counts import step_changes
+from cohortspark.session import shuffled_side
 
 #: The concept columns of each table the load writes.
 CONCEPT_COLUMNS: Mapping[str, tuple[str, ...]] = {
@@ -158,11 +159,12 @@ def orphan_links(cdm: Cdm) -> DataFrame:
         return (
             ends.groupBy(end)
             .agg(F.expr("count(*) AS n"))
-            .join(known.withColumnRenamed("person_id", end), end, "left_anti")
+            .join(shuffled_side(known.withColumnRenamed("person_id", end)), end, "left_anti")
         )
 
     first = missing(links, "fact_id_1")
-    both = missing(links.join(first.select("fact_id_1"), "fact_id_1", "left_semi"), "fact_id_2")
+    of_missing = links.join(shuffled_side(first.select("fact_id_1")), "fact_id_1", "left_semi")
+    both = missing(of_missing, "fact_id_2")
     wide = (
         first.select("n")
         .unionByName(missing(links, "fact_id_2").select("n"))
@@ -189,7 +191,7 @@ def day_checks(cdm: Cdm, records: DataFrame) -> DataFrame:
     expected = roles(records)
     periods = (
         cdm.observation_period.join(
-            expected.select("person_id", "delivery_date"), "person_id", "left"
+            shuffled_side(expected.select("person_id", "delivery_date")), "person_id", "left"
         )
         .agg(
             F.expr(
@@ -199,7 +201,7 @@ def day_checks(cdm: Cdm, records: DataFrame) -> DataFrame:
         )
     )
     births = (
-        cdm.person.join(expected.filter("role = 'newborn'"), "person_id")
+        cdm.person.join(shuffled_side(expected.filter("role = 'newborn'")), "person_id")
         .selectExpr(
             "try_cast(format_string('%04d-%02d-%02d', year_of_birth, month_of_birth, day_of_birth)"
             " AS date) AS born",
@@ -244,9 +246,11 @@ def outside_period(events: DataFrame, day: str, periods: DataFrame, rule: str) -
         .groupBy("person_id", "day")
         .agg(F.expr("count(*) AS n"))
         .join(
-            periods.groupBy(
-                "person_id", "observation_period_start_date", "observation_period_end_date"
-            ).agg(F.expr("count(*) AS m")),
+            shuffled_side(
+                periods.groupBy(
+                    "person_id", "observation_period_start_date", "observation_period_end_date"
+                ).agg(F.expr("count(*) AS m"))
+            ),
             "person_id",
         )
         .filter(

@@ -22,6 +22,7 @@ from cohortspark.catalogue import (
 )
 from cohortspark.functions.text import array, cases, known_true, map_literal, quoted, struct
 from cohortspark.operators.cdm import Cdm
+from cohortspark.session import shuffled_side
 
 FIRST_STEP = 2
 
@@ -159,7 +160,7 @@ def criteria_from_cdm(
     )
     if source_years is not None:
         subjects = subjects.filter(f"source_year IN ({', '.join(str(y) for y in source_years)})")
-    subjects = subjects.join(mothers, "person_id", "left_semi")
+    subjects = subjects.join(shuffled_side(mothers), "person_id", "left_semi")
     weeks = concepts["gestational_age_at_birth"]
     measured = event_values(
         cdm.measurement,
@@ -186,8 +187,8 @@ def criteria_from_cdm(
     )
     places = cdm.location.select("location_id", "state", "country_concept_id")
     values = (
-        subjects.join(measured, "person_id", "left")
-        .join(observed, "person_id", "left")
+        subjects.join(shuffled_side(measured), "person_id", "left")
+        .join(shuffled_side(observed), "person_id", "left")
         .join(places, "location_id", "left")
         .withColumnRenamed("person_id", "subject_id")
         .withColumn("loaded", F.lit(True))

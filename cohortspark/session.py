@@ -117,3 +117,12 @@ def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     side is not shuffled first. The count stops one row beyond the bound.
     """
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+def shuffled_side(df: DataFrame) -> DataFrame:
+    """A side that is joined by a shuffle, however small its files are.
+
+    Sorted ids compress to a few bytes a row, so the size of a stored table of events says little of what the driver
+    would hold to broadcast it. Used for tables that grow with the records.
+    """
+    return df.hint("merge")
