@@ -205,6 +205,20 @@ class Fits:
             .agg(*[F.sum(c).alias(c) for c in ("births", "preterm", "fitted")])
         )
 
+    def level_odds(self) -> DataFrame:
+        """``model``, ``level`` and ``odds_ratio`` from the births fitted to each level and to the reference.
+
+        Without covariates they are the odds ratios of the coefficients. Fitted births of a category are whole numbers;
+        rounded, they are free of what the solver leaves in the last digits, which decides how a tie is rounded.
+        """
+        measures = self.all_rows.select("model", "measure").distinct()
+        odds = "ln(round(fitted, 6) / (births - round(fitted, 6)))"
+        reference = f"max(if(value = {reference_of()}, {odds}, NULL)) OVER (PARTITION BY model)"
+        return (
+            self.fitted().filter("term = 'level'").join(measures, "model")
+            .selectExpr("model", "value AS level", f"exp({odds} - {reference}) AS odds_ratio")
+        )
+
     def coefficients(self) -> DataFrame:
         """``model``, ``term``, ``value``, ``beta``, ``variance`` and ``loose`` of every category but the bases."""
         return self.categories.filter("number IS NOT NULL").join(self.points, "model").selectExpr(

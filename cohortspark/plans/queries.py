@@ -741,9 +741,15 @@ def aliased_categories(spark, sf_dir):
 def crude_fits(spark, sf_dir):
     """Every model fitted without covariates: its odds ratios are the crude ones."""
     levels = counts.level_counts(t.cells(spark, sf_dir), t.GRID)
-    fitted = glm.fit_all(levels.select(*counts.FIT_KEYS, "level", "births", "preterm"), (), False)
-    limits = ("odds_ratio", "lower_limit", "upper_limit")
-    return fitted.selectExpr(*counts.FIT_KEYS, "level", *_rounded(*limits, digits=5))
+    fits = glm.Fits(levels.select(*counts.FIT_KEYS, "level", "births", "preterm"), ())
+    keys = fits.all_rows.select("model", *counts.FIT_KEYS).distinct()
+    odds = fits.level_odds().join(keys, "model").selectExpr(
+        *counts.FIT_KEYS, "level", "odds_ratio AS level_odds"
+    )
+    fitted = fits.estimates(with_fitted=False).join(odds, [*counts.FIT_KEYS, "level"], "left")
+    ratio = "CASE WHEN odds_ratio IS NOT NULL THEN round(level_odds, 5) END AS odds_ratio"
+    limits = _rounded("lower_limit", "upper_limit", digits=5)
+    return fitted.selectExpr(*counts.FIT_KEYS, "level", ratio, *limits)
 
 
 @query

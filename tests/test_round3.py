@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from cohortspark.operators import checks, funnel
+from cohortspark.operators import checks, counts, epi, funnel
 from cohortspark.plans import tables as t
+from cohortspark.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
 
 
 def chosen(df) -> str:
@@ -22,3 +25,13 @@ def test_tables_of_events_are_not_broadcast(spark):
         assert "SortMergeJoin" in chosen(found) and "BroadcastHashJoin" not in chosen(found)
     by_person = [x for x in chosen(funnel.criteria_from_cdm(built)).splitlines() if "Join [person_id" in x]
     assert len(by_person) == 3 and all("SortMergeJoin" in x for x in by_person)
+
+
+def test_crude_fits_round_as_counts_do(spark):
+    """An odds ratio of 53/64 lies between two numbers of five digits."""
+    keys = [*counts.FIT_KEYS, "level"]
+    crude = epi.crude(counts.level_counts(t.cells(spark, SF), t.GRID), counts.FIT_KEYS)
+    wanted = {tuple(r[k] for k in keys): r.odds for r in crude.selectExpr(*keys, "round(odds_ratio, 5) AS odds").collect()}
+    found = {tuple(r[k] for k in keys): r.odds_ratio for r in QUERIES["crude_fits"](spark, SF).collect()}
+    held = {k: v for k, v in found.items() if v is not None}
+    assert len(held) > 100 and held == {k: wanted[k] for k in held}
