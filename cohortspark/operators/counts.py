@@ -195,37 +195,73 @@ def rated(
 
     A cell that the index refuses stops the run, unless ``strict`` is off: then it has no level.
 
-    Each cell is expanded to the analyses it takes part in, then everything is summed in one
-    shuffle; the expansion is a fixed number of rows per cell, not per birth.
+    A cell is rated once by each measure and its preterm births are summed by every cut-off at once; analyses that
+    differ in no more than the cut-off, the period or a stratum among the kept columns are told apart after the sum.
+    Where no column is kept, the cells are first summed over all that no rating reads.
     """
+    cutoffs = sorted({a.cutoff for a in grid})
+    periods = sorted({a.years for a in grid if a.years})
+    within = {years: f"_within{i}" for i, years in enumerate(periods)}
+    apart = lambda a: "" if a.stratum in kept else a.stratum
+    of = {}  # the definitions of each stratum, and the definitions and strata of each rating
+    for analysis in grid:
+        of.setdefault(apart(analysis), set()).add(analysis.definition)
+    strata = [
+        f"CASE WHEN definition IN ({', '.join(map(str, sorted(ids)))}) THEN "
+        f"{struct(stratum_variable=quoted(name), stratum_value=name or chr(39) * 2)} END"
+        for name, ids in of.items()
+    ]
+    rows = cells.selectExpr(
+        "definition", "weeks", "trimester", "visits", *kept, "births",
+        *[f"coalesce(year IN ({', '.join(map(str, years))}), false) AS {name}" for years, name in within.items()],
+        f"inline({array(strata)})",
+    ).filter("stratum_variable IS NOT NULL")
+    common = ["definition", "stratum_variable", "stratum_value", *within.values()]
+    if not kept:
+        rows = rows.groupBy(*common, "weeks", "trimester", "visits").agg(F.expr("sum(births) AS births"))
+    ratings = {}
+    for analysis in grid:
+        test = f"(definition = {analysis.definition} AND stratum_variable = {quoted(apart(analysis))})"
+        for measured in measure_structs(analysis.measures, calendar, strict=strict):
+            ratings.setdefault(measured, {})[test] = None
+    rated_rows = [f"CASE WHEN {' OR '.join(tests)} THEN {measured} END" for measured, tests in ratings.items()]
+    sums = (
+        rows.selectExpr(*common, *kept, "weeks", "births", f"inline({array(rated_rows)})")
+        .filter("measure IS NOT NULL")
+        .groupBy(*common, "measure", "variant", "level", *kept)
+        .agg(
+            F.expr("sum(births) AS births"),
+            *[F.expr(f"sum(if(weeks < {c}, births, 0 * births)) AS _preterm{c}") for c in cutoffs],
+        )
+    )
     entries = []
     for analysis in grid:
-        test = f"definition = {analysis.definition}"
+        names = ", ".join(quoted(m) for m in analysis.measures)
+        test = (
+            f"definition = {analysis.definition} AND stratum_variable = {quoted(apart(analysis))} "
+            f"AND measure IN ({names})"
+        )
         if analysis.years:
-            test += f" AND year IN ({', '.join(map(str, analysis.years))})"
-        for measured in measure_structs(analysis.measures, calendar, strict=strict):
-            row = struct(
-                period=quoted(analysis.period),
-                cutoff=str(analysis.cutoff),
-                stratum_variable=quoted(analysis.stratum),
-                stratum_value=analysis.stratum or "''",
-                rating=measured,
-                preterm=f"if(weeks < {analysis.cutoff}, births, 0 * births)",
-            )
-            entries.append(f"CASE WHEN {test} THEN {row} END")
+            test += f" AND {within[analysis.years]}"
+        row = struct(
+            period=quoted(analysis.period),
+            cutoff=str(analysis.cutoff),
+            stratum_variable=quoted(analysis.stratum),
+            stratum_value=analysis.stratum if analysis.stratum in kept else "stratum_value",
+            preterm=f"_preterm{analysis.cutoff}",
+        )
+        entries.append(f"CASE WHEN {test} THEN {row} END")
     keys = [*FIT_KEYS, "level", *kept]
-    return (
-        cells.selectExpr(
-            "definition", "births", *kept, f"inline({array(entries)})"
+    found = (
+        sums.selectExpr(
+            "definition", "measure", "variant", "level", *kept, "births", f"inline({array(entries)})"
         )
         .filter("cutoff IS NOT NULL")
-        .selectExpr(
-            "definition", "period", "cutoff", "stratum_variable", "stratum_value",
-            "rating.measure", "rating.variant", "rating.level", *kept, "births", "preterm",
-        )
-        .groupBy(*keys)
-        .agg(F.expr("sum(births) AS births"), F.expr("sum(preterm) AS preterm"))
-    )
+        .select(*keys, "births", "preterm")
+    )
+    if not within or "year" in kept:
+        return found
+    return found.groupBy(*keys).agg(F.expr("sum(births) AS births"), F.expr("sum(preterm) AS preterm"))
 
 
 def level_counts(

@@ -35,3 +35,17 @@ def test_crude_fits_round_as_counts_do(spark):
     found = {tuple(r[k] for k in keys): r.odds_ratio for r in QUERIES["crude_fits"](spark, SF).collect()}
     held = {k: v for k, v in found.items() if v is not None}
     assert len(held) > 100 and held == {k: wanted[k] for k in held}
+
+
+def test_levels_are_rated_after_the_cells_are_summed(spark):
+    """Cells, sums that no rating tells apart, sums of each cut-off, and analyses: an aggregation each, in two parts."""
+    cells = t.cells(spark, "/root/testdata/sf0.001")
+    alone, rated = chosen(cells).count("HashAggregate"), chosen(counts.level_counts(cells, t.GRID)).count("HashAggregate")
+    assert rated - alone == 6
+
+
+def test_published_tables_judge_the_records_once(spark, monkeypatch):
+    seen, real = [], t.records
+    monkeypatch.setattr(t, "records", lambda *given: seen.append(given) or real(*given))
+    QUERIES["published_tables"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1
