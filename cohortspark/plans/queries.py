@@ -622,8 +622,11 @@ def null_without_effect(spark, sf_dir):
     return found.selectExpr("scenario", "level", "int(excludes_one) AS excludes_one")
 
 
-def _shares(spark, sf_dir) -> DataFrame:
-    cells = written(t.cells(spark, sf_dir), "cells")
+def _written_cells(spark, sf_dir) -> DataFrame:
+    return written(t.cells(spark, sf_dir), "cells")
+
+
+def _shares(cells: DataFrame) -> DataFrame:
     main = [a for a in t.MAIN if a.cutoff == PRETERM_WEEKS and a.period == t.PERIOD]
     observed = epi.crude(
         counts.level_counts(cells.filter("definition < 6"), main), counts.FIT_KEYS
@@ -634,7 +637,7 @@ def _shares(spark, sf_dir) -> DataFrame:
 
 @query
 def truncation_share(spark, sf_dir):
-    return _shares(spark, sf_dir).selectExpr(
+    return _shares(_written_cells(spark, sf_dir)).selectExpr(
         "definition", "measure", "variant", "scenario", "level", "reference",
         *_rounded(
             "observed_odds_ratio", "observed_lower", "observed_upper", "simulated_odds_ratio",
@@ -646,7 +649,7 @@ def truncation_share(spark, sf_dir):
 @query
 def share_difference(spark, sf_dir):
     """The exact shares against the same shares cut to two decimals."""
-    shares = written(_shares(spark, sf_dir), "shares")
+    shares = written(_shares(_written_cells(spark, sf_dir)), "shares")
     cut = shares.withColumn("share", F.expr("round(share, 2)"))
     return epi.largest_share_difference(cut, shares).selectExpr("scenario", *_rounded("largest"))
 
@@ -1020,10 +1023,15 @@ def published_attrition(spark, sf_dir):
 
 @query
 def published_tables(spark, sf_dir):
-    """All five published tables, the null scenarios among them: rows that differ from their files."""
-    cells = written(t.cells(spark, sf_dir), "cells")
+    """All five published tables, the null scenarios among them: rows that differ from their files.
+
+    The records are typed and judged once, and written; all five tables follow from what was written.
+    """
+    subjects = written(t.subjects(spark, sf_dir), "subjects")
+    cells = written(counts.aggregated_counts(subjects), "cells")
     levels = written(counts.level_counts(cells, t.GRID), "levels")
-    combos = written(t.analysis_combinations(spark, sf_dir), "combinations")
+    combos = written(counts.combinations(subjects, (2,)).drop("definition"), "combinations")
+    summary = written(funnel.exit_summary(subjects), "summary")
     null_levels = written(_null_levels(combos), "null_levels")
     null_crude = epi.crude(null_levels, SCENARIO).withColumnRenamed("preterm", "preterm_births")
     found = glm.estimate_rows(
@@ -1040,8 +1048,8 @@ def published_tables(spark, sf_dir):
         return observed.select(names[name]).unionByName(null.select(names[name]))
 
     tables = {
-        "attrition": attrition(spark, sf_dir),
-        "excluded_profile": funnel.excluded_profile(t.summary(spark, sf_dir)),
+        "attrition": funnel.attrition(summary),
+        "excluded_profile": funnel.excluded_profile(summary),
         "estimates": with_scenarios(
             publish.as_published(found), null_crude, "estimates", model="crude"
         ),
@@ -1050,7 +1058,7 @@ def published_tables(spark, sf_dir):
             epi.distribution(null_levels),
             "exposure_distribution",
         ),
-        "truncation_share": publish.as_published(_shares(spark, sf_dir)),
+        "truncation_share": publish.as_published(_shares(cells)),
     }
     parts = []
     for name, df in tables.items():
