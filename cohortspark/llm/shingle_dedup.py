@@ -1,19 +1,23 @@
-"""Near copies by shared word shingles, for the pipeline: MinHash buckets, exact similarity of what meets.
+"""Near copies by shared word shingles, for the pipeline: SimHash, then MinHash buckets, exact similarity of what meets.
 
 Two texts are near copies when the sets of their ``SHINGLE_WORDS``-word shingles have a Jaccard similarity of
 ``SIMILAR`` or more; components of near copies are one group. Texts with equal sets are one node.
 
-1. Each node gets ``BANDS`` keys, each of the minima of ``ROWS`` hashes of its shingles. A pair of similarity s agrees
-   in a band with probability s**ROWS; at 0.8 all bands miss with probability (1 - 0.8**5)**56, some 2 in 10**10.
-2. Buckets are counted before a row moves to one. Bands are taken in waves, and groups are joined after each: a bucket
+1. Each node gets a SimHash fingerprint of its shingles. Fingerprints link by covering tables, as operator 6 links its own
+   (``simhash.link_fingerprints``: no pair within the radius is lost), and the nodes of each component of them are the
+   buckets of the first wave.
+2. Copies at the bound are some 10 bits apart, which no covering of 64 bits reaches. For these each node also gets
+   ``BANDS`` keys, each of the minima of ``ROWS`` hashes of its shingles. A pair of similarity s agrees in a band with
+   probability s**ROWS; at 0.8 all bands miss with probability (1 - 0.8**5)**56, some 2 in 10**10. They are the later waves.
+3. Buckets are counted before a row moves to one. They are taken in waves, and groups are joined after each: a bucket
    that lies within one group by then, or whose nodes were judged together before, needs no work.
-3. The shingle sets of an open bucket of up to ``SMALL`` nodes, ``SMALL_HASHES`` shingles and ``SMALL_WORK`` of both
+4. The shingle sets of an open bucket of up to ``SMALL`` nodes, ``SMALL_HASHES`` shingles and ``SMALL_WORK`` of both
    multiplied meet in a task. It compares them all, as a product of matrices in parts of bounded size, and emits links
    of a spanning forest, never all pairs, so rows grow with the nodes.
-4. A larger bucket is compared with a few centres, the same in every band; what is not yet within one group goes on
+5. A larger bucket is compared with a few centres, the same in every band; what is not yet within one group goes on
    in the next round without its centres and with more of them, until it is small enough or no pair of two groups is
    left. The next round takes the next wave's buckets too.
-5. All comparisons are of whole shingle sets, so no pair below the bound is ever linked.
+6. All comparisons are of whole shingle sets, so no pair below the bound is ever linked.
 
 Defined cases: A-Z count as a-z; a text of fewer words than a shingle has one shingle of them all; null, empty and
 blank texts have the empty set, so they are one group and near no other text; a word of more than 1 MB counts as
@@ -39,7 +43,7 @@ SHINGLE_WORDS = 5
 #: Near copies share four fifths of their shingles or more.
 SIMILAR = (4, 5)
 BANDS, ROWS = 56, 5
-#: How many bands each wave takes.
+#: How many bands each wave after that of the fingerprints takes.
 WAVES = (8, 48)
 #: Nodes and shingles of a bucket that one task compares, and the most of their product: they bound its memory (a
 #: number for each two nodes) and its time.
@@ -91,6 +95,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The signed fingerprint of a set of shingle hashes: the bits that more than half of them have."""
+    counts = np.zeros(64, dtype=np.int64)
+    for low in range(0, len(hashes), simhash.BATCH):
+        part = hashes[low : low + simhash.BATCH].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def node_of(hashes: np.ndarray) -> int:
     """A signed 64-bit number of a set of shingle hashes."""
     total = mixed(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes))
@@ -99,11 +112,12 @@ def node_of(hashes: np.ndarray) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, prints, keys = [], [], [], []
         for raw in raw_texts(batch.column(2)):
             own = shingles(raw)
             nodes.append(node_of(own))
             sizes.append(len(own))
+            prints.append(fingerprint(own))
             keys.append(band_keys(own).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [
@@ -111,9 +125,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(1),
                 pa.array(nodes, pa.int64()),
                 pa.array(sizes, pa.int64()),
+                pa.array(prints, pa.int64()),
                 pa.array(keys, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "tie", "node", "n", "keys"],
+            names=["doc_id", "tie", "node", "n", "fp", "keys"],
         )
 
 
@@ -200,16 +215,30 @@ def _first_of(rows: DataFrame) -> DataFrame:
     """Each node once, with its keys and the document that stands for it."""
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie")
     return rows.groupBy("node").agg(
-        F.min(order).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")]
     )
 
 
-def _shared_keys(values: DataFrame) -> DataFrame:
-    """node, n, key and wave of every node in a bucket of two or more."""
-    wave = sum((F.col("band") >= sum(WAVES[: n + 1])).cast("int") for n in range(len(WAVES) - 1))
+def _fingerprint_members(values: DataFrame) -> DataFrame:
+    """node, n, key and wave 0 of every node whose fingerprint is linked to that of another, or equal to it."""
+    links = written(simhash.link_fingerprints(values.select("fp").distinct()), "fingerprint_links")
+    roots = simhash.components(values.sparkSession, links).withColumnRenamed("node", "fp")
+    placed = values.select("node", "n", "fp").join(roots, "fp", "left")
+    placed = written(placed.select("node", "n", F.coalesce("root", "fp").alias("key")), "fingerprint_groups")
+    return _of_two(placed).select("node", "n", "key", F.lit(0).alias("wave"))
+
+
+def _band_members(values: DataFrame) -> DataFrame:
+    """node, n, key and wave, from 1 on, of every node in a bucket of two or more."""
+    wave = sum((F.col("band") >= sum(WAVES[: n + 1])).cast("int") for n in range(len(WAVES) - 1)) + 1
     placed = values.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    return _of_two(placed).select("node", "n", "key", wave.alias("wave"))
+
+
+def _of_two(placed: DataFrame) -> DataFrame:
+    """The rows whose key others have too."""
     sizes = written(placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket_sizes")
-    return written(placed.join(sizes, "key").select("node", "n", "key", wave.alias("wave")), "members")
+    return placed.join(sizes, "key")
 
 
 def _shingle_sets(docs: DataFrame, values: DataFrame, members: DataFrame) -> DataFrame:
@@ -282,18 +311,18 @@ def clusters(docs: DataFrame) -> DataFrame:
     shipped(spark)
     rows = written(
         docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(
-            _signatures, "doc_id long, tie long, node long, n long, keys array<long>"
+            _signatures, "doc_id long, tie long, node long, n long, fp long, keys array<long>"
         ),
         "signatures",
     )
     values = written(_first_of(rows), "nodes")
-    members = _shared_keys(values)
+    members = written(_fingerprint_members(values).unionByName(_band_members(values)), "members")
     sets, roots, seen = _shingle_sets(docs, values, members), None, None
     turn, waiting, centres = 0, None, CENTRES
-    while turn < len(WAVES) or waiting is not None:
+    while turn <= len(WAVES) or waiting is not None:
         left = members.filter(F.col("wave") == turn).select("node", "n", "key")
         if waiting is not None:
-            left = left.unionByName(waiting) if turn < len(WAVES) else waiting
+            left = left.unionByName(waiting) if turn <= len(WAVES) else waiting
         turn, waiting = turn + 1, None
         labelled = _labelled(left, roots)
         buckets = _open_buckets(labelled, seen)
