@@ -350,7 +350,7 @@ def _sort_shards(parts: int):
 
 def repeated_windows(rows: list[tuple], length: int = LENGTH) -> dict[tuple[int, int], bytes]:
     """By document, runs of windows of (shard, doc, tie, first, bytes) that also stand in a row of a smaller doc."""
-    text = np.zeros(sum(len(r[4]) + 1 for r in rows) + 1, dtype=np.int64)
+    text = np.zeros(sum(len(r[4]) + 1 for r in rows) + 1, dtype=np.uint16)
     owner = np.full(len(text), -1, dtype=np.int64)  # the row, where a whole window starts
     starts, at = [], 0
     for n, row in enumerate(rows):
@@ -361,9 +361,9 @@ def repeated_windows(rows: list[tuple], length: int = LENGTH) -> dict[tuple[int,
         owner[at : at + size - length + 1] = n
         starts.append(at)
         at += size + 1
-    order = suffix_array(text)
-    shared = permuted_common_prefixes(text, order, length)
+    order = suffix_array(text, length)
     whole = order[owner[order] >= 0]  # equal windows are neighbours in order
+    shared = permuted_common_prefixes(text, whole, length)
     group = np.cumsum(shared[whole] < length) - 1
     group -= group[0] if len(group) else 0
     ids = np.array([r[1] for r in rows], dtype=np.int64)

@@ -5,29 +5,57 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, most: int | None = None) -> np.ndarray:
     """Starts of the suffixes of ``text`` in order; its last symbol must be 0 and the only 0.
 
     Every suffix is smaller (S) or larger (L) than the next one. An S after an L starts a leftmost-smaller
-    substring; these are sorted by one induction, named, and, where names repeat, sorted by the suffix array
-    of the string of names. A second induction from their order gives the order of all suffixes.
+    substring; these are sorted by one induction, named, and, where names repeat, sorted by the names that
+    follow. A second induction from their order gives the order of all suffixes. With ``most``, suffixes that
+    share so many symbols may stand in any order among themselves.
     """
     n = len(text)
     if n == 1:
         return np.zeros(1, dtype=np.int64)
     smaller = _smaller(text)
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    induce = _induce_by_bucket if int(text.max()) < 1024 else _induce_one_by_one
-    order = induce(text, smaller, leftmost)
+    if int(text.max()) < 1 << 16:
+        text = text.astype(np.uint16)  # which numpy sorts by radix
+    order = _induced(text, smaller, leftmost)
     starts = np.zeros(n, dtype=bool)
     starts[leftmost] = True
     by_substring = order[starts[order]]
     names, count = _names(text, leftmost, by_substring)
     if count < len(leftmost):
-        by_suffix = leftmost[suffix_array(names)]
+        # Leftmost-smaller substrings start two symbols apart or more.
+        by_suffix = leftmost[_by_doubling(names, None if most is None else (most + 1) // 2)]
     else:
         by_suffix = by_substring
-    return induce(text, smaller, by_suffix)
+    return _induced(text, smaller, by_suffix)
+
+
+def _by_doubling(names: np.ndarray, most: int | None) -> np.ndarray:
+    """Starts of the suffixes of a string of names in order, by prefixes of 1, 2, 4, ... names.
+
+    A suffix's rank is the first place of those that share its prefix; only such as share it move on.
+    """
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    left, group, shared = np.arange(n), names[order], 1
+    rank = np.empty(n, dtype=np.int64)
+    while True:
+        new = np.append(True, group[1:] != group[:-1])
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.append(first, len(left)))
+        rank[order[left]] = np.repeat(left[first], sizes)
+        left = left[np.repeat(sizes > 1, sizes)]
+        if not len(left) or (most is not None and shared >= most):
+            return order
+        part = order[left]
+        after = np.where(part + shared < n, rank[np.minimum(part + shared, n - 1)] + 1, 0)
+        group = rank[part] * (n + 1) + after
+        by_group = np.argsort(group, kind="stable")
+        order[left], group = part[by_group], group[by_group]
+        shared *= 2
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -73,7 +101,7 @@ def _runs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return order, np.arange(len(ordered)) - np.repeat(first, counts), ordered[first], counts
 
 
-def _induce_by_bucket(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+def _induced(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     """Both inductions, a bucket at a time: what a bucket's suffixes induce is placed in one step.
 
     A suffix may induce one of its own bucket; such suffixes are the next step of the same bucket.
@@ -118,42 +146,16 @@ def _induce_by_bucket(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarra
     return found
 
 
-def _induce_one_by_one(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
-    """The same for strings of names, whose many small buckets aren't worth a step each."""
-    heads, ends = _edges(text)
-    symbols, is_smaller = text.tolist(), smaller.tolist()
-    found = [-1] * len(symbols)
-    tails = ends.tolist()
-    for i in reversed(leftmost.tolist()):
-        tails[symbols[i]] -= 1
-        found[tails[symbols[i]]] = i
-    heads = heads.tolist()
-    for k in range(len(found)):
-        i = found[k] - 1
-        if i >= 0 and not is_smaller[i]:
-            c = symbols[i]
-            found[heads[c]] = i
-            heads[c] += 1
-    tails = ends.tolist()
-    for k in range(len(found) - 1, -1, -1):
-        i = found[k] - 1
-        if i >= 0 and is_smaller[i]:
-            c = symbols[i]
-            tails[c] -= 1
-            found[tails[c]] = i
-    found[0] = len(symbols) - 1
-    return np.array(found, dtype=np.int64)
-
-
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each place, the symbols its suffix shares with the one before it in order, up to ``most``.
 
-    Found in text order, all places one symbol at a time; a place leaves at its first difference.
+    Found in text order, all places one symbol at a time; a place leaves at its first difference. ``order`` may
+    leave suffixes out, whose places get 0.
     """
     before = np.empty(len(text), dtype=np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(len(text), dtype=np.int64)
-    left = np.delete(np.arange(len(text)), order[0])
+    left = np.sort(order[1:])
     for length in range(most):
         left = left[np.maximum(left, before[left]) + length < len(text)]
         left = left[text[left + length] == text[before[left] + length]]
