@@ -146,6 +146,23 @@ EVENT_INPUTS = [
 ]
 
 
+#: What the tables of a load read from a record.
+LOAD_INPUTS = [
+    "source_year",
+    "source_row",
+    "loaded",
+    "year_of_birth",
+    "month_of_birth",
+    "day_of_birth",
+    "newborn_gender_concept_id",
+    "sexo",
+    *RESIDENCE,
+    "state",
+    "country_concept_id",
+    *EVENT_INPUTS,
+]
+
+
 def ranked_records(records: DataFrame, bucket_rows: int = 1 << 20) -> DataFrame:
     """The loaded records with their position in person order, which the event ids build on."""
     return rank_by_id(

@@ -206,7 +206,7 @@ def key_pivot(spark, sf_dir):
 
 @query
 def etl_counts(spark, sf_dir):
-    rows, built = t.written_load(spark, sf_dir)
+    rows, built = t.written_load(spark, sf_dir, ["*"])
     return (
         typed.rule_counts(rows, PROXY_SETTINGS)
         .unionByName(counts.table_rows(built, rows, PROXY_SETTINGS.ids))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.catalogue import CODE_MAP, CONCEPTS, VOCABULARY_TARGETS
 from cohortspark.operators import cdm, counts, funnel
 from cohortspark.operators.typed import typed_records
-from cohortspark.session import tuned, written
+from cohortspark.session import smaller_tasks, tuned, written
 from cohortspark.sources.proxy import PROXY_SETTINGS, PROXY_YEARS, damaged_registry, registry
 
 PERIOD = "all"
@@ -52,11 +57,27 @@ def analysis_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.combinations(subjects(spark, sf_dir), (2,)).drop("definition")
 
 
-def written_load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, cdm.Cdm]:
-    """The typed records and the event tables of a load, each computed once and written."""
-    typed = written(records(spark, sf_dir), "records")
-    built = cdm.build(typed, keep=written)
-    return typed, built.map(lambda name, df: written(df, name))
+def written_load(
+    spark: SparkSession, sf_dir: str, columns: Sequence[str] = tuple(cdm.LOAD_INPUTS)
+) -> tuple[DataFrame, cdm.Cdm]:
+    """Some columns of the typed records, and the event tables of a load, each computed once and written.
+
+    The event tables are independent of one another once the records are ranked, so they are written at the same time.
+    """
+    with smaller_tasks(tuned(spark)):
+        typed = written(records(spark, sf_dir).select(*columns), "records")
+        return typed, written_together(cdm.build(typed, keep=written))
+
+
+def written_together(built: cdm.Cdm) -> cdm.Cdm:
+    """Every table of a load written, by jobs that run side by side: one's last tasks leave no core idle."""
+    parts = vars(built)
+    with ThreadPoolExecutor(len(parts)) as pool:
+        jobs = {
+            name: pool.submit(copy_context().run, inheritable_thread_target(df.sparkSession)(written), df, name)
+            for name, df in parts.items()
+        }
+        return cdm.Cdm(**{name: job.result() for name, job in jobs.items()})
 
 
 def concepts(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,6 +32,37 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: The most bytes of a shuffle, and of files, that a task of ``smaller_tasks`` reads.
+SMALLER_TASKS = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20,
+    "spark.sql.files.maxPartitionBytes": 16 << 20,
+}
+
+
+@contextmanager
+def smaller_tasks(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside are cut finer than Spark cuts them by size; settings that are finer still stay.
+
+    A megabyte of records of short repeating texts stands for seconds of work. Spark's sizes make of them a few tasks more
+    than there are cores, and the last ones leave most cores idle.
+    """
+    before = {key: spark.conf.get(key, None) for key in SMALLER_TASKS}
+    for key, size in SMALLER_TASKS.items():
+        if before[key] is None or in_bytes(before[key]) > size:
+            spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def in_bytes(size: str) -> int:
+    """A size as Spark's settings state it: a number, with or without a unit."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)(?:i?b)?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
