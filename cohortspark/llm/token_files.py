@@ -20,23 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.files import attempt_name, memory_mapped, new_folder, opened, shipped
 
-#: Words an encoder learns before it forgets those of the generation before.
-CACHE_WORDS = 150_000
-#: Code points of the texts that are encoded together.
-GROUP_CHARS = 1 << 19
+#: Parts that an encoder remembers from a block to the next: those that came most often.
+CACHE_WORDS = 100_000
+#: Bytes of the texts that are cut and looked up together.
+BLOCK_BYTES = 8 << 20
+#: Code points that the library encodes in one call.
+GROUP_CHARS = 1 << 17
 #: Letters, then ASCII marks but the apostrophe: a byte-level tokenizer always cuts between the two.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS = "".join(chr(x) for x in range(256) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", chr(x)))
+_MARKS = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'")
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
-    """The tokenizer of a file, with the ids of the words it met lately.
+    """The tokenizer of a file, with the ids of the parts it met lately.
 
     A byte-level tokenizer ends a piece wherever a single space stands between two other characters: the
     space opens the next piece. So a text cut there may be encoded part by part, and parts repeat. A text
@@ -53,96 +57,124 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.parted = _cuts_before_spaces(json.loads(self.tokenizer.to_str()))
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.marks: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.known = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.letters = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.letters[number] = len(token)
 
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(
-            self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype
-        )
+    def _each(self, texts: pa.Array) -> pa.Array:
+        """The ids of texts, each by itself."""
+        found = []
+        for group in _groups(texts):
+            coded = self.tokenizer.encode_batch_fast(group.to_pylist(), add_special_tokens=False)
+            found += [np.array(x.ids, dtype=self.dtype).tobytes() for x in coded]
+        return pa.array(found, pa.large_binary())
 
-    def _learn(self, parts: set[str]) -> None:
-        """Adds the ids of parts, each with a space before it; None for a part beside other white space.
+    def _spaced(self, parts: pa.Array) -> pa.Array:
+        """The ids of parts, each with a space before it.
 
-        They are encoded as one text; a byte-level token has one letter for each byte it stands for.
+        Many are encoded as one text; a byte-level token has one letter for each byte it stands for.
         """
-        known, older = self.known, self.older
-        if len(known) > CACHE_WORDS:
-            self.older, self.known = known, {x: known[x] for x in parts if x in known}
-            known, older = self.known, known
-        marked, plain = [], set()
-        for part in parts:
-            if part in known:
-                continue
-            if part in older:
-                known[part] = older[part]
-            elif part.isalnum():
-                plain.add(part)
-            elif not part or part[0].isspace() or part[-1].isspace():
-                known[part] = None
-            elif m := _MARKED.fullmatch(part):
-                marked.append(m.groups())
-                if m[1] not in known:
-                    plain.add(m[1])
-            else:
-                plain.add(part)
-        if plain:
-            joined = " " + " ".join(plain)
-            ids, data = self._whole(joined), np.frombuffer(joined.encode(), np.uint8)
+        found = [pa.array([], pa.large_binary())]
+        for group in _groups(parts):
+            joined = " " + " ".join(group.to_pylist())
+            coded = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
+            ids, data = np.array(coded.ids, dtype=self.dtype), np.frombuffer(joined.encode(), np.uint8)
             ends = np.append(np.flatnonzero(data == 32)[1:], len(data))  # no part holds a space
             cuts = np.searchsorted(np.cumsum(self.letters[ids]), ends, side="left") + 1
-            raw, low = ids.tobytes(), 0
-            for part, high in zip(plain, (cuts * self.dtype.itemsize).tolist()):
-                known[part] = raw[low:high]
-                low = high
-        for word, mark in marked:
-            if mark not in self.marks:
-                self.marks[mark] = self._whole(mark).tobytes()
-            known[word + mark] = known[word] + self.marks[mark]
-        if len(self.marks) > CACHE_WORDS:
-            self.marks = {}
-
-    def _learn_heads(self, heads: set[str]) -> None:
-        if len(self.heads) > CACHE_WORDS:
-            self.heads = {}
-        new = [x for x in heads if x not in self.heads]
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.heads.update((x, np.array(c.ids, dtype=self.dtype).tobytes()) for x, c in zip(new, coded))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts, as the bytes of their file; parts of all texts are looked up at once."""
-        cut, heads, parts = [], set(), set()
-        for text in texts:
-            head, space, rest = text.partition(" ") if self.parted else (text, "", "")
-            if not space or head[-1:].isspace():
-                cut.append(None)
-                continue
-            own = rest.split(" ")
-            cut.append((head, own))
-            heads.add(head)
-            parts.update(own)
-        if heads:
-            self._learn_heads(heads)
-        if missing := parts.difference(self.known):
-            self._learn(missing if len(self.known) <= CACHE_WORDS else parts)
-        found, of = [], self.known.__getitem__
-        for text, own in zip(texts, cut):
-            try:
-                coded = self.heads[own[0]] + b"".join(map(of, own[1])) if own else None
-            except TypeError:  # a part is None
-                coded = None
-            found.append(self._whole(text).tobytes() if coded is None else coded)
-        return found
+            found.append(_binary(ids, np.append(0, cuts * self.dtype.itemsize)))
+        return pa.concat_arrays(found)
+
+    def _looked_up(self, parts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """For each part its row in a table, and the table: ids with a space before the part.
+
+        They are null for a part beside other white space. Letters and the marks after them are encoded apart.
+        """
+        old = len(self.known)
+        met = pa.chunked_array([self.known, parts]).dictionary_encode().chunks[-1]
+        rows = met.indices.to_numpy()
+        new = met.dictionary.slice(old)
+        stems = pc.utf8_rtrim(new, characters=_MARKS)
+        lettered = pc.and_(pc.not_equal(stems, ""), pc.equal(pc.utf8_ltrim(stems, characters=_LETTERS), ""))
+        marked = pc.and_(lettered, pc.not_equal(stems, new))
+        marks = pc.utf8_ltrim(new.filter(marked), characters=_LETTERS).dictionary_encode()
+        words = pa.chunked_array([met.dictionary, stems.filter(marked)]).dictionary_encode()
+        stem_rows = words.combine_chunks().indices.slice(len(met.dictionary))
+        words, marked_rows = words.chunk(0).dictionary, old + np.flatnonzero(marked)
+        new = words.slice(old)
+        plain = ~_outer_white(new) & (pc.binary_length(new).to_numpy() > 0)
+        plain[marked_rows - old] = False
+        # The table is a choice from what is known, what is encoded now, and a null.
+        ids = pa.concat_arrays([self.ids, self._spaced(new.filter(plain)), pa.nulls(1, pa.large_binary())])
+        source = np.full(len(words), len(ids) - 1)
+        source[:old] = np.arange(old)
+        source[old:][plain] = np.arange(old, len(ids) - 1)
+        with_marks = pc.binary_join_element_wise(
+            ids.take(pa.array(source).take(stem_rows)),
+            self._each(marks.dictionary).take(marks.indices),
+            pa.scalar(b"", pa.large_binary()),
+        )
+        source[marked_rows] = len(ids) + np.arange(len(marked_rows))
+        ids = pa.concat_arrays([ids, with_marks]).take(source)
+        used = np.bincount(np.append(rows, stem_rows), minlength=len(words))
+        often = np.sort(np.argsort(-used, kind="stable")[:CACHE_WORDS])
+        self.known, self.ids = words.take(often), ids.take(often)
+        return rows, ids
+
+    def block(self, texts: pa.Array, end: bytes = b"") -> tuple[pa.Buffer, np.ndarray]:
+        """The ids of whole texts, an end after each, as the bytes of their file; and how many bytes each text has.
+
+        A null is an empty text. Parts of all texts are looked up at once.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return pa.py_buffer(b""), np.zeros(0, dtype=np.int64)
+        if self.parted:
+            cut = pc.split_pattern(texts, " ")
+            parts, counts = cut.flatten(), pc.list_value_length(cut).to_numpy().astype(np.int64)
+            first = np.cumsum(counts) - counts
+            heads = parts.take(first)
+            del cut
+            rows, table = self._looked_up(parts)
+            del parts
+            white = table.is_null().to_numpy(zero_copy_only=False)[rows]
+            white[first] = _outer_white(heads, left=False)
+            whole = np.logical_or.reduceat(white, first)
+            # A text's first row stands for its head, or for all of it.
+            begun = pc.if_else(whole, texts, heads).dictionary_encode()
+            rows = rows.copy()
+            rows[first] = len(table) + begun.indices.to_numpy()
+            kept = ~np.repeat(whole, counts)
+            kept[first] = True
+            rows, counts = rows[kept], np.where(whole, 1, counts)
+            table = pa.concat_arrays([table, self._each(begun.dictionary)])
+        else:
+            begun = texts.dictionary_encode()
+            table, counts = self._each(begun.dictionary), np.ones(len(texts), dtype=np.int64)
+            rows = begun.indices.to_numpy()
+        lasts = np.cumsum(counts)
+        rows = np.insert(rows, lasts, len(table))
+        coded = pa.concat_arrays([table, pa.array([end], pa.large_binary())]).take(rows)
+        ends = np.frombuffer(coded.buffers()[1], dtype=np.int64)[: len(rows) + 1]
+        sizes = np.diff(ends[lasts + np.arange(1, len(texts) + 1)], prepend=0)
+        return (coded.buffers()[2] or pa.py_buffer(b"")).slice(0, int(ends[-1])), sizes
 
     def __call__(self, text: str) -> bytes:
         """The ids of one whole text, as the bytes of its file."""
-        return self.batch([text])[0]
+        return self.block(pa.array([text], pa.large_string()))[0].to_pybytes()
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, buffers)
+
+
+def _outer_white(texts: pa.Array, left: bool = True) -> np.ndarray:
+    """Whether white space ends a text or, unless ``left`` is false, begins it."""
+    trimmed = pc.utf8_trim_whitespace(texts) if left else pc.utf8_rtrim_whitespace(texts)
+    return pc.not_equal(trimmed, texts).to_numpy(zero_copy_only=False).copy()
 
 
 def _cuts_before_spaces(described: dict) -> bool:
@@ -167,17 +199,32 @@ def encoder(file: str, literal_specials: bool = True) -> Encoder:
     return _ENCODERS[key]
 
 
-def _groups(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts, a null as an empty one, in lists of some ``GROUP_CHARS``; a longer text ends its list."""
-    group, chars = [], 0
-    for text in texts:
-        group.append(text.as_py() or "")
-        chars += len(group[-1])
-        if chars >= GROUP_CHARS:
-            yield group
-            group, chars = [], 0
-    if group:
-        yield group
+def _groups(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of some ``GROUP_CHARS``; a longer text ends its slice."""
+    low, done = 0, np.cumsum(pc.utf8_length(texts).to_numpy() + 1)
+    while low < len(texts):
+        before = done[low - 1] if low else 0
+        high = int(np.searchsorted(done, before + GROUP_CHARS)) + 1
+        yield texts.slice(low, high - low)
+        low = high
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches, joined until they hold some ``BLOCK_BYTES``."""
+    joined, size = [], 0
+    for batch in batches:
+        joined.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(joined)
+            joined, size = [], 0
+    if joined:
+        yield pa.Table.from_batches(joined)
+
+
+def _one(texts: pa.ChunkedArray) -> pa.Array:
+    """The chunks as one array, of any size."""
+    return pa.concat_arrays([x.cast(pa.large_string()) for x in texts.chunks])
 
 
 def _write_shard(folder: str, tokenizer_file: str, end_id: int, literal_specials: bool):
@@ -188,18 +235,17 @@ def _write_shard(folder: str, tokenizer_file: str, end_id: int, literal_specials
         name = attempt_name(folder, f"shard-{shard:06d}")
         store, path = opened(name)
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        ends, ids, kind = [0], [], pa.int64()
+        sizes, ids, kind = [np.zeros(1, dtype=np.int64)], [], pa.int64()
         with store.open_output_stream(f"{path}.bin") as out:
-            for batch in batches:
-                kind = batch.schema.field(0).type
-                ids.append(batch.column(0))
-                for texts in _groups(batch.column(1)):
-                    coded = encode.batch(texts)
-                    out.write(end.join(coded) + end)
-                    for ids_of in coded:
-                        ends.append(ends[-1] + len(ids_of) // encode.dtype.itemsize + 1)
+            for block in _blocks(batches):
+                kind = block.schema.field(0).type
+                ids += block.column(0).chunks
+                data, sizes_of = encode.block(_one(block.column(1)), end)
+                out.write(data)
+                sizes.append(sizes_of)
+        ends = np.cumsum(np.concatenate(sizes)) // encode.dtype.itemsize
         with store.open_output_stream(f"{path}.off") as out:
-            out.write(np.array(ends, dtype="<i8").tobytes())
+            out.write(ends.astype("<i8").tobytes())
         with store.open_output_stream(f"{path}.doc") as out:
             table = pa.table({"doc_id": pa.chunked_array(ids, type=kind)})
             with pa.ipc.new_file(out, table.schema) as writer:
@@ -211,7 +257,7 @@ def _write_shard(folder: str, tokenizer_file: str, end_id: int, literal_specials
                     "path": [name],
                     "dtype": [encode.dtype.str],
                     "documents": pa.array([len(ends) - 1], pa.int64()),
-                    "tokens": pa.array([ends[-1]], pa.int64()),
+                    "tokens": pa.array(ends[-1:], pa.int64()),
                 }
             )
 

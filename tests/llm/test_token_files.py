@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,41 @@ def test_a_full_cache_changes_nothing(tokenizer, monkeypatch):
         assert np.frombuffer(encode(text), encode.dtype).tolist() == whole(tokenizer, text)
 
 
+def test_texts_of_a_block_keep_their_own_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 7)
+    monkeypatch.setattr(token_files, "GROUP_CHARS", 20)
+    encode, draw = token_files.Encoder(tokenizer_file()), random.Random(3)
+    pieces = [" a", " bc!!", " bc", " don't", "  ", "\n", " x\ny,", "é", " 日", " \x1c", " THE***", "!", " 1.", "\u3000"]
+    for _ in range(60):
+        texts = ["".join(draw.choices(pieces, k=draw.randint(0, 9))) or None for _ in range(draw.randint(0, 40))]
+        data, sizes = encode.block(pa.array(texts, pa.string()), b"\x07\x00")
+        ids, ends = np.frombuffer(data, encode.dtype), np.cumsum(sizes) // 2
+        found = [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+        assert found == [[*whole(tokenizer, x), 7] for x in texts]
+        assert sum(sizes) == data.size
+
+
+def test_a_part_of_many_batches_is_encoded_once(tokenizer, monkeypatch, tmp_path):
+    encode, given = token_files.Encoder(tokenizer_file()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **further):
+            given.append(sum(map(len, texts)))
+            return tokenizer.encode_batch_fast(texts, **further)
+
+    encode.tokenizer = Counted()
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(token_files, "TaskContext", task)
+    monkeypatch.setattr(token_files, "encoder", lambda *_: encode)
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 5)
+    texts = ["of " + " ".join(f"word{'abc'[n % 3]}{chr(97 + i)}" for i in range(20)) for n in range(30)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [n], "text": [x]}) for n, x in enumerate(texts)]
+    (manifest,) = token_files._write_shard(str(tmp_path), "", 0, True)(iter(batches))
+    ids = np.frombuffer(token_files.memory_mapped(manifest["path"][0].as_py() + ".bin"), encode.dtype)
+    assert ids.tolist() == [i for x in texts for i in [*whole(tokenizer, x), 0]]
+    assert sum(given) <= sum(map(len, texts[:3])) + 10
+
+
 def test_other_tokenizers_encode_whole_texts():
     encode = token_files.Encoder(tokenizer_file("word_bpe_49k.json"))
     assert not encode.parted
