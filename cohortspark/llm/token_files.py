@@ -30,7 +30,7 @@ from cohortspark.llm.files import attempt_name, memory_mapped, new_folder, opene
 #: Parts that an encoder remembers from a block to the next: those that came most often.
 CACHE_WORDS = 100_000
 #: Bytes of the texts that are cut and looked up together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Code points that the library encodes in one call.
 GROUP_CHARS = 1 << 17
 #: Letters, then ASCII marks but the apostrophe: a byte-level tokenizer always cuts between the two.
@@ -199,25 +199,32 @@ def encoder(file: str, literal_specials: bool = True) -> Encoder:
     return _ENCODERS[key]
 
 
+def _upto(sizes: np.ndarray, limit: int, spent: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that end where their sizes reach the limit; of the first one some is spent."""
+    low, done = 0, np.append(0, np.cumsum(sizes))
+    while low < len(sizes):
+        high = min(int(np.searchsorted(done, done[low] + limit - spent)), len(sizes))
+        yield low, high
+        low, spent = high, 0
+
+
 def _groups(texts: pa.Array) -> Iterator[pa.Array]:
     """The texts in slices of some ``GROUP_CHARS``; a longer text ends its slice."""
-    low, done = 0, np.cumsum(pc.utf8_length(texts).to_numpy() + 1)
-    while low < len(texts):
-        before = done[low - 1] if low else 0
-        high = int(np.searchsorted(done, before + GROUP_CHARS)) + 1
+    for low, high in _upto(pc.utf8_length(texts).to_numpy() + 1, GROUP_CHARS):
         yield texts.slice(low, high - low)
-        low = high
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The batches, joined until they hold some ``BLOCK_BYTES``."""
+    """The rows of all batches in tables of some ``BLOCK_BYTES``; a longer text ends its table."""
     joined, size = [], 0
     for batch in batches:
-        joined.append(batch)
-        size += batch.nbytes
-        if size >= BLOCK_BYTES:
-            yield pa.Table.from_batches(joined)
-            joined, size = [], 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 1
+        for low, high in _upto(sizes, BLOCK_BYTES, size):
+            joined.append(batch.slice(low, high - low))
+            size += int(sizes[low:high].sum())
+            if size >= BLOCK_BYTES:
+                yield pa.Table.from_batches(joined)
+                joined, size = [], 0
     if joined:
         yield pa.Table.from_batches(joined)
 
@@ -243,6 +250,7 @@ def _write_shard(folder: str, tokenizer_file: str, end_id: int, literal_specials
                 data, sizes_of = encode.block(_one(block.column(1)), end)
                 out.write(data)
                 sizes.append(sizes_of)
+        pa.default_memory_pool().release_unused()  # a worker lives on, with other stages' work
         ends = np.cumsum(np.concatenate(sizes)) // encode.dtype.itemsize
         with store.open_output_stream(f"{path}.off") as out:
             out.write(ends.astype("<i8").tobytes())

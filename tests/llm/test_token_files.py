@@ -57,6 +57,18 @@ def test_texts_of_a_block_keep_their_own_ids(tokenizer, monkeypatch):
         assert sum(sizes) == data.size
 
 
+def test_blocks_are_bounded_and_lose_no_row(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 20)
+    draw = random.Random(4)
+    for _ in range(50):
+        sizes = [[draw.choice([None, 0, 1, 7, 19, 45]) for _ in range(draw.randint(0, 30))] for _ in range(4)]
+        texts = [[None if n is None else f"{draw.randrange(10)}" * n for n in x] for x in sizes]
+        batches = [pa.record_batch({"doc_id": pa.array(range(len(x))), "text": pa.array(x, pa.string())}) for x in texts]
+        blocks = [x.column(1).to_pylist() for x in token_files._blocks(iter(batches))]
+        assert [t for x in blocks for t in x] == [t for x in texts for t in x]
+        assert all(sum(len(t or "") + 1 for t in x[:-1]) < 20 for x in blocks)
+
+
 def test_a_part_of_many_batches_is_encoded_once(tokenizer, monkeypatch, tmp_path):
     encode, given = token_files.Encoder(tokenizer_file()), []
 
