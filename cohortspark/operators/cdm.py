@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -244,8 +244,10 @@ def observations(ranked: DataFrame, concepts: Mapping[str, int] = CONCEPT_IDS) -
     )
 
 
-def links(records: DataFrame, concepts: Mapping[str, int] = CONCEPT_IDS) -> DataFrame:
-    """The mother and the newborn of each record, linked in both directions."""
+def links(
+    records: DataFrame, concepts: Mapping[str, int] = CONCEPT_IDS, kept: Sequence[str] = ()
+) -> DataFrame:
+    """The mother and the newborn of each record, linked in both directions; ``kept``: more columns of the record."""
 
     def link(one, other, relationship):
         return struct(
@@ -260,7 +262,7 @@ def links(records: DataFrame, concepts: Mapping[str, int] = CONCEPT_IDS) -> Data
         link("person_id", "newborn_person_id", "mother"),
         link("newborn_person_id", "person_id", "child"),
     ]
-    return records.filter("loaded").selectExpr(f"inline({array(both)})")
+    return records.filter("loaded").selectExpr(*kept, f"inline({array(both)})")
 
 
 def build(

@@ -56,10 +56,15 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def distinct_concepts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The distinct concept ids each table holds, over all its concept columns."""
+    """The distinct concept ids each table holds, over all its concept columns.
+
+    A table's distinct rows of concepts are found first; they are few, and only they are made into a row a column.
+    """
     return _union(
         [
-            table.selectExpr(
+            table.select(*CONCEPT_COLUMNS[name])
+            .distinct()
+            .selectExpr(
                 f"{quoted(name)} AS cdm_table",
                 f"explode(array({', '.join(CONCEPT_COLUMNS[name])})) AS concept_id",
             )
@@ -261,26 +266,111 @@ def outside_period(events: DataFrame, day: str, periods: DataFrame, rule: str) -
     return _long(wide, {rule: "n"})
 
 
-def post_load_checks(
-    cdm: Cdm,
+#: What each person has a row of, in the order of the digits of its count (base 256).
+_KINDS = ("person", "observation_period", "measurement", "observation", "mother", "newborn", "fact_relationship")
+_MOTHER = {"person": 1, "observation_period": 1, "measurement": 3, "observation": 4, "mother": 1, "fact_relationship": 1}
+_NEWBORN = {"person": 1, "observation_period": 1, "measurement": 1, "newborn": 1, "fact_relationship": 1}
+
+#: The rules of ``post_load_checks`` that no load breaks whose persons are all as their records call for.
+PERSON_RULES = (
+    "orphan_person:observation_period",
+    "orphan_person:measurement",
+    "orphan_person:observation",
+    "person_without_one_observation_period",
+    "mother_without_three_measurements",
+    "mother_without_four_observations",
+    "newborn_without_one_measurement",
+    "newborn_with_an_observation",
+    "person_not_matched_to_staging",
+    "orphan_person:fact_relationship",
+    "observation_period_not_the_delivery_day",
+    "newborn_birth_not_the_delivery_day",
+    "fact_relationship_not_the_record_pair",
+    "event_outside_observation_period:measurement",
+    "event_outside_observation_period:observation",
+)
+
+
+def _packed(year: str, month: str, day: str) -> str:
+    return f"{year} * 10000 + {month} * 100 + {day}"
+
+
+def unlike_records(cdm: Cdm, records: DataFrame, concepts: Mapping[str, int] = CONCEPT_IDS) -> DataFrame:
+    """``person_id``: the persons that do not hold exactly what the loaded records call for, in one shuffle.
+
+    A person is as called for who is one record's mother or newborn, is in the persons once, has one period under its
+    own id and the number of events of its role, all on the delivery day, and one link, that of the record; a newborn
+    is born on that day. If all are, ``PERSON_RULES`` count 0, and the ids of persons and periods are unique. The
+    converse does not hold: a person found here need not break a rule.
+
+    A person's rows are counted by kind as digits of one number. A sum of too many rows of a kind could read as other
+    digits, but not with as few rows, so number and rows together say what there is. Two links are compared by an
+    exclusive or, which is 0 for equal ones only, as each side has one.
+    """
+    place = {kind: 256**i for i, kind in enumerate(_KINDS)}
+
+    def rows(table: DataFrame, kind: str, **columns: str) -> DataFrame:
+        return table.selectExpr(*[f"{v} AS {k}" for k, v in {"person_id": "person_id", "kind": kind, **columns}.items()])
+
+    def digit(kind: str) -> str:
+        return f"{place[kind]}L"
+
+    def link(**first: str) -> dict[str, str]:
+        return {
+            "person_id": "fact_id_1",
+            **first,
+            "partner": "coalesce(fact_id_2, -1L)",
+            "relationship": "coalesce(relationship_concept_id, -1)",
+            "domains": "coalesce(domain_concept_id_1 * 4294967296L + domain_concept_id_2, -1L)",
+        }
+
+    dated = "year_of_birth BETWEEN 1 AND 9999 AND month_of_birth BETWEEN 1 AND 12 AND day_of_birth BETWEEN 1 AND 31"
+    born = f"CASE WHEN {dated} THEN {_packed('year_of_birth', 'month_of_birth', 'day_of_birth')} END"
+    start, end = "observation_period_start_date", "observation_period_end_date"
+    one_day = f"CASE WHEN {start} = {end} AND observation_period_id = person_id THEN {start} END"
+    role = f"if(fact_id_1 = person_id, {digit('mother')}, {digit('newborn')})"
+    held = _union(
+        [
+            rows(cdm.person, digit("person"), born=born),
+            rows(cdm.observation_period, digit("observation_period"), day=one_day),
+            rows(cdm.measurement, digit("measurement"), day="measurement_date"),
+            rows(cdm.observation, digit("observation"), day="observation_date"),
+            rows(links(records, concepts, ("delivery_date", "person_id")), role, **link(day="delivery_date")),
+            rows(cdm.fact_relationship, digit("fact_relationship"), **link()),
+        ]
+    )
+    found = held.groupBy("person_id").agg(
+        F.expr("try_sum(kind) AS kinds"),
+        F.expr("count(*) AS n"),
+        F.expr("min(day) AS first"),
+        F.expr("max(day) AS last"),
+        F.expr("count(day) AS days"),
+        F.expr("max(born) AS born"),
+        *[F.expr(f"bit_xor({c}) AS {c}") for c in ("partner", "relationship", "domains")],
+    )
+
+    def holds(wanted: Mapping[str, int]) -> str:
+        kinds = sum(place[kind] * n for kind, n in wanted.items())
+        undated = wanted["person"] + wanted["fact_relationship"]
+        n = sum(wanted.values())
+        return f"kinds = {kinds}L AND n = {n} AND days = {n - undated}"
+
+    birthday = f"born = {_packed('year(first)', 'month(first)', 'day(first)')}"
+    called_for = (
+        "person_id IS NOT NULL AND first = last AND partner = 0 AND relationship = 0 AND domains = 0 "
+        f"AND (({holds(_MOTHER)}) OR ({holds(_NEWBORN)} AND {birthday}))"
+    )
+    return found.filter(f"NOT coalesce({called_for}, false)").select("person_id")
+
+
+def staged_checks(
     records: DataFrame,
-    concept: DataFrame,
     code_map: DataFrame,
     vocabulary: DataFrame,
     load_counts: DataFrame,
     cdm_source: DataFrame,
-    visits: DataFrame | None = None,
 ) -> DataFrame:
-    """The 28 checks of a load as (rule, violations); every count must be 0.
-
-    The tables are read several times: pass written tables, not plans.
-    """
-    tables = {**vars(cdm), "cdm_source": cdm_source, "source_to_concept_map": code_map}
-    visit_rows = (
-        _long(visits.agg(F.expr("count(*) AS n")), {"visit_occurrence_rows": "n"})
-        if visits is not None
-        else _long(cdm_source.agg(F.expr("0L AS n")), {"visit_occurrence_rows": "n"})
-    )
+    """The checks of a load that read none of its person and event tables, so that it may fail them before it has any."""
     unregistered = (
         code_map.selectExpr("source_vocabulary_id AS vocabulary_id")
         .distinct()
@@ -297,10 +387,41 @@ def post_load_checks(
     )
     return _union(
         [
-            concept_checks(tables, concept),
+            _long(unregistered, {"vocabulary_not_registered": "n"}),
+            _long(uncounted, {"staging_rows_not_load_counts": "n"}),
+            _long(cdm_source.agg(F.expr("count(*) AS n")), {"cdm_source_rows_not_one": "abs(n - 1)"}),
+        ]
+    )
+
+
+def post_load_checks(
+    cdm: Cdm,
+    records: DataFrame,
+    concept: DataFrame,
+    code_map: DataFrame,
+    vocabulary: DataFrame,
+    load_counts: DataFrame,
+    cdm_source: DataFrame,
+    visits: DataFrame | None = None,
+    as_called_for: bool = False,
+) -> DataFrame:
+    """The 28 checks of a load as (rule, violations); every count must be 0.
+
+    The tables are read several times: pass written tables, not plans. ``as_called_for`` says that ``unlike_records``
+    found no person, so that ``PERSON_RULES`` are known to count 0.
+    """
+    tables = {**vars(cdm), "cdm_source": cdm_source, "source_to_concept_map": code_map}
+    visit_rows = (
+        _long(visits.agg(F.expr("count(*) AS n")), {"visit_occurrence_rows": "n"})
+        if visits is not None
+        else _long(cdm_source.agg(F.expr("0L AS n")), {"visit_occurrence_rows": "n"})
+    )
+    if as_called_for:
+        of_persons = [_long(cdm_source.agg(F.expr("0L AS n")), dict.fromkeys(PERSON_RULES, "n"))]
+    else:
+        of_persons = [
             person_checks(cdm, records),
             orphan_links(cdm),
-            orphan_locations(cdm),
             day_checks(cdm, records),
             link_check(cdm, records),
             outside_period(
@@ -315,10 +436,14 @@ def post_load_checks(
                 cdm.observation_period,
                 "event_outside_observation_period:observation",
             ),
+        ]
+    return _union(
+        [
+            concept_checks(tables, concept),
+            *of_persons,
+            orphan_locations(cdm),
             visit_rows,
-            _long(unregistered, {"vocabulary_not_registered": "n"}),
-            _long(uncounted, {"staging_rows_not_load_counts": "n"}),
-            _long(cdm_source.agg(F.expr("count(*) AS n")), {"cdm_source_rows_not_one": "abs(n - 1)"}),
+            staged_checks(records, code_map, vocabulary, load_counts, cdm_source),
         ]
     )
 

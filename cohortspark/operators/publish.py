@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from cohortspark.functions.text import array, cases, quoted
 from cohortspark.operators import commits
 from cohortspark.operators.checks import LoadRefused, bag_difference
-from cohortspark.session import run_path, written
+from cohortspark.session import run_path, together, written
 from cohortspark.sources.records import CSV_WRITE
 
 
@@ -311,21 +312,23 @@ def load_and_promote(
     target: str,
     spark: SparkSession,
     base: commits.Snapshot | None = None,
+    path: str | None = None,
+    held: Sequence[str] = (),
 ) -> str:
     """Write tables to a path of this run, check what was written, and then make it the current one.
 
     ``check`` gets the written tables and raises to refuse them; the previous run then stays the current one. Several
     loads may promote to one target: each starts from a snapshot (``base``, by default the newest at the start), and
-    one that finds its tables promoted by another since then is refused with ``commits.Conflict``.
+    one that finds its tables promoted by another since then is refused with ``commits.Conflict``. ``held`` names
+    tables that the run has written to its ``path`` before, as others are made of them; they are checked and promoted
+    like those written here.
     """
     base = commits.snapshot(spark, target) if base is None else base
-    path = run_path(spark, "load")
-    stored = {}
-    for name, df in tables.items():
-        df.write.mode("error").parquet(f"{path}/{name}")
-        stored[name] = spark.read.parquet(f"{path}/{name}")
-    check(stored)
-    commits.commit(spark, target, base, {name: f"{path}/{name}" for name in tables})
+    path = run_path(spark, "load") if path is None else path
+    together(spark, {name: partial(df.write.mode("error").parquet, f"{path}/{name}") for name, df in tables.items()})
+    names = [*held, *tables]
+    check({name: spark.read.parquet(f"{path}/{name}") for name in names})
+    commits.commit(spark, target, base, {name: f"{path}/{name}" for name in names})
     return path
 
 

@@ -31,10 +31,10 @@ from cohortspark.operators import (
     typed,
 )
 from cohortspark.plans import tables as t
-from cohortspark.session import run_path, tuned, written
+from cohortspark.session import run_path, smaller_tasks, tuned, written
 from cohortspark.sources import records as record_files
 from cohortspark.sources import vocabulary
-from cohortspark.sources.proxy import PROXY_SETTINGS, PROXY_YEARS, damaged_registry
+from cohortspark.sources.proxy import PROXY_SETTINGS, PROXY_YEARS, damaged, damaged_registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,23 +301,25 @@ def postload_checks_damaged(spark, sf_dir):
 def gated_loads(spark, sf_dir):
     """A clean load and four that are refused, each by another gate; what is current after each."""
     target = run_path(spark, "gated")
-    staged = t.staged(spark, sf_dir)
-    stages = written(_load_counts(t.records(spark, sf_dir)), "stage_counts")
-    sources = written(t.source_files(spark, sf_dir), "sources")
+    with smaller_tasks(tuned(spark)):
+        staged = written(t.staged(spark, sf_dir), "staged")
+    stages = written(_load_counts(staged), "stage_counts")
+    sources = written(t.files_of(staged), "sources")
     runs = {
         "clean": (staged, stages),
         "a column less": (staged.drop("peso"), stages),
-        "unloadable records": (damaged_registry(tuned(spark), sf_dir), stages),
+        "unloadable records": (damaged(staged), stages),
         "repeated records": (_doubled(staged, "source_row % 1000 = 7"), stages),
         "counts that differ": (staged, _replaced(stages, row_count="row_count + 1")),
     }
     rows = []
     for name, (registry, counted) in runs.items():
         try:
-            load.gated_load(
-                registry, target, t.concepts(spark), t.code_map(spark), _vocabularies(spark), counted,
-                sources, "v1", PROXY_SETTINGS,
-            )
+            with smaller_tasks(spark):
+                load.gated_load(
+                    registry, target, t.concepts(spark), t.code_map(spark), _vocabularies(spark), counted,
+                    sources, "v1", PROXY_SETTINGS,
+                )
             outcome = "promoted"
         except checks.LoadRefused as refused:
             outcome = str(refused).partition(":")[0]

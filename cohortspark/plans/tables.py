@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextvars import copy_context
+from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.catalogue import CODE_MAP, CONCEPTS, VOCABULARY_TARGETS
 from cohortspark.operators import cdm, counts, funnel
 from cohortspark.operators.typed import typed_records
-from cohortspark.session import smaller_tasks, tuned, written
+from cohortspark.session import smaller_tasks, together, tuned, written
 from cohortspark.sources.proxy import PROXY_SETTINGS, PROXY_YEARS, damaged_registry, registry
 
 PERIOD = "all"
@@ -71,13 +69,8 @@ def written_load(
 
 def written_together(built: cdm.Cdm) -> cdm.Cdm:
     """Every table of a load written, by jobs that run side by side: one's last tasks leave no core idle."""
-    parts = vars(built)
-    with ThreadPoolExecutor(len(parts)) as pool:
-        jobs = {
-            name: pool.submit(copy_context().run, inheritable_thread_target(df.sparkSession)(written), df, name)
-            for name, df in parts.items()
-        }
-        return cdm.Cdm(**{name: job.result() for name, job in jobs.items()})
+    jobs = {name: partial(written, df, name) for name, df in vars(built).items()}
+    return cdm.Cdm(**together(built.person.sparkSession, jobs))
 
 
 def concepts(spark: SparkSession) -> DataFrame:
@@ -169,10 +162,13 @@ def item_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_of(staged(spark, sf_dir))
+
+
+def files_of(staged: DataFrame) -> DataFrame:
     """One row per record file: a name, a version and a digest that follow from its records."""
     return (
-        staged(spark, sf_dir)
-        .groupBy("source_year")
+        staged.groupBy("source_year")
         .agg(F.expr("count(*) AS n"), F.expr("max(source_row) AS last"))
         .selectExpr(
             "source_year",

@@ -5,13 +5,18 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Paths that ``written`` filled inside the innermost ``scratch``, if there is one.
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
@@ -109,6 +114,17 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, jobs: Mapping[str, Callable[[], T]]) -> dict[str, T]:
+    """The results of jobs that run side by side: one's last tasks leave no core idle. Each has a thread."""
+    if not jobs:
+        return {}
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        started = {
+            name: pool.submit(copy_context().run, inheritable_thread_target(spark)(job)) for name, job in jobs.items()
+        }
+        return {name: job.result() for name, job in started.items()}
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Drops, at its end, every table that ``written`` stored inside; its value writes tables that stay.

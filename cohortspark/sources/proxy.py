@@ -85,6 +85,10 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged(registry(spark, sf_dir))
+
+
+def damaged(staged: DataFrame) -> DataFrame:
     """The same records with the values that stop a load: bad dates, long texts, high rows."""
     changes = {
         "source_row": "CASE WHEN source_row % 389 = 0 THEN source_row + 100000000000 "
@@ -95,6 +99,4 @@ def damaged_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("edad", "escolaridad", "resideextranjero"):
         changes[name] = f"CASE WHEN source_row % 113 = 3 THEN repeat('7', 51) ELSE {name} END"
     columns = ["source_year", "source_row", *SOURCE_COLUMNS]
-    return registry(spark, sf_dir).selectExpr(
-        *[f"{changes.get(name, name)} AS {name}" for name in columns]
-    )
+    return staged.selectExpr(*[f"{changes.get(name, name)} AS {name}" for name in columns])
